@@ -4,7 +4,7 @@ Index: coarse centroids (k-means) part the vectors into lists; a vector's residu
 subspace (one byte each). Both codebooks are fitted on a bounded sample of at most SAMPLE vectors, in order of a hash;
 every vector is indexed. Lists are packed into cells of about CELL vectors (a longer list is split over several), a
 row each. Queries are packed into blocks of QUERIES, meet the cells of the lists they probe, and are scored by asymmetric
-tables: query x centroid plus a table of query x codeword entries per subspace. The best RERANK of each cell are reranked
+tables (a query probes a share PROBES of the lists, and as many as hold LEAST_SCAN vectors on average): query x centroid plus a table of query x codeword entries per subspace. The best RERANK of each cell are reranked
 exactly on the original vectors in double precision, and a query's best over all cells are its result.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component or have another length than the most
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
-SAMPLE, SUBSPACES, CODES, CELL, QUERIES, RERANK, PROBES = 16_384, 16, 256, 8192, 512, 200, 0.5
+SAMPLE, SUBSPACES, CODES, CELL, QUERIES, RERANK, PROBES, LEAST_SCAN = 16_384, 16, 256, 8192, 512, 200, 0.55, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -52,7 +52,7 @@ class Codebooks:
         rest = sample - self.centroids[nearest(sample, self.centroids)]
         self.parts = np.array_split(np.arange(dims), min(SUBSPACES, dims))
         self.words = [kmeans(np.ascontiguousarray(rest[:, p]), min(CODES, len(sample)), 6, 2 + i) for i, p in enumerate(self.parts)]
-        self.probes = max(1, math.ceil(PROBES * self.n_lists))
+        self.probes = min(self.n_lists, max(1, math.ceil(PROBES * self.n_lists), math.ceil(LEAST_SCAN * self.n_lists / n)))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = nearest(x, self.centroids)

@@ -78,10 +78,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     placed = common.table(common.table(placed.distinct(), "windows").withColumn("print", _simhash("part")), "prints")
 
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    value = lambda c: F.shiftrightunsigned(c, F.col("block") * 8).bitwiseAND(255)
+    value = lambda c: F.expr(f"shiftrightunsigned({c}, 8 * block) & 255")
     posted = items.select("item_id", "n", F.col("sh").alias("item_sh"), F.col("print").alias("item_print"), block.alias("block")).withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
-    posted = posted.withColumn("value", value(F.col("item_print")).bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
-    asked = placed.withColumn("block", block).withColumn("value", value(F.col("print")))
+    posted = posted.withColumn("value", value("item_print").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
+    asked = placed.withColumn("block", block).withColumn("value", value("print"))
     differ = "print ^ item_print"
     # a pair that meets in several blocks is taken in the first of them
     once = F.expr(f"NOT exists(slice(sequence(0, {BLOCKS - 1}), 1, block), j -> bit_count(shiftrightunsigned({differ}, 8 * j) & 255) <= {radius // BLOCKS})")
