@@ -50,7 +50,7 @@ class Shingler:
 
     def __call__(self, text: bytes) -> np.ndarray:
         words, memo = text.lower().split(), self.memo
-        for w in set(words) - memo.keys():
+        for w in set(words).difference(memo):
             memo[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         if len(memo) > self.MEMO:

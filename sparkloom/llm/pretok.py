@@ -7,7 +7,9 @@ marks the last piece), so ids of a text are the ids of its pre-tokens in order.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -35,6 +37,7 @@ class PreTokenizer:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
 
     def _plain(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
@@ -77,6 +80,21 @@ class PreTokenizer:
             memo.update(zip(new, self.encode(new), strict=True))
         return [memo[w] for w in words]
 
+    def ids(self, text: str) -> Iterator[int]:
+        """The text's ids. Pre-tokens never span white space, so plain texts go by white-space chunks through a memo."""
+        if not PLAIN.fullmatch(text) or self.special_pattern is not None and self.special_pattern.search(text):
+            return chain.from_iterable(self.text_ids(self.split(text)))
+        chunks, memo = text.lower().split(), self.chunks
+        new = set(chunks).difference(memo)
+        if new:
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+                new = set(chunks)
+            words = [self.pattern.findall(c) for c in new]
+            flat = iter(self.encode(list(chain.from_iterable(words))))
+            memo.update((c, tuple(chain.from_iterable(islice(flat, len(w))))) for c, w in zip(new, words, strict=True))
+        return chain.from_iterable(map(memo.__getitem__, chunks))
+
 
 @lru_cache(maxsize=2)
 def pre_tokenizer(path: str) -> PreTokenizer:

@@ -104,7 +104,7 @@ def _blocks(path: str, end_id: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.fromiter(chain(chain.from_iterable(tok.text_ids(tok.split(text))), (end_id,)), f"<u{width}")
+                ids = np.fromiter(chain(tok.ids(text), (end_id,)), f"<u{width}")
                 if doc_ids and (total + len(ids) > BLOCK_IDS or len(doc_ids) >= BLOCK_DOCS):
                     yield close()
                 doc_ids.append(doc_id)
