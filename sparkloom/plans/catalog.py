@@ -16,6 +16,7 @@ from sparkloom.operators import model as M
 from sparkloom.operators import similarity as J
 from sparkloom.operators import stats as A
 from sparkloom.operators import tables as O
+from sparkloom.sources.scratch import scratch
 
 F4 = ["uppercase_letter_ratio", "exclamation_mark_count", "n_chars", "n_commas"]
 W4 = {"uppercase_letter_ratio": 2.0, "exclamation_mark_count": 0.5, "n_chars": -0.001, "n_commas": 0.01}
@@ -342,8 +343,8 @@ def vocabulary_size(spark, sf):
 
 
 def _pairs(spark, sf):
-    rows = processed(spark, sf)
-    return J.similar_pairs(J.tfidf(rows), rows), rows
+    rows = scratch(processed(spark, sf).select("email_id", "label", "split", "text"), "processed")
+    return scratch(J.similar_pairs(scratch(J.tfidf(rows), "tfidf"), rows), "pairs"), rows
 
 
 @query(f"{PAIRS} SELECT left_email_id, left_split, left_label, right_email_id, right_split, right_label, round(similarity, 6) AS similarity, exact FROM pr")
