@@ -19,6 +19,7 @@ repeated rows give a row each; other columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -74,7 +75,7 @@ def model(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         order = np.argsort(grams, kind="stable")
         context, symbols, counts = grams[order] // n, symbol[order], counts[order]
         starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.empty(0, int)
-        for a, b in zip(starts, [*starts[1:], len(context)], strict=True):
+        for a, b in zip(starts, np.r_[starts[1:], len(context)][: len(starts)], strict=True):
             first, last = divmod(int(context[a]), n)
             seen, own = symbols[a:b], counts[a:b]
             excluded = nothing.copy()
@@ -86,10 +87,10 @@ def model(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return table.ravel()
 
 
-_models: dict[int, np.ndarray] = {}
+_models: dict[str, np.ndarray] = {}
 
 
-def _model_of(broadcast, tag: int) -> np.ndarray:
+def _model_of(broadcast, tag: str) -> np.ndarray:
     if tag not in _models:
         _models.clear()
         _models[tag] = model(*broadcast.value)
@@ -189,7 +190,7 @@ def score_documents(docs: DataFrame, held_out_of: int = 10, hot_words: int = com
     hot = spark.sparkContext.broadcast(dict(zip(top.column("w").to_pylist(), np.log10(top.column("freq").to_numpy() + 0.1).tolist(), strict=True)))
     trie = spark.sparkContext.broadcast((grams.column("g").to_numpy(), grams.column("freq").to_numpy()))
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_sum double, score double, rare array<struct<w:binary,n:int>>"
-    scored = common.table(rows.mapInArrow(_score(hot, trie, id(trie)), schema), "ppm-scores")
+    scored = common.table(rows.mapInArrow(_score(hot, trie, uuid.uuid4().hex), schema), "ppm-scores")
 
     rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.w", "r.n")
     log = F.log10(F.coalesce(F.col("freq"), F.lit(0)) + F.lit(0.1))
