@@ -35,8 +35,8 @@ KEYWORDS = {
     ],
 }
 DISPLAY_NAMES = {
-    "url_count": "Number of URLs", "ip_address_url_count": "Number of IP-address URLs", "urgency_word_count": "Urgency words", "credential_word_count": "Credential words", "action_word_count": "Action words",
-    "money_related_word_count": "Money-related words", "uppercase_letter_ratio": "Uppercase letter ratio", "exclamation_mark_count": "Exclamation marks",
+    "url_count": "Number of links", "ip_address_url_count": "IP-address links", "urgency_word_count": "Urgency-related words", "credential_word_count": "Account and credential words",
+    "action_word_count": "Action-request words", "money_related_word_count": "Money-related words", "uppercase_letter_ratio": "Uppercase-letter proportion", "exclamation_mark_count": "Exclamation marks",
 }
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SIMILAR, VERY_SIMILAR, SEVERE_COVERAGE = 0.90, 0.95, 0.05

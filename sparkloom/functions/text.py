@@ -76,7 +76,7 @@ def keyword_count(normalised: Column, terms: list[str]) -> Column:
     return total.cast("bigint")
 
 
-URL_MARK = r"(?i)\[URL: ([^\]]*)\]"
+URL_MARK = r"(?i)\[URL:\s*([^\]\r\n]+)\]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _H = "[0-9A-Fa-f]{1,4}"
@@ -120,6 +120,7 @@ def link_target(url: Column) -> Column:
     rest = F.regexp_replace(full, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*|#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(full, r"^[^:]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), r":[0-9]*$", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), "/{2,}", "/")
+    path = F.when(path == "", F.lit("/")).otherwise(path)
     query = F.regexp_extract(rest, r"(\?.*)$", 1)
     out = F.regexp_replace(F.concat(F.when(host == "", F.lit("unknown-host")).otherwise(host), path, query), r"[\x00-\x1f\x7f\[\]]", "")
     return F.substring(out, 1, 240)

@@ -217,7 +217,7 @@ def url_features(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.url_count(t).alias("url_count"), T.ip_url_count(t).alias("ip_address_url_count"))
 
 
-@query("""SELECT page_id, substr(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), ':[0-9]*$', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g') || regexp_extract(url, '(\\?[^#]*)', 1), 1, 240) AS target FROM pages""")
+@query("""SELECT page_id, substr(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), ':[0-9]*$', '') || coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), ''), '/') || regexp_extract(url, '(\\?[^#]*)', 1), 1, 240) AS target FROM pages""")
 def link_normalise(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.link_target(F.col("url")).alias("target"))
 

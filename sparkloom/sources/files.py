@@ -15,7 +15,11 @@ from pyspark.sql import types as T
 from sparkloom import config as C
 from sparkloom.functions import text
 
-FORBIDDEN = {"true_label", "phishing_probability", "shap_value", "base_value", "distance", "threshold", "outcome_type"}
+# fixed values: keys that a document must not hold
+FORBIDDEN = {
+    "true_label", "label", "outcome_type", "cluster_label", "scaled_value", "scaled_features", "distance", "distance_threshold", "silhouette_score", "phishing_probability", "probability", "shap_value", "shap_values",
+    "raw_margin", "base_value",
+}
 
 
 def load_yaml(path: str) -> dict:
