@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the words of all contracts are split: space and TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes in one Arrow batch, so that long texts and blocks never meet in one batch of rows.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of a dictionary that may be sent to every worker; the rest of it is joined by shuffle.
 HOT_WORDS = 1 << 18
 

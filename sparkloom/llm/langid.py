@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
-TRAIN_ROWS, LANDMARKS, SAMPLE_CHARS, RIDGE, SHARPNESS, BATCH, CHUNK = 3000, 160, 20_000, 1e-4, 3.0, 128, 1 << 20
+TRAIN_ROWS, LANDMARKS, SAMPLE_CHARS, RIDGE, SHARPNESS, BATCH, CHUNK = 3000, 160, 20_000, 1e-4, 3.0, 128, 1 << 17
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 

@@ -43,7 +43,8 @@ _ADD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes."""
 
-    MEMO = 500_000
+    #: Words whose hashes are held: some 15 MB.
+    MEMO = 100_000
 
     def __init__(self, n: int = SHINGLE) -> None:
         self.n, self.memo = n, {}
@@ -85,7 +86,7 @@ def _signatures(batches):
             s = shingles(text)
             sizes.append(len(s))
             keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sigs.append(signature(s).view(np.int32).tolist() if len(s) else None)
+            sigs.append(signature(s).view(np.int32) if len(s) else None)
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.binary()), "sig": pa.array(sigs, pa.list_(pa.int32()))})
 
 

@@ -17,7 +17,8 @@ import regex
 #: Characters on which Python's lower() and `regex` classes are known to agree with the library; other texts
 #: are normalised and split by the library itself.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*+")
-MEMO = 400_000
+#: Pre-tokens, and white-space chunks, that a memo holds: some 40 MB each.
+MEMO = 150_000
 
 
 class PreTokenizer:
@@ -95,6 +96,11 @@ class PreTokenizer:
             memo.update((c, tuple(chain.from_iterable(islice(flat, len(w))))) for c, w in zip(new, words, strict=True))
         return chain.from_iterable(map(memo.__getitem__, chunks))
 
+    def forget(self) -> None:
+        """Empties the memos: workers outlive tasks, and their memory counts for the tasks of other steps."""
+        self.memo.clear()
+        self.chunks.clear()
+
 
 @lru_cache(maxsize=2)
 def pre_tokenizer(path: str) -> PreTokenizer:

@@ -113,6 +113,7 @@ def _blocks(path: str, end_id: int):
                 total += len(ids)
         if doc_ids:
             yield close()
+        tok.forget()
 
     return run
 
