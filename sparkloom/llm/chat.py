@@ -101,7 +101,7 @@ def _format(path, budget, history):
         tok = pre_tokenizer(path)
 
         def count(text: str) -> int:
-            return sum(map(len, tok.text_ids(tok.split(text))))
+            return tok.count(text)
 
         def rows():
             for batch in batches:

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +87,7 @@ def _blocks(path: str, end_id: int):
     def run(batches):
         tok = pre_tokenizer(path)
         width = 2 if max(len(tok.ends_word), end_id + 1) <= 1 << 16 else 4
+        end = end_id.to_bytes(width, "little")
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         doc_ids, parts, sizes, total = [], [], [0], 0
 
@@ -104,13 +104,14 @@ def _blocks(path: str, end_id: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.fromiter(chain(tok.ids(text), (end_id,)), f"<u{width}")
-                if doc_ids and (total + len(ids) > BLOCK_IDS or len(doc_ids) >= BLOCK_DOCS):
+                ids = tok.id_bytes(text, f"<u{width}")
+                n = len(ids) // width + 1
+                if doc_ids and (total + n > BLOCK_IDS or len(doc_ids) >= BLOCK_DOCS):
                     yield close()
                 doc_ids.append(doc_id)
-                parts.append(ids.tobytes())
-                sizes.append(len(ids))
-                total += len(ids)
+                parts += (ids, end)
+                sizes.append(n)
+                total += n
         if doc_ids:
             yield close()
         tok.forget()
