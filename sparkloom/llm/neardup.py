@@ -8,7 +8,7 @@
    either one, and only those prefixes are posted; pairs held by one class alone are never posted, and long lists
    (a passage in very many texts) are skipped where rarer pairs suffice.
 3. Classes that share a posted pair form clusters (star edges to each list's least id, then connected components),
-   inside which collisions over whole signatures are counted and pairs with MATCHES or more are confirmed on full sets.
+   inside which collisions over whole signatures are counted and pairs with so many or more are confirmed on full sets.
    A cluster is cut into chunks and each two chunks meet in one task, best matches first; a pair whose ends are linked
    already in that task needs no confirmation, so a group of copies costs links in proportion to its size, not
    its square, and no link between components is lost.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
-COORDINATES, MATCHES, SHINGLE, CHUNK = 64, 42, 5, 512
+COORDINATES, SHINGLE, CHUNK = 64, 5, 512
 #: Classes whose ids may be broadcast to pick their texts: 16 MB of ids. More are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +40,12 @@ _MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def least_matches(percent: int) -> int:
+    """Coordinates in which two sets at the threshold agree at least, but for one pair in about 100,000: 4.3 deviations under the mean."""
+    p = percent / 100
+    return max(1, int(COORDINATES * p - 4.3 * (COORDINATES * p * (1 - p)) ** 0.5))
+
+
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes."""
 
@@ -124,6 +130,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _linker(percent: int):
+    matches = least_matches(percent)
+
     def links(cell: pd.DataFrame) -> pd.DataFrame:
         """Links of one cell: the pairs of one chunk, or those between two, as a spanning forest."""
         cell = cell.sort_values("doc_id")
@@ -139,7 +147,7 @@ def _linker(percent: int):
             fits = 100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other])
             other = other[fits]
             same = (sig[other] == sig[i]).sum(1)
-            keep = same >= MATCHES
+            keep = same >= matches
             found_i.append(np.full(int(keep.sum()), i))
             found_j.append(other[keep])
             found_m.append(same[keep])
@@ -180,8 +188,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = classes.select("doc_id", F.posexplode("sig").alias("c", "v"))
     common_pairs = pairs.groupBy("c", "v").count().where("count > 1")
     shared = pairs.join(common_pairs, ["c", "v"]).groupBy("doc_id").agg(F.collect_list(F.struct("count", "c", "v")).alias("p"))
-    # of the rarest COORDINATES - MATCHES + 1 pairs, those that no other class holds come first and need no posting
-    length = F.size("p") - F.lit(MATCHES - 1)
+    # of the rarest COORDINATES - matches + 1 pairs, those that no other class holds come first and need no posting
+    length = F.size("p") - F.lit(least_matches(percent) - 1)
     prefix = shared.where(length > 0).select("doc_id", F.explode(F.slice(F.array_sort("p"), F.lit(1), length)).alias("p"))
     posted = common.table(prefix.select("doc_id", "p.c", "p.v"), "postings")
     least = posted.groupBy("c", "v").agg(F.min("doc_id").alias("b"))
