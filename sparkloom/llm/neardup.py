@@ -3,8 +3,8 @@
 1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a signature of COORDINATES minima.
    Rows with equal sets are one class; only a class's smallest doc_id goes on.
 2. A (coordinate, value) pair is a posting list. Two sets of similarity 0.85 agree in a coordinate with probability
-   0.85; pairs that agree in fewer than MATCHES of COORDINATES coordinates are not candidates (at the threshold,
-   one in about 100,000 is missed). So two candidates share a pair among the COORDINATES - MATCHES + 1 rarest of
+   0.85; pairs that agree in fewer than `matches` of COORDINATES coordinates are not candidates (at the threshold,
+   one in about 100,000 is missed). So two candidates share a pair among the COORDINATES - matches + 1 rarest of
    either one, and only those prefixes are posted; pairs held by one class alone are never posted, and long lists
    (a passage in very many texts) are skipped where rarer pairs suffice.
 3. Classes that share a posted pair form clusters (star edges to each list's least id, then connected components),
