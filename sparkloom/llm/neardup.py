@@ -9,9 +9,11 @@
    (a passage in very many texts) are skipped where rarer pairs suffice.
 3. Classes that share a posted pair form clusters (star edges to each list's least id, then connected components),
    inside which collisions over whole signatures are counted and pairs with so many or more are confirmed on full sets.
-   A cluster is cut into chunks and each two chunks meet in one task, best matches first; a pair whose ends are linked
-   already in that task needs no confirmation, so a group of copies costs links in proportion to its size, not
-   its square, and no link between components is lost.
+   A cluster is cut into chunks of CHUNK. First each chunk is searched by itself, best matches first; a pair whose ends
+   are linked already needs no confirmation. Then the busiest member of each group found in a chunk stands for it in
+   chunks of such members, level by level. Last, all members outside a cluster's largest component so far meet all of
+   the cluster, chunk by chunk. So no pair between two components is left out, while a group of copies costs work in
+   proportion to its size, not its square.
 4. Connected components over confirmed links, then back to all rows.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; fewer than five words
@@ -26,7 +28,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import common
@@ -133,14 +135,15 @@ def _linker(percent: int):
     matches = least_matches(percent)
 
     def links(cell: pd.DataFrame) -> pd.DataFrame:
-        """Links of one cell: the pairs of one chunk, or those between two, as a spanning forest."""
+        """Links of one cell: the pairs of one chunk, or those between two, that join components; in one chunk also
+        each group's busiest member, as a link to itself."""
         cell = cell.sort_values("doc_id")
-        ids, side = cell.doc_id.to_numpy(), cell.side.to_numpy()
+        ids, own = cell.doc_id.to_numpy(), cell.own.to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in cell.shingles]
         size = np.array([len(s) for s in sets], np.int64)
         sig = np.stack([signature(s) for s in sets])
         one = int(cell.ci.iloc[0]) == int(cell.cj.iloc[0])
-        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(own == cell.ci.iloc[0]), np.flatnonzero(own == cell.cj.iloc[0]))
         found_i, found_j, found_m = [], [], []
         for i in left:
             other = right[right > i] if one else right
@@ -154,7 +157,8 @@ def _linker(percent: int):
         out: list[tuple[int, int]] = []
         if found_i:
             i, j, m = (np.concatenate(x) for x in (found_i, found_j, found_m))
-            root = list(range(len(ids)))
+            first: dict[int, int] = {}
+            root = [first.setdefault(c, k) for k, c in enumerate(cell.comp.tolist())]
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -171,11 +175,65 @@ def _linker(percent: int):
                 if 100 * both >= percent * (size[a] + size[b] - both):
                     root[ra] = rb
                     out.append((ids[a], ids[b]))
+            if one:
+                busy = np.bincount(np.concatenate([i, j]), minlength=len(ids))
+                linked = {find(int(np.searchsorted(ids, a))) for a, _ in out}
+                best: dict[int, int] = {}
+                for k in np.argsort(-busy, kind="stable").tolist():
+                    best.setdefault(find(k), k)
+                out += [(ids[best[r]], ids[best[r]]) for r in linked]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return links
 
 
+def _chunk(name: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col(name)).cast("int")
+
+
+def _search_cells(cells: DataFrame, percent: int) -> DataFrame:
+    columns = ["doc_id", "cluster", "ci", "cj", "own", "comp", "shingles"]
+    return cells.select(*columns).groupBy("cluster", "ci", "cj").applyInPandas(_linker(percent), "a long, b long")
+
+
+def _search_chunks(sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside each chunk of sets (doc_id, cluster, chunks, shingles)."""
+    own = _chunk("chunks")
+    return _search_cells(sets.select("doc_id", "cluster", "shingles", own.alias("own"), own.alias("ci"), own.alias("cj"), F.col("doc_id").alias("comp")), percent)
+
+
+def _across_chunks(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """`links` (those inside chunks) and the ones between chunks of one cluster that join components."""
+    level, before = links, None
+    while True:
+        tops = level.where("a = b").select(F.col("a").alias("doc_id")).join(sets.select("doc_id", "cluster").distinct(), "doc_id")
+        sizes = common.table(tops.groupBy("cluster").agg(F.count("*").alias("n")), "tops")
+        n, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if most < 2 or before is not None and 2 * n > before:
+            break
+        chunked = sets.drop("chunks").join(tops.select("doc_id"), "doc_id").join(sizes.select("cluster", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "cluster")
+        level = common.table(_search_chunks(chunked, percent), "links")
+        links, before = links.unionAll(level), n
+        if most <= CHUNK:
+            break
+
+    found = components(links)
+    place = sets.select("doc_id", "cluster").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cluster", F.coalesce("root", "doc_id").alias("comp"))
+    place = common.table(place, "places")
+    main = place.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    rest = F.col("n") - F.col("main.n")
+    main = main.where(rest > 0).select("cluster", F.col("main.comp").alias("main"), F.ceil(rest / CHUNK).cast("int").alias("outer"), F.ceil(F.col("main.n") / CHUNK).cast("int").alias("inner"))
+    placed = sets.drop("chunks", "cluster").join(place.join(main, "cluster"), "doc_id")
+    outside = F.col("comp") != F.col("main")
+    # chunks of members outside the main component come first, and each meets every chunk, itself included
+    grid = (
+        placed.withColumn("own", F.when(outside, _chunk("outer")).otherwise(F.col("outer") + _chunk("inner")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
+        .withColumn("ci", F.least("own", "other")).withColumn("cj", F.greatest("own", "other"))
+    )
+    return links.unionAll(common.table(_search_cells(grid, percent), "links"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); linked: similarity >= percent / 100."""
     spark = docs.sparkSession
@@ -202,13 +260,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     picked = F.broadcast(members) if n <= BROADCAST_IDS else members
     sets = rows.join(picked, "doc_id").select("doc_id", "text", "cluster", "chunks").mapInArrow(_sets, "doc_id long, set_key binary, cluster long, chunks int, shingles binary")
     sets = sets.join(classes.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    cells = (
-        sets.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("doc_id", "cluster", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "shingles")
-    )
-    links = cells.groupBy("cluster", "ci", "cj").applyInPandas(_linker(percent), "a long, b long")
+    sets = common.table(sets.drop("set_key"), "sets")
+    links = common.table(_search_chunks(sets, percent), "links")
+    big = sets.where("chunks > 1")
+    if not big.isEmpty():
+        links = _across_chunks(big, links, percent)
     roots = components(links)
 
     class_roots = classes.select("set_key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("root", "doc_id").alias("root"))

@@ -1,6 +1,7 @@
 """Each operator on a small table with nulls, empty and long texts, repeated rows and other columns, against brute force."""
 
 import os
+import random
 import sys
 import zlib
 from collections import defaultdict
@@ -11,6 +12,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
+from sparkloom.llm import neardup  # noqa: E402
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, uid string"
 SAID = r"\### Assistant: </turn> ok"
 
@@ -133,6 +136,25 @@ def test_op10(spark, data):
     assert all(r["n_shingles"] == len(brute.shingle_set(sizes[r["doc_id"]])) for r in got)
 
 
+def test_op10_many_chunks(spark, monkeypatch):
+    """Groups of copies over several chunks, chains of copies and lone members of a cluster: as by comparing all pairs."""
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    rng, docs = random.Random(5), []
+    for group in range(3):
+        words = [f"w{group}x{i}" for i in range(300)]
+        for _ in range(40):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 3, 5, 8])):
+                copy[rng.randrange(300)] = f"r{rng.randrange(10**9)}"
+            docs.append((len(docs), " ".join(copy)))
+        for _ in range(30):  # each differs a little more from the first
+            words[rng.randrange(300)] = f"r{rng.randrange(10**9)}"
+            docs.append((len(docs), " ".join(words)))
+    rng.shuffle(docs)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.components(docs)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
