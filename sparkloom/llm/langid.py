@@ -5,6 +5,11 @@ a blank). k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|). Nystroem landmarks, dra
 K_mm^(-1/2) k(x, landmarks); one-versus-rest kernel ridge regression on these gives a decision value per language.
 Texts are scored in batches: presence matrix times landmark matrix times coefficients.
 
+A text is of no learned language if too few of its n-grams are known to any: a language knows those in at least one of
+KNOWN_IN of its sampled rows, and asks of a text the share FAR of what its own rows have typically known of them by the
+others (taken as TYPICAL at least, where few rows tell little). The share is forgiven SLACK / sqrt(n-grams), so that a
+short text is only rejected on strong evidence. Nothing of this depends on how many languages are learned.
+
 The classifier is fitted on a bounded sample: at most TRAIN_ROWS labelled rows over all languages (a language gets an
 equal share, at least 8), in order of a hash, texts of up to SAMPLE_CHARS first; everything is scored whole.
 
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import common
 
 TRAIN_ROWS, LANDMARKS, SAMPLE_CHARS, RIDGE, SHARPNESS, BATCH, CHUNK = 3000, 160, 20_000, 1e-4, 3.0, 128, 1 << 17
+KNOWN_IN, FAR, TYPICAL, SLACK = 250, 0.65, 0.5, 2.0
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
@@ -47,7 +53,7 @@ class Classifier:
         self.langs = sorted({lang for lang, _ in samples})
         if not samples:
             return
-        by_lang = {lang: [g for x, g in samples if x == lang] for lang in self.langs}
+        by_lang = {lang: [g for x, g in samples if x == lang] for lang in self.langs}  # in order of langs
         each = max(2, landmarks // len(self.langs))
         marks = [g for own in by_lang.values() for g in own[:each]]
         self.vocabulary = np.unique(np.concatenate(marks))
@@ -63,6 +69,22 @@ class Classifier:
         mean, shift = phi.mean(0), y.mean(0)
         weights = np.linalg.solve((phi - mean).T @ (phi - mean) + ridge * len(samples) * np.eye(phi.shape[1]), (phi - mean).T @ (y - shift))
         self.coefficients, self.intercept = root @ weights, shift - mean @ weights
+        known, self.least_known = {}, np.empty(len(self.langs))
+        for k, (lang, own) in enumerate(by_lang.items()):
+            codes, rows = np.unique(np.concatenate(own), return_counts=True)
+            need = max(1, len(own) // KNOWN_IN)
+            known[lang] = codes[rows >= need]
+            by_others = codes[rows > need]
+            self.least_known[k] = FAR * max(TYPICAL, np.median([np.isin(g, by_others, assume_unique=True).mean() for g in own]))
+        self.known_codes = np.unique(np.concatenate(list(known.values())))
+        self.known = np.stack([np.isin(self.known_codes, known[lang], assume_unique=True) for lang in self.langs], 1)
+
+    def familiar(self, g: np.ndarray) -> float:
+        """By how much the share of known n-grams exceeds what the nearest language asks for; negative: of no language."""
+        i = np.searchsorted(self.known_codes, g)
+        i[i == len(self.known_codes)] = 0
+        share = self.known[i[self.known_codes[i] == g]].sum(0) / len(g)
+        return float((share - self.least_known).max() + SLACK / np.sqrt(len(g)))
 
     def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
         """Similarity of texts (rows) and landmarks: a batched matrix product."""
@@ -78,14 +100,14 @@ class Classifier:
         return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
-        """(language, score from 0 to 1, decision value) of each text."""
+        """(language, score from 0 to 1, familiar()) of each text."""
         found = [grams(t) for t in texts]
         if not self.langs:
             return [("und", 0.0, -1.0)] * len(texts)
         values = self.kernel(found).astype(np.float64) @ self.coefficients + self.intercept
         odds = np.exp(SHARPNESS * (values - values.max(1, keepdims=True)))
         best, score = values.argmax(1), 1 / odds.sum(1)
-        return [(self.langs[b], float(s), float(v[b])) if len(g) else ("und", 0.0, -1.0) for g, b, s, v in zip(found, best, score, values, strict=True)]
+        return [(self.langs[b], float(s), self.familiar(g)) if len(g) else ("und", 0.0, -1.0) for g, b, s in zip(found, best, score, strict=True)]
 
 
 def _sample_grams(batches):
@@ -122,27 +144,23 @@ def _predict(model):
                     scores.append(score)
                     values.append(value)
             columns = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "text"] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(values, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "text"] + ["lang_pred", "score", "decision"])
+            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "text"] + ["lang_pred", "score", "familiar"])
 
     return run
 
 
 def predict(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, tie (hash of the text), held_out, lang_pred, score, decision of every row of docs (doc_id, text)."""
+    """doc_id, tie (hash of the text), held_out, lang_pred, score, familiar of every row of docs (doc_id, text)."""
     common.bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     text = common.text_of()
     rows = docs.select(common.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), (common.id_remainder(common.col("doc_id"), 4) == 2).alias("held_out"), text.alias("text"))
-    return rows.mapInArrow(_predict(model), "doc_id long, tie long, held_out boolean, lang_pred string, score double, decision double")
-
-
-#: A document is rejected if no language claims it even weakly.
-LEAST_DECISION = -0.6
+    return rows.mapInArrow(_predict(model), "doc_id long, tie long, held_out boolean, lang_pred string, score double, familiar double")
 
 
-def keep_languages(docs: DataFrame, least: float = LEAST_DECISION) -> DataFrame:
-    """docs without those of no language: `und`, or a best decision value under `least`."""
-    found = predict(docs, fit(docs)).where((F.col("lang_pred") == "und") | (F.col("decision") < least))
+def keep_languages(docs: DataFrame) -> DataFrame:
+    """docs without those of no language: `und`, or too few n-grams known to any learned language."""
+    found = predict(docs, fit(docs)).where((F.col("lang_pred") == "und") | (F.col("familiar") < 0))
     gone = common.table(found.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct(), "no-language")
     side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     return docs.join(side, common.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(common.text_of()) == F.col("_t")), "left_anti")

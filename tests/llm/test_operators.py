@@ -167,6 +167,30 @@ def test_pipeline(spark, data):
     assert ids and 9010 not in ids and not {9007, 9008} & ids
 
 
+def test_language_rejects_what_was_not_learned(spark, data):
+    """Gibberish, another script and unlearned languages go; clean short texts of a learned one stay, at two and at eight languages."""
+    from sparkloom.llm import langid
+
+    rng, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    noise = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(200))
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    rows = [r[:3] for r in data["rows"] if r[0] < 9000]
+    short = [(9300 + k, " ".join(t.split()[:n]), None) for k, (n, t) in enumerate((n, t) for _, t, _ in rows[:40] for n in (1, 3, 8))]
+    planted = [(9200 + k, t, None) for k, t in enumerate((noise, russian, polish, turkish))]
+    short = [r for r in short if len(langid.grams(r[1]))]
+    for names in ("en de".split(), "en de es fr".split(), "en de es fr v w x y".split()):
+        made = {x: random.Random(x).sample([chr(c) for c in range(0x3B1, 0x3C9)], 9) for x in "vwxy"}
+        learned = [r for r in rows if r[2] in names] + [
+            (9600 + 40 * k + i, " ".join("".join(rng.choices(made[x], k=5)) for _ in range(60)), x) for k, x in enumerate("vwxy") if x in names for i in range(40)
+        ]
+        own = {r[1] for r in short} & {" ".join(t.split()[:n]) for _, t, lang in rows if lang in names for n in (1, 3, 8)}
+        docs = learned + planted + [r for r in short if r[1] in own]
+        kept = {r["doc_id"] for r in langid.keep_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+        assert {r[0] for r in docs} - kept == {r[0] for r in planted}, names
+
+
 def test_empty_tables(spark, data, tmp_path):
     out = str(tmp_path)
     for t in ("documents", "benchmark", "conversations", "embeddings"):
