@@ -4,8 +4,9 @@ Index: coarse centroids (k-means) part the vectors into lists; a vector's residu
 subspace (one byte each). Both codebooks are fitted on a bounded sample of at most SAMPLE vectors, in order of a hash;
 every vector is indexed. Lists are packed into cells of about CELL vectors (a longer list is split over several), a
 row each. Queries are packed into blocks of QUERIES, meet the cells of the lists they probe, and are scored by asymmetric
-tables (a query probes a share PROBES of the lists, and as many as hold LEAST_SCAN vectors on average): query x centroid plus a table of query x codeword entries per subspace. The best RERANK of each cell are reranked
-exactly on the original vectors in double precision, and a query's best over all cells are its result.
+tables (a query probes a share PROBES of the lists, and as many as hold LEAST_SCAN vectors on average): query x centroid plus a table of query x codeword entries per subspace. The best RERANK of each cell, and all
+that tie with the last of them (equal vectors share list and code, hence the score), are reranked exactly on the
+original vectors in double precision, and a query's best over all cells are its result.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component or have another length than the most
 frequent one (the larger, if equal) take no part, nor do rows without vec_id; rows that repeat a vec_id count once,
@@ -115,10 +116,10 @@ def _search(books, dims, k):
                     scores += t[:, codes[:, m]]
                 scores[~b.probed(q)[:, lists] | (q_ids[:, None] == ids[None])] = -np.inf
                 depth = min(RERANK, len(ids))
-                best = np.argpartition(-scores, depth - 1, 1)[:, :depth]
+                least = -np.partition(-scores, depth - 1, 1)[:, depth - 1]
                 out_q, out_v, out_s = [], [], []
-                for i, near in enumerate(best):
-                    near = near[np.isfinite(scores[i, near])]
+                for i, bound in enumerate(least):
+                    near = np.flatnonzero((scores[i] >= bound) & np.isfinite(scores[i]))
                     exact = (x[near].astype(np.float64) * q[i].astype(np.float64)).sum(1)
                     near, exact = (y[np.lexsort((ids[near], -exact))[:k]] for y in (near, exact))
                     out_q.append(np.full(len(near), q_ids[i]))

@@ -62,6 +62,20 @@ def test_op2(spark, data):
     assert all(abs(got[q][v] - s) < 1e-12 for q, w in want.items() for v, s in w if v in got[q])
 
 
+def test_op2_many_equal_vectors(spark):
+    """3000 copies of one vector among 8000 rows: the copies' neighbours are the smallest ids."""
+    from sparkloom.llm import ann
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 16)).astype(np.float32)
+    x[rng.choice(8000, 3000, replace=False)] = 3 * x[0] / np.linalg.norm(x[0])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = brute.neighbours(rows, every=200), defaultdict(set)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=200).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len({v for v, _ in w} & got[q]) / len(w) for q, w in want.items()]) >= 0.9
+
+
 def test_op3(spark, data):
     langs = {r[0]: r[2] for r in data["rows"]}
     got = run(spark, data, "op3")
