@@ -70,6 +70,39 @@ def test_pam_never_costs_more_than_build():
         assert d[:, E.pam(d, k)].min(1).sum() <= d[:, E.pam(d, k, rounds=0)].min(1).sum() + 1e-9
 
 
+def test_pam_by_blocks(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(90, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    whole = [(E.pam(d, k).tolist(), E.silhouette(d, d[:, E.pam(d, k)].argmin(1))) for k in (2, 5)]
+    monkeypatch.setattr(E, "BLOCK_CELLS", 700)
+    parts = E.Distances(x)
+    for k, (medoids, s) in zip((2, 5), whole, strict=True):
+        assert E.pam(parts, k, built=E.pam_build(parts, 6)).tolist() == medoids
+        assert abs(E.silhouette(parts, parts[:, medoids].argmin(1)) - s) < 1e-12
+
+
+def test_pam_of_a_large_class(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, f"v{i:05d}", [float(v)]) for i, v in enumerate(rng.normal(size=8100) * 0.01 + rng.integers(0, 2, 8100))]
+    found = E.class_medoids(spark.createDataFrame(rows, "predicted_label int, email_id string, z array<double>")).collect()
+    assert {(r["k"], round(dict((i, z[0]) for _, i, z in rows)[r["email_id"]], 1)) for r in found} == {(2, 0.0), (2, 1.0)}
+
+
+def test_pam_medoids_are_train_rows(spark):
+    from sparkloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rows = E.standardise(catalog.vectors4(spark, sf), catalog.FS).where("split = 'train'").select("predicted_label", "email_id", "z").collect()
+    found = catalog.pam_medoids(spark, sf).collect()
+    for y in (0, 1):
+        own = sorted((r["email_id"], r["z"]) for r in rows if r["predicted_label"] == y)
+        x, mine = np.array([z for _, z in own]), [r for r in found if r["predicted_label"] == y]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        m = E.pam(d, mine[0]["k"])
+        assert [own[i][0] for i in m] == sorted(r["email_id"] for r in mine)
+        assert abs(E.silhouette(d, d[:, m].argmin(1)) - mine[0]["silhouette_score"]) < 1e-9
+
+
 def test_shapley_adds_up():
     tree = (10, 0, 0.5, (6, 1, 0.0, (2, 1.0), (4, 2.0)), (4, 5.0))
     x = np.array([[0.0, 1.0], [1.0, -1.0], [0.2, -3.0]])
