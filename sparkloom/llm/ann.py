@@ -1,13 +1,18 @@
 """Approximate nearest neighbours by largest inner product: inverted file with product-quantised residuals.
 
 Index: coarse centroids (k-means) part the vectors into lists; a vector's residual to its centroid is quantised per
-subspace (one byte each). Both codebooks are fitted on a bounded sample of at most SAMPLE vectors, in order of a hash;
+subspace (one byte each). Both codebooks are fitted on a bounded sample of a 64th of the vectors, SAMPLE to 4 * SAMPLE, in order of a hash;
 every vector is indexed. Lists are packed into cells of about CELL vectors (a longer list is split over several), a
 row each. Queries are packed into blocks of QUERIES, meet the cells of the lists they probe, and are scored by asymmetric
-tables (a query probes a share PROBES of the lists, and as many as hold LEAST_SCAN vectors on average): query x centroid plus a table of query x codeword entries per subspace. The best RERANK of each cell, and all
+tables: query x centroid plus a table of query x codeword entries per subspace. The best RERANK of each cell, and all
 that tie with the last of them (equal vectors share list and code, hence the score), are reranked exactly on the
 original vectors in double precision, and a query's best over all cells are its result.
 
+How many lists a query probes is measured when the index is fitted: the least number that holds a share REACH of the
+true neighbours of CALIBRATE sample rows within the sample. It does not grow with the table (neighbours in a larger
+table are nearer, so fewer lists hold them): a few lists where vectors cluster, a good third of them where, as in random
+directions, neighbours are hardly nearer than the rest. As many lists as hold LEAST_SCAN vectors are probed at least.
+
 Defined results: vectors that are null, zero, hold a null or non-finite component or have another length than the most
 frequent one (the larger, if equal) take no part, nor do rows without vec_id; rows that repeat a vec_id count once,
 with the least vector; ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
@@ -24,7 +29,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
-SAMPLE, SUBSPACES, CODES, CELL, QUERIES, RERANK, PROBES, LEAST_SCAN = 16_384, 16, 256, 8192, 512, 200, 0.55, 4096
+SAMPLE, SUBSPACES, CODES, CELL, QUERIES, RERANK, LEAST_SCAN = 16_384, 16, 256, 8192, 2048, 200, 4096
+CALIBRATE, REACH, NEIGHBOURS = 512, 0.95, 20
+#: Queries scored against a cell at a time: a matrix of 8 MB.
+STEP = 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -48,12 +56,25 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Codebooks:
     def __init__(self, sample: np.ndarray, n: int) -> None:
         dims = sample.shape[1]
-        self.n_lists = max(1, min(int(2 * math.sqrt(n)), len(sample) // 16))
+        self.n_lists = max(1, min(int(4 * math.sqrt(n)), len(sample) // 16))
         self.centroids = kmeans(sample, self.n_lists, 10, 1)
         rest = sample - self.centroids[nearest(sample, self.centroids)]
         self.parts = np.array_split(np.arange(dims), min(SUBSPACES, dims))
         self.words = [kmeans(np.ascontiguousarray(rest[:, p]), min(CODES, len(sample)), 6, 2 + i) for i, p in enumerate(self.parts)]
-        self.probes = min(self.n_lists, max(1, math.ceil(PROBES * self.n_lists), math.ceil(LEAST_SCAN * self.n_lists / n)))
+        self.probes = min(self.n_lists, max(self._measured(sample), math.ceil(LEAST_SCAN * self.n_lists / n)))
+
+    def _measured(self, sample: np.ndarray) -> int:
+        """The least number of lists that holds REACH of the sample's true neighbours of some of its rows."""
+        rows = np.linspace(0, len(sample) - 1, min(CALIBRATE, len(sample))).astype(int)
+        q, k = sample[rows], min(NEIGHBOURS, len(sample) - 1)
+        if not k:
+            return 1
+        scores = q @ sample.T
+        scores[np.arange(len(rows)), rows] = -np.inf
+        true = np.argpartition(-scores, k - 1, 1)[:, :k]
+        place = np.argsort(np.argsort(-(q @ self.centroids.T), 1), 1)
+        ranks = np.sort(np.take_along_axis(place, nearest(sample, self.centroids)[true], 1).ravel())
+        return int(ranks[math.ceil(REACH * len(ranks)) - 1]) + 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = nearest(x, self.centroids)
@@ -110,22 +131,24 @@ def _search(books, dims, k):
                 ids, lists = np.array(row["ids"], np.int64), np.array(row["lists"])
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 x = np.frombuffer(row["vecs"], np.float32).reshape(len(ids), dims)
-                q_ids, q = np.array(row["q_ids"], np.int64), np.frombuffer(row["q_vecs"], np.float32).reshape(-1, dims)
-                scores = (q @ b.centroids.T)[:, lists]
-                for m, t in enumerate(b.tables(q)):
-                    scores += t[:, codes[:, m]]
-                scores[~b.probed(q)[:, lists] | (q_ids[:, None] == ids[None])] = -np.inf
+                all_ids, all_q = np.array(row["q_ids"], np.int64), np.frombuffer(row["q_vecs"], np.float32).reshape(-1, dims)
                 depth = min(RERANK, len(ids))
-                least = -np.partition(-scores, depth - 1, 1)[:, depth - 1]
-                out_q, out_v, out_s = [], [], []
-                for i, bound in enumerate(least):
-                    near = np.flatnonzero((scores[i] >= bound) & np.isfinite(scores[i]))
-                    exact = (x[near].astype(np.float64) * q[i].astype(np.float64)).sum(1)
-                    near, exact = (y[np.lexsort((ids[near], -exact))[:k]] for y in (near, exact))
-                    out_q.append(np.full(len(near), q_ids[i]))
-                    out_v.append(ids[near])
-                    out_s.append(exact)
-                yield pa.record_batch({"query_id": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_v)), "score": pa.array(np.concatenate(out_s))})
+                for at in range(0, len(all_ids), STEP):
+                    q_ids, q = all_ids[at : at + STEP], all_q[at : at + STEP]
+                    scores = (q @ b.centroids.T)[:, lists]
+                    for m, t in enumerate(b.tables(q)):
+                        scores += t[:, codes[:, m]]
+                    scores[~b.probed(q)[:, lists] | (q_ids[:, None] == ids[None])] = -np.inf
+                    least = -np.partition(-scores, depth - 1, 1)[:, depth - 1]
+                    out_q, out_v, out_s = [], [], []
+                    for i, bound in enumerate(least):
+                        near = np.flatnonzero((scores[i] >= bound) & np.isfinite(scores[i]))
+                        exact = (x[near].astype(np.float64) * q[i].astype(np.float64)).sum(1)
+                        near, exact = (y[np.lexsort((ids[near], -exact))[:k]] for y in (near, exact))
+                        out_q.append(np.full(len(near), q_ids[i]))
+                        out_v.append(ids[near])
+                        out_s.append(exact)
+                    yield pa.record_batch({"query_id": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_v)), "score": pa.array(np.concatenate(out_s))})
 
     return run
 
@@ -152,8 +175,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     dims = lengths["d"]
     rows = common.table(rows.where(F.size("embedding") == dims).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     n = rows.count()
-    share = min(1.0, 1.1 * SAMPLE / n)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow()
+    size = min(4 * SAMPLE, max(SAMPLE, n // 64))
+    share = min(1.0, 1.1 * size / n)
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("vec_id")).limit(size).toArrow()
     books = spark.sparkContext.broadcast(Codebooks(sample.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims), n))
 
     index = common.table(rows.mapInArrow(_encode(books, dims), "vec_id long, list int, code binary, vec binary"), "ivf")

@@ -2,15 +2,17 @@ r"""Chat formatting in budgeted windows.
 
 A conversation's turns, in order, are marked up and cut into windows of at most `budget` tokens: running prefix sums
 of turn tokens choose the spans, which begin and end at turns. Every window starts with the conversation's system turn
-(if its first turn is one) and repeats the turns just before its span, as far as `history` tokens reach. Loss spans
-cover assistant texts once: those of repeated turns are masked. A turn longer than the budget is a window of its own.
+(if its first turn is one) and repeats the turns just before its span, as far as `history` tokens reach and as the
+window's first own turn leaves room. Loss spans cover assistant texts once: those of repeated turns are masked. Only a
+turn that does not fit beside the system turn exceeds the budget; it is a window of the system turn and itself.
 
 Template: `### ROLE: TEXT </turn>` and a line feed. Inside texts and roles a backslash escapes: `\` is `\\`, `###` is
 `#\#\#`, `</turn>` is `<\/turn>`, and `:` in a role is `\:`; so the marks never occur in escaped text, and
 dropping the escapes restores it.
 
-Rows are dealt by conversation and sorted, then streamed: a task holds the current window, its history and the system
-turn, never a whole conversation, however long.
+Tokens are counted where the rows are read, so that a hot conversation's count is spread. Rows are then dealt by
+conversation and sorted, then streamed: a task holds the current window, its history and the system turn, never a whole
+conversation, however long.
 
 Defined results: null roles and texts are empty; rows of a null conv_id are one conversation; equal turn numbers are
 ordered by role, then text (nulls first), repeated rows are turns of their own; an empty table gives no rows; other
@@ -66,27 +68,28 @@ def parse(window: str) -> list[tuple[str, str]]:
 
 
 class Turn:
-    def __init__(self, role: str, text: str, count) -> None:
-        self.assistant = role == "assistant"
+    def __init__(self, role: str, text: str, tokens: int) -> None:
+        self.system, self.assistant = role == "system", role == "assistant"
         self.marked, self.start, self.end = mark(role, text)
-        self.tokens = count(self.marked)
+        self.tokens = tokens
 
 
 def windows(turns, budget: int = BUDGET, history: int = HISTORY):
     """Windows of one conversation's turns as (repeated turns, own turns), streamed."""
     system, past, own = None, deque(), []
-    total, past_from, own_from = 0, 0, 0  # prefix sums: all turns, and before the first of past and of own
+    total, past_from, start = 0, 0, 0  # prefix sums: before the next turn, the first of past, and what a window repeats
     repeated: list[Turn] = []
-    room = budget
     for k, turn in enumerate(turns):
-        if own and total + turn.tokens - own_from > room:
+        if own and total - start + turn.tokens > budget:
             yield repeated, own
-            repeated = ([system] if system else []) + list(past)
-            room = budget - (system.tokens if system else 0) - (total - past_from)
-            own, own_from = [], total
+            room = budget - turn.tokens - (system.tokens if system else 0)
+            while past and total - past_from > min(history, room):
+                past_from += past.popleft().tokens
+            repeated, own = ([system] if system else []) + list(past), []
+            start = past_from - (system.tokens if system else 0)
         own.append(turn)
         total += turn.tokens
-        if k == 0 and turn.marked.startswith(f"{OPEN}system: "):
+        if k == 0 and turn.system:
             system, past_from = turn, total
             continue
         past.append(turn)
@@ -96,17 +99,23 @@ def windows(turns, budget: int = BUDGET, history: int = HISTORY):
         yield repeated, own
 
 
-def _format(path, budget, history):
+def _count(path):
     def run(batches):
         tok = pre_tokenizer(path)
+        for batch in batches:
+            rows = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            tokens = [tok.count(mark(role or "", text or "")[0]) for role, text in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64())], [*batch.schema.names, "tokens"])
+
+    return run
 
-        def count(text: str) -> int:
-            return tok.count(text)
 
+def _format(budget, history):
+    def run(batches):
         def rows():
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield row["conv_id"], row["role"] or "", row["text"] or ""
+                    yield row["conv_id"], row["role"] or "", row["text"] or "", row["tokens"]
 
         out: list[dict] = []
         size, stream = 0, rows()
@@ -118,7 +127,7 @@ def _format(path, budget, history):
                 nonlocal ahead
                 while ahead is not None and ahead[0] == conv_id:
                     now, ahead = ahead, next(stream, None)
-                    yield Turn(now[1], now[2], count)
+                    yield Turn(*now[1:])
 
             for number, (repeated, own) in enumerate(windows(turns(), budget, history)):
                 at, starts, ends = sum(len(t.marked) for t in repeated), [], []
@@ -144,8 +153,10 @@ def format_windows(turns: DataFrame, path: str | None = None, budget: int = BUDG
     """Windows of all conversations of turns (conv_id, turn, role, text)."""
     common.bounded_batches(turns.sparkSession)
     rows = turns.select(common.col("conv_id").cast("long").alias("conv_id"), common.col("turn").alias("turn"), common.col("role").cast("string").alias("role"), common.col("text").cast("string").alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_format(path or default_path(), budget, history), SCHEMA)
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    counted = rows.mapInArrow(_count(path or default_path()), f"{fields}, tokens long")
+    ordered = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "role", "text", "tokens").mapInArrow(_format(budget, history), SCHEMA)
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,17 +17,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
 #: Rows of a dictionary that may be sent to every worker; the rest of it is joined by shuffle.
 HOT_WORDS = 1 << 18
+#: Rows of two longs that may be broadcast to find documents: 16 MB. More are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 _own_scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset: a temporary one, removed at exit, if all
+    executors are on this machine, else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_scratch:
-        _own_scratch.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
+        folder = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_scratch.append("file://" + folder)
     return _own_scratch[0]
 
 
@@ -55,6 +64,26 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(col(name), F.lit(""))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows named by gone (doc_id, tie: hash of the text); null ids are equal."""
+    d, t = free(docs, "gone_doc", "gone_tie")
+    gone = gone.select(F.col("doc_id").alias(d), F.col("tie").alias(t))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(side, col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text_of()) == F.col(t)), "left_anti")
+
+
 class RowIds:
     """Row ids of one task: unique over all tasks of the job that writes them."""
 

@@ -29,7 +29,8 @@ from sparkloom.llm import common
 
 TRAIN_ROWS, LANDMARKS, SAMPLE_CHARS, RIDGE, SHARPNESS, BATCH, CHUNK = 3000, 160, 20_000, 1e-4, 3.0, 128, 1 << 17
 KNOWN_IN, FAR, TYPICAL, SLACK = 250, 0.65, 0.5, 2.0
-_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+#: Every code point: a letter (any Unicode category L) or not.
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def grams(text: str) -> np.ndarray:
@@ -37,7 +38,7 @@ def grams(text: str) -> np.ndarray:
     parts, letters = [], False
     for at in range(0, len(text), CHUNK):
         x = np.frombuffer(text[max(0, at - 2) : at + CHUNK].lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-        letter = _LETTER[np.minimum(x, 0xFFFF)] | (x > 0xFFFF)
+        letter = _LETTER[x]
         letters |= bool(letter.any())
         x = np.where(letter, x, np.uint64(32))
         two = x[:-1] << np.uint64(21) | x[1:]
@@ -159,11 +160,13 @@ def predict(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame) -> DataFrame:
-    """docs without those of no language: `und`, or too few n-grams known to any learned language."""
+    """docs (doc_id, text, lang) without those of no language: `und`, or too few n-grams known to any learned language.
+
+    Null and letterless texts go; of equal rows all go or all stay; without a labelled row all go; an empty table stays
+    empty; other columns, whatever their names, pass through.
+    """
     found = predict(docs, fit(docs)).where((F.col("lang_pred") == "und") | (F.col("familiar") < 0))
-    gone = common.table(found.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct(), "no-language")
-    side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    return docs.join(side, common.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(common.text_of()) == F.col("_t")), "left_anti")
+    return common.without(docs, common.table(found.select("doc_id", "tie").distinct(), "no-language"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,16 +90,16 @@ def schedule(spark: SparkSession, quotas: list[int], block: int = BLOCK) -> Data
     return ranked.join(needed, "source_no").where("at < need").select(F.col("i").alias("slot"), "source_no", F.col("at").alias("k"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces). rows: uid, doc_id, source_no, size, source_size, target of every row of docs (doc_id, text, source;
-    _uid if it has one). pieces: the mix, as slot, uid, pass, first_word, n_words."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, uid_column: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces). rows: uid, doc_id, source_no, size, source_size, target of every row of docs (doc_id, text, source).
+    pieces: the mix, as slot, uid, pass, first_word, n_words. uid_column: one of docs that tells its rows apart, if any."""
     spark = docs.sparkSession
-    uid = F.col("_uid") if "_uid" in docs.columns else F.monotonically_increasing_id()
+    uid = common.col(uid_column) if uid_column else F.monotonically_increasing_id()
     text = common.text_of()
     rows = common.table(
         docs.select(
             uid.alias("uid"), common.col("doc_id").cast("long").alias("doc_id"), common.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"),
-            F.xxhash64(common.col("doc_id").cast("long"), F.lit(9)).alias("h"), F.xxhash64(text).alias("tie"),
+            F.xxhash64(common.col("doc_id").cast("long"), text, F.lit(9)).alias("h"),
         ),
         "mix-rows",
     )
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sources = spark.createDataFrame([(s, i, n, t, q) for i, ((s, n), t, q) in enumerate(zip(sums, aims, quotas, strict=True))], "s string, source_no int, source_size long, target double, quota long")
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     bucket = F.shiftrightunsigned("h", 64 - int(math.log2(BUCKETS))).cast("int")
-    placed = _prefix(rows.where("size > 0").withColumn("bucket", bucket), ["source_no"], "bucket", ["h", "doc_id", "tie", "uid"], F.col("size"))
+    placed = _prefix(rows.where("size > 0").withColumn("bucket", bucket), ["source_no"], "bucket", ["h", "doc_id", "uid"], F.col("size"))
     passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", F.col("at") + F.col("pass") * F.col("source_size")).where("at < quota")
     end = F.col("at") + F.col("size")
     cut = passes.select("uid", "source_no", "pass", "at", end.alias("end"), "quota", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("k"))
@@ -121,14 +121,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row for each pass in which at least half of the document's words are taken."""
-    names = docs.columns
-    held = common.table(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-docs")
-    rows, pieces = mix(held)
+    """docs (doc_id, text, source) as the mix takes them: a row for each pass in which at least half of the document's
+    words are taken.
+
+    A document without words goes; equal rows are documents of their own; a null source is a source; an empty table
+    stays empty; other columns, whatever their names, pass through.
+    """
+    uid, other, n = common.free(docs, "row_uid", "mix_uid", "mix_copies")
+    held = common.table(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-docs")
+    rows, pieces = mix(held, uid_column=uid)
     taken = pieces.groupBy("uid", "pass").agg(F.sum("n_words").alias("n")).join(rows.select("uid", "size"), "uid").where("2 * n >= size")
-    copies = taken.groupBy("uid").agg(F.count("*").cast("int").alias("_copies")).withColumnRenamed("uid", "_mix_uid")
-    out = held.join(copies, F.col("_uid") == F.col("_mix_uid")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*(common.col(c) for c in names))
+    copies = taken.groupBy("uid").agg(F.count("*").cast("int").alias(n)).withColumnRenamed("uid", other)
+    out = held.join(copies, F.col(uid) == F.col(other))
+    return out.select(*(common.col(c) for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(n))).alias(uid)).drop(uid)
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

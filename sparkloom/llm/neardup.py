@@ -7,8 +7,9 @@
    one in about 100,000 is missed). So two candidates share a pair among the COORDINATES - matches + 1 rarest of
    either one, and only those prefixes are posted; pairs held by one class alone are never posted, and long lists
    (a passage in very many texts) are skipped where rarer pairs suffice.
-3. Classes that share a posted pair form clusters (star edges to each list's least id, then connected components),
-   inside which collisions over whole signatures are counted and pairs with so many or more are confirmed on full sets.
+3. Classes that share a posted pair form clusters (star edges to each list's least id, then connected components), inside
+   which posting lists are merged: a class's shortest lists (the prefix) are merged and their collisions counted, the
+   longest are skipped and only probed for the classes met so. Pairs above the match threshold are confirmed on full sets.
    A cluster is cut into chunks of CHUNK. First each chunk is searched by itself, best matches first; a pair whose ends
    are linked already needs no confirmation. Then the busiest member of each group found in a chunk stands for it in
    chunks of such members, level by level. Last, all members outside a cluster's largest component so far meet all of
@@ -36,6 +37,8 @@ from sparkloom.llm import common
 COORDINATES, SHINGLE, CHUNK = 64, 5, 512
 #: Classes whose ids may be broadcast to pick their texts: 16 MB of ids. More are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Edges of a node that may meet in one task.
+HOT_NODE = 256
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_250_801)
 _MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,22 +111,34 @@ def _sets(batches):
         })
 
 
+def _with_least(edges: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n). A hot node's edges, n over `many`, stay where they are: its m is sent to them."""
+    hot = F.broadcast(least.where(F.col("n") > many).select(F.col("u").alias("hot"), "m"))
+    spread = edges.join(hot, F.col("u") == F.col("hot")).select("u", "v", "m")
+    rest = edges.join(hot, F.col("u") == F.col("hot"), "left_anti").join(least.where(F.col("n") <= many).select("u", "m"), "u").select("u", "v", "m")
+    return spread.unionAll(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (its component's least node) for edges (a, b); alternates large and small stars until stable.
 
     Each step is a join and an aggregate over the remaining edges; the edges are written to the shared folder between
-    steps. No component is gathered in one task: only least neighbours are aggregated, and joins on a hot node split.
+    steps. No component is gathered in one task: only least neighbours are aggregated, and a hot node's edges never meet.
     """
     edges = common.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     before = None
+    now = (edges.count(), None)
     while True:
+        # nodes with more edges than this are at most BROADCAST_IDS, as every edge has two ends
+        many = max(HOT_NODE, 2 * now[0] // BROADCAST_IDS)
         # large star: every larger neighbour of a node points to the least of its neighbours
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.where("v > u"), least, many).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours point to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = common.table(large, "cc")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, many).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.table(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
         if now == before:
@@ -131,6 +146,41 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _collisions(sig: np.ndarray, size: np.ndarray, allowed, percent: int, matches: int):
+    """(i, others, collisions) of each signature i and those others of at least `matches` collisions that allowed(i) names.
+
+    Every coordinate's values have posting lists. Of i's lists the COORDINATES - matches + 1 shortest are its prefix: one
+    with enough collisions is in some of them, so these are merged and counted; the rest, the longest, are skipped and
+    only probed for what the merge has found. Sets too unlike in size are dropped before.
+    """
+    n = len(sig)
+    lists = np.argsort(sig, 0, kind="stable")
+    values = np.take_along_axis(sig, lists, 0)
+    first = np.vstack([np.ones((1, sig.shape[1]), bool), values[1:] != values[:-1]])
+    start = np.maximum.accumulate(np.where(first, np.arange(n)[:, None], 0), 0)
+    after = np.vstack([first[1:], np.ones((1, sig.shape[1]), bool)])
+    end = np.minimum.accumulate(np.where(after, np.arange(1, n + 1)[:, None], n)[::-1], 0)[::-1]
+    low, high = np.empty_like(start), np.empty_like(end)
+    np.put_along_axis(low, lists, start, 0)
+    np.put_along_axis(high, lists, end, 0)
+    order = np.argsort(high - low, 1, kind="stable")
+    lists = np.ascontiguousarray(lists.T)
+    for i in range(n):
+        others = allowed(i)
+        if others is None:
+            continue
+        prefix = order[i, : sig.shape[1] - matches + 1]
+        merged = [lists[c, low[i, c] : high[i, c]] for c in prefix.tolist() if high[i, c] - low[i, c] > 1]
+        if not merged:
+            continue
+        counts = np.bincount(np.concatenate(merged), minlength=n)
+        near = np.flatnonzero((counts > 0) & others & (100 * np.minimum(size[i], size) >= percent * np.maximum(size[i], size)))
+        skipped = order[i, sig.shape[1] - matches + 1 :]
+        found = counts[near] + (sig[near][:, skipped] == sig[i, skipped]).sum(1)
+        keep = found >= matches
+        yield i, near[keep], found[keep]
+
+
 def _linker(percent: int):
     matches = least_matches(percent)
 
@@ -142,18 +192,14 @@ def _linker(percent: int):
         sets = [np.frombuffer(x, np.uint64) for x in cell.shingles]
         size = np.array([len(s) for s in sets], np.int64)
         sig = np.stack([signature(s) for s in sets])
-        one = int(cell.ci.iloc[0]) == int(cell.cj.iloc[0])
-        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(own == cell.ci.iloc[0]), np.flatnonzero(own == cell.cj.iloc[0]))
+        ci, cj = int(cell.ci.iloc[0]), int(cell.cj.iloc[0])
+        one, place = ci == cj, np.arange(len(ids))
+        allowed = (lambda i: place > i) if one else (lambda i: own == cj if own[i] == ci else None)
         found_i, found_j, found_m = [], [], []
-        for i in left:
-            other = right[right > i] if one else right
-            fits = 100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other])
-            other = other[fits]
-            same = (sig[other] == sig[i]).sum(1)
-            keep = same >= matches
-            found_i.append(np.full(int(keep.sum()), i))
-            found_j.append(other[keep])
-            found_m.append(same[keep])
+        for i, others, found in _collisions(sig, size, allowed, percent, matches):
+            found_i.append(np.full(len(others), i))
+            found_j.append(others)
+            found_m.append(found)
         out: list[tuple[int, int]] = []
         if found_i:
             i, j, m = (np.concatenate(x) for x in (found_i, found_j, found_m))
@@ -276,16 +322,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs with one document of each group: rows that are not their component's least doc_id go; rows that repeat a kept doc_id stay once."""
+    """docs (doc_id, text) with one document of each group: rows that are not their component's least doc_id go.
+
+    Rows that repeat a kept doc_id stay once, the one with the least hash of its text; rows of a null doc_id and texts
+    without words stay; an empty table stays empty; other columns, whatever their names, pass through.
+    """
     found = near_duplicates(docs, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again_id"))
-    left = docs.join(gone, common.col("doc_id") == F.col("_gone_id"), "left_anti")
-    if not again.isEmpty():
-        marked = left.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, common.col("doc_id") == F.col("_again_id"), "left")
-        once = Window.partitionBy("_again_id").orderBy(F.xxhash64("text"))
-        left = marked.where("_again_id is null").drop("_again_id").unionByName(marked.where("_again_id is not null").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_again_id", "_n"))
-    return left
+    gone_id, again_id, h, row, kept = common.free(docs, "gone_id", "again_id", "text_hash", "row_uid", "kept_uid")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again_id))
+    doc_id = common.col("doc_id").cast("long")
+    left = docs.join(gone, doc_id == F.col(gone_id), "left_anti")
+    if again.isEmpty():
+        return left
+    # the row kept of each repeated id is found by an aggregate, which a hot id does not gather in one task
+    left = common.table(left.withColumns({h: F.xxhash64(common.text_of()), row: F.monotonically_increasing_id()}), "once")
+    side = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    first = left.join(side, doc_id == F.col(again_id)).groupBy(again_id).agg(F.min(F.struct(h, row)).alias("least")).select(again_id, F.col(f"least.{row}").alias(kept))
+    first = common.table(first, "first-rows")
+    firsts = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+    marked = left.join(firsts, doc_id == F.col(again_id), "left").where(F.col(again_id).isNull() | (F.col(row) == F.col(kept)))
+    return marked.select(*(common.col(c) for c in docs.columns))
 
 
 def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

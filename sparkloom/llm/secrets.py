@@ -26,6 +26,8 @@ OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{24})(?=[A-Za-z+/_-]*[0-9])(?=[
 KINDS = ("assign", "access", "hex", "opaque")
 SHARED_OWNERS = 3
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+#: Matches whose places are summed before they join the others'.
+RUN = 256
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
@@ -33,15 +35,25 @@ def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
     p = F.lit(pattern)
     gaps, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
     steps = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), value, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), v.alias("v")))
-    found = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(F.coalesce(a["out"], F.array().cast(SPAN)), F.array(F.struct((a["at"] + x["g"]).alias("s"), F.lit(kind).alias("k"), (a["at"] + x["g"] + x["m"]).alias("e"), x["v"].alias("v")))).cast(SPAN).alias("out"),
-        ),
-        lambda a: F.coalesce(a["out"], F.array().cast(SPAN)),
-    )
+    none = F.array().cast(SPAN)
+
+    def one(a: Column, x: Column) -> Column:
+        start, end = a["at"] + x["g"], a["at"] + x["g"] + x["m"]
+        span = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["v"].alias("v"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).cast(SPAN).alias("out"))
+
+    def runs(all_steps: Column) -> Column:
+        """Places by runs of RUN matches: an array that grew by one match a step would cost the square of their number."""
+
+        def run(a: Column, first: Column) -> Column:
+            inner = F.aggregate(F.slice(all_steps, first, F.lit(RUN)), F.struct(a["at"].alias("at"), none.alias("out")), one)
+            joined = lambda i: F.struct(i["at"].alias("at"), F.concat(a["out"], F.array(i["out"])).cast(f"array<{SPAN}>").alias("out"))
+            return F.get(F.transform(F.array(inner), joined), F.lit(0))
+
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_steps), F.lit(1)), F.lit(RUN))
+        return F.aggregate(firsts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), run, lambda a: F.flatten(a["out"]))
+
+    found = F.get(F.transform(F.array(steps), runs), F.lit(0))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 

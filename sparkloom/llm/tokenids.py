@@ -74,11 +74,18 @@ class EliasFano:
             seen += int(self.high[at >> 3]) >> (7 - (at & 7)) & 1
         return (at - i) << self.bits | self._low(i)
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        out = (ones - np.arange(self.n)) << self.bits
-        if self.bits and self.n:
-            low = np.unpackbits(self.low)[: self.n * self.bits].reshape(self.n, self.bits).astype(np.int64)
+    def run(self, i: int) -> np.ndarray:
+        """Values i .. i + SAMPLE (fewer at the end), i a multiple of SAMPLE: the code between two select samples alone."""
+        k = i // SAMPLE
+        last = min(i + SAMPLE, self.n - 1)
+        first_bit, last_bit = int(self.samples[k]), int(self.samples[k + 1]) if last == i + SAMPLE else 8 * len(self.high) - 1
+        byte = first_bit >> 3
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : (last_bit >> 3) + 1])) + 8 * byte
+        ones = ones[ones >= first_bit][: last - i + 1]
+        out = (ones - np.arange(i, last + 1)) << self.bits
+        if self.bits:
+            a, b = i * self.bits, (last + 1) * self.bits
+            low = np.unpackbits(self.low[a >> 3 : (b + 7) >> 3])[a & 7 :][: b - a].reshape(-1, self.bits).astype(np.int64)
             out = out | low @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
         return out
 
@@ -141,12 +148,17 @@ def _documents(with_ids: bool):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano(row["n_docs"] + 1, row["bits"], row["low"], row["high"], row["select"]).values()
+                code = EliasFano(row["n_docs"] + 1, row["bits"], row["low"], row["high"], row["select"])
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
                 raw, first = memoryview(ids.tobytes()), row["base"] + row["start"]
-                cut = [raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                starts, sizes, cut = [], [], []
+                for i in range(0, row["n_docs"], SAMPLE):
+                    ends = code.run(i)
+                    starts.append(first + ends[:-1])
+                    sizes.append(np.diff(ends))
+                    cut += [raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 columns = {
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(first + ends[:-1], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()),
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(np.concatenate(starts), pa.int64()), "n_tokens": pa.array(np.concatenate(sizes), pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(x) for x in cut], pa.int64()),
                 }
                 if with_ids:
@@ -158,15 +170,41 @@ def _documents(with_ids: bool):
 
 def read_token_ids(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, decoded from the files in `out`."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
+    return _placed(spark, out).mapInArrow(_documents(with_ids), schema)
+
+
+def _placed(spark: SparkSession, out: str) -> DataFrame:
+    """Blocks with `base`: the ids of all shards before."""
     common.bounded_batches(spark)
     blocks = spark.read.schema(SCHEMA).parquet(out)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     columns = ["start", "n_docs", "bits", "doc_ids", "low", "high", "select", "width", "ids", "base"]
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
     # one row per shard, that is per written partition: some ten thousand even at 100 TB
-    return blocks.join(F.broadcast(base), "shard").select(*(common.col(c) for c in columns)).mapInArrow(_documents(with_ids), schema)
+    return blocks.join(F.broadcast(base), "shard").select(*(common.col(c) for c in columns))
+
+
+def _one_document(doc_id: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                code = EliasFano(row["n_docs"] + 1, row["bits"], row["low"], row["high"], row["select"])
+                nulls = row["doc_ids"].count(None)
+                found = nulls + np.searchsorted(row["doc_ids"][nulls:], [doc_id, doc_id + 1])
+                spans = [(code.select(i), code.select(i + 1)) for i in range(*found.tolist())]
+                w = row["width"]
+                ids = [np.frombuffer(row["ids"][w * a : w * b], f"<u{w}").astype(np.int64) for a, b in spans]
+                yield pa.record_batch({"start": pa.array([row["base"] + row["start"] + a for a, _ in spans], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
+
+    return run
+
+
+def read_document(spark: SparkSession, out: str, doc_id: int) -> DataFrame:
+    """start, ids of the documents with this id: only blocks that can hold it are decoded, two boundaries each by select."""
+    first, last = F.element_at("doc_ids", 1), F.element_at("doc_ids", -1)
+    return _placed(spark, out).where((first.isNull() | (first <= doc_id)) & (last >= doc_id)).mapInArrow(_one_document(doc_id), "start long, ids array<bigint>")
 
 
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:

@@ -74,8 +74,8 @@ def unigram(docs):
     return out
 
 
-def ppm_logs(train: list[bytes], texts: list[bytes], order: int = 2) -> list[float]:
-    """Order-2 PPM, method C with exclusion, symbol by symbol over dictionaries."""
+def ppm_logs(train: list[bytes], texts: list[bytes], order: int = 4) -> list[float]:
+    """PPM, method C with exclusion, symbol by symbol over dictionaries."""
     tries: list[dict] = [{} for _ in range(order + 1)]
 
     def symbols(t):
@@ -139,21 +139,19 @@ def components(docs, percent: int = 85):
     return {i: find(i) for i in root}
 
 
-def contaminated(text: str | None, items: list[tuple[int, list[int]]] | list, similarity: float = 0.8) -> set:
-    """Items one of whose windows in the text has that weighted similarity; items: (id, shingle Counter, length)."""
+def contaminated(text: str | None, items: list, similarity: float = 0.8) -> dict:
+    """item -> largest weighted similarity of a window of its length, over all starts; items: (id, shingle Counter, shingles)."""
     w = re.findall(r"[^\W_]+", (text or "").lower())
     sh = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    where: dict = {}
-    for p, s in enumerate(sh):
-        where.setdefault(s, []).append(p)
-    out = set()
+    out: dict = {}
     for item_id, counts, order in items:
-        starts = {p - a for a, s in enumerate(order) for p in where.get(s, ())}
-        for start in starts:
+        if len({s for s in sh if s in counts}) < similarity * len(counts) * 0.5:
+            continue
+        for start in range(1 - len(order), len(sh)):
             part = Counter(sh[max(0, start) : max(0, start + len(order))])
             both = sum((part & counts).values())
             if both and both >= similarity * sum((part | counts).values()):
-                out.add(item_id)
+                out[item_id] = max(out.get(item_id, 0), both / sum((part | counts).values()))
     return out
 
 
@@ -165,3 +163,50 @@ def item_shingles(items):
         if order:
             out.append((i, Counter(order), order))
     return out
+
+
+def chat_windows(tokens: list[int], system: bool, budget: int, history: int) -> list[tuple[list[int], list[int]]]:
+    """(repeated, own) turn numbers of each window, by trying sums of whole lists anew."""
+    out, own, repeated, cost = [], [], [], lambda turns: sum(tokens[t] for t in turns)
+    first = [0] if system else []
+    for t in range(len(tokens)):
+        if own and cost(repeated + own) + tokens[t] > budget:
+            out.append((repeated, own))
+            before = [p for p in range(len(first), t)]
+            fits = [n for n in range(len(before) + 1) if cost(before[len(before) - n :]) <= min(history, max(0, budget - tokens[t] - cost(first)))]
+            n = max(fits)
+            repeated, own = first + before[len(before) - n :], []
+        own = [*own, t]
+    return [*out, (repeated, own)] if own else out
+
+
+def mixture_targets(docs) -> dict:
+    """source -> (size, target) of (text, source), by fractions and one cap at a time."""
+    from fractions import Fraction
+
+    size: dict = {}
+    for text, source in docs:
+        size[source] = size.get(source, 0) + len(WORD.findall(text or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, free, out = Fraction(3 * sum(size.values()), 2), set(order), {}
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        worst = max(free, key=lambda s: share[s] - 2 * size[s])
+        if share[worst] <= 2 * size[worst]:
+            return {s: (size[s], float(out.get(s, share.get(s)))) for s in order}
+        out[worst] = 2 * size[worst]
+        left -= out[worst]
+        free.remove(worst)
+    return {s: (size[s], float(out[s])) for s in order}
+
+
+def kernel(a: str, b: str) -> float:
+    """Normalised number of distinct 1- to 3-grams that two texts share; what is no letter is a blank."""
+
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / math.sqrt(len(x) * len(y))
