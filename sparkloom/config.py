@@ -38,6 +38,10 @@ DISPLAY_NAMES = {
     "url_count": "Number of links", "ip_address_url_count": "IP-address links", "urgency_word_count": "Urgency-related words", "credential_word_count": "Account and credential words",
     "action_word_count": "Action-request words", "money_related_word_count": "Money-related words", "uppercase_letter_ratio": "Uppercase-letter proportion", "exclamation_mark_count": "Exclamation marks",
 }
+TOWARDS = {1: "pushed the prediction towards phishing", -1: "pushed the prediction towards legitimate"}
+CLASS_NAMES = {0: "legitimate", 1: "phishing"}
+FROZEN_MODEL = {"max_depth": 4, "learning_rate": 0.05, "n_estimators": 200, "min_child_weight": 5}
+FROZEN_THRESHOLD, RELOAD_TOLERANCE = 0.35, 1e-12
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SIMILAR, VERY_SIMILAR, SEVERE_COVERAGE = 0.90, 0.95, 0.05
 KS_THRESHOLD, NEAR_CONSTANT = 0.20, 0.995
@@ -62,9 +66,26 @@ class Keywords:
     lists: dict = field(default_factory=lambda: KEYWORDS)
 
     def __post_init__(self) -> None:
-        if self.status != "frozen" or self.version != "1.0":
-            raise KeywordConfigError("keywords must be frozen, version 1.0")
-        for c in CATEGORIES:
-            words = self.lists.get(c)
-            if not words or not all(isinstance(w, str) and w for w in words):
-                raise KeywordConfigError(f"invalid keyword category: {c}")
+        if (self.status, self.version) != ("frozen", "1.0"):
+            raise KeywordConfigError("only frozen keywords of version 1.0 can be used")
+        empty = [c for c in CATEGORIES if not self.lists.get(c) or any(not isinstance(w, str) or not w for w in self.lists[c])]
+        if empty:
+            raise KeywordConfigError(f"no usable terms in {', '.join(empty)}")
+
+
+def check_frozen_model(config: dict, threshold: float | None = None) -> dict:
+    """A frozen model's configuration, if it keeps its contract: features in order, both labels, a threshold from 0 to 1
+    (or exactly `threshold`) and the seed."""
+    faults = []
+    if list(config.get("features", [])) != list(FEATURES) or list(DISPLAY_NAMES) != list(FEATURES):
+        faults.append("features")
+    if {int(k): v for k, v in config.get("labels", {}).items()} != CLASS_NAMES:
+        faults.append("labels")
+    t = config.get("threshold")
+    if not isinstance(t, (int, float)) or isinstance(t, bool) or not 0 <= t <= 1 or threshold is not None and t != threshold:
+        faults.append("threshold")
+    if config.get("seed") != SEED:
+        faults.append("seed")
+    if faults:
+        raise ContractError(f"the frozen model's configuration is wrong in: {', '.join(faults)}")
+    return config

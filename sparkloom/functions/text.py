@@ -108,9 +108,22 @@ def features(subject: Column, body: Column, keywords: C.Keywords | None = None)
     return {"url_count": url_count(text), "ip_address_url_count": ip_url_count(text)} | counts | {"uppercase_letter_ratio": uppercase_ratio(text), "exclamation_mark_count": exclamations(text)}
 
 
+def _tenths(x: Column) -> Column:
+    """x in whole tenths, rounded by its exact binary value, ties to even: as text formatting with one decimal does."""
+    k = F.floor(x * 10)
+    odd = (2 * k + 1).cast("double")
+    half = odd / 20
+    # sign of half's own error, from a product split in two exact parts
+    high = half * 134217729.0 - (half * 134217729.0 - half)
+    error = (high * 20 - odd) + (half - high) * 20
+    up = (x > half) | ((x == half) & ((error > 0) | ((error == 0) & (k % 2 == 1))))
+    return k + up.cast("bigint")
+
+
 def observed_text(feature: Column, value: Column) -> Column:
-    percent = F.concat(F.regexp_replace(F.format_string("%.1f", value * 100), r"\.?0+$", ""), F.lit("%"))
-    percent = F.when(value == 0, F.lit("0%")).otherwise(percent)
+    """A ratio as percent with at most one decimal, a count as a whole number."""
+    m = _tenths(value * 100)
+    percent = F.concat(F.floor(m / 10).cast("string"), F.when(m % 10 == 0, "").otherwise(F.concat(F.lit("."), (m % 10).cast("string"))), F.lit("%"))
     return F.when(feature == C.RATIO_FEATURE, percent).otherwise(F.round(value).cast("bigint").cast("string"))
 
 

@@ -175,12 +175,52 @@ def nearest_medoid(rows: DataFrame, medoids: DataFrame) -> DataFrame:
     return rows.join(m, "predicted_label").withColumn("_d", distance("z", "mz")).groupBy("email_id").agg(F.min(F.struct(F.col("_d").alias("distance"), F.col("medoid_id"))).alias("x")).select("email_id", "x.medoid_id", "x.distance")
 
 
-def shared_features(pairs: DataFrame, features: list[str]) -> DataFrame:
-    """email_id, rank, feature, value, example_value: the three nearest features of rows (email_id, raw, mraw, z, mz)."""
+def shared_features(pairs: DataFrame, features: list[str], constant: tuple[str, ...] = ()) -> DataFrame:
+    """email_id, rank, feature, value, example_value: the three nearest features of rows (email_id, raw, mraw, z, mz).
+
+    constant: features without any spread in the training rows; these are shared only if both values are equal.
+    """
+    same = ~F.col("x.feature").isin(*constant) | (F.col("x.a") == F.col("x.b")) if constant else F.lit(True)
     item = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col("raw")[i].alias("a"), F.col("mraw")[i].alias("b"), F.abs(F.col("z")[i] - F.col("mz")[i]).alias("d")) for i, f in enumerate(features))))
     ok = (F.col("x.d") <= C.SHARED_DIFFERENCE) & ((F.col("x.feature") == C.RATIO_FEATURE) | ((F.col("x.a") > 0) & (F.col("x.b") > 0) & (F.abs(F.col("x.a") - F.col("x.b")) <= 1)))
     order = Window.partitionBy("email_id").orderBy("x.d", "x.i")
-    return pairs.select("email_id", item.alias("x")).where(ok).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("email_id", "rank", "x.feature", F.col("x.a").alias("value"), F.col("x.b").alias("example_value"))
+    return pairs.select("email_id", item.alias("x")).where(ok & same).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("email_id", "rank", "x.feature", F.col("x.a").alias("value"), F.col("x.b").alias("example_value"))
+
+
+def constants(df: DataFrame, features: list[str]) -> tuple[str, ...]:
+    """Features of one value only in the train rows."""
+    one = df.where(F.col("split") == "train").agg(*(F.coalesce(F.min(f) == F.max(f), F.lit(True)).alias(f) for f in features)).first()
+    return tuple(f for f in features if one[f])
+
+
+def eligibility(rows: DataFrame) -> DataFrame:
+    """rows (distance, t: the class's limit, example_text, count: shared features) with `reason`: the first rule broken."""
+    blank = T.is_blank(F.coalesce("example_text", F.lit("")))
+    reason = F.when(F.col("distance") > F.col("t"), "distance").when(blank, "blank_example").when(F.coalesce("count", F.lit(0)) < 2, "shared_features").otherwise("eligible")
+    return rows.withColumn("reason", reason)
+
+
+def eligibility_counters(rows: DataFrame) -> DataFrame:
+    """One row: eligible, ineligible, each reason, and rule_violations: eligible rows that break a rule after all."""
+    r, broken = F.col("reason"), (F.col("distance") > F.col("t")) | (F.coalesce("count", F.lit(0)) < 2)
+    return rows.agg(
+        F.count_if(r == "eligible").alias("eligible"), F.count_if(r != "eligible").alias("ineligible"), *(F.count_if(r == x).alias(x) for x in ("distance", "blank_example", "shared_features")),
+        F.count_if((r == "eligible") & broken).alias("rule_violations"),
+    )
+
+
+def eligible_by_outcome(predictions: DataFrame, reasons: DataFrame) -> DataFrame:
+    """outcome_type, rows, eligible of predictions (email_id, outcome_type) and reasons (email_id, reason)."""
+    both = predictions.join(reasons.select("email_id", "reason"), "email_id")
+    return both.groupBy("outcome_type").agg(F.count("*").alias("rows"), F.count_if(F.col("reason") == "eligible").alias("eligible"))
+
+
+def largest_difference(a: DataFrame, b: DataFrame, value: str, key: str = "email_id") -> DataFrame:
+    """One row: compared, unmatched (rows of one side only) and max_abs_difference of value between two frames."""
+    left, right = (x.select(key, F.col(value).cast("double").alias(n), F.lit(1).alias(f"has_{n}")) for x, n in ((a, "x"), (b, "y")))
+    both = left.join(right, key, "full")
+    there = F.col("has_x").isNotNull() & F.col("has_y").isNotNull()
+    return both.agg(F.count_if(there).alias("compared"), F.count_if(~there).alias("unmatched"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_abs_difference"))
 
 
 def top_attributions(df: DataFrame, features: list[str], most: int = 3) -> DataFrame:
@@ -188,6 +228,6 @@ def top_attributions(df: DataFrame, features: list[str], most: int = 3) -> DataF
     item = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col("phi")[i].alias("phi"), F.col("raw")[i].alias("value")) for i, f in enumerate(features))))
     order = Window.partitionBy("email_id").orderBy(F.abs("x.phi").desc(), "x.i")
     names = F.create_map(*(F.lit(y) for f in features for y in (f, C.DISPLAY_NAMES.get(f, f))))
-    towards = F.when(F.col("x.phi") > 0, "pushed the prediction towards phishing").when(F.col("x.phi") < 0, "pushed the prediction towards legitimate").otherwise("no effect")
+    towards = F.when(F.col("x.phi") > 0, C.TOWARDS[1]).when(F.col("x.phi") < 0, C.TOWARDS[-1]).otherwise("no effect")
     out = df.select("email_id", item.alias("x")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return out.select("email_id", "rank", "x.feature", F.col("x.phi").alias("attribution"), towards.alias("direction"), F.concat(names[F.col("x.feature")], F.lit(": "), T.observed_text(F.col("x.feature"), F.col("x.value")), F.lit(" — "), towards).alias("text"))
+    return out.select("email_id", "rank", "x.feature", "x.value", F.col("x.phi").alias("attribution"), towards.alias("direction"), F.concat(names[F.col("x.feature")], F.lit(": "), T.observed_text(F.col("x.feature"), F.col("x.value")), F.lit(" — "), towards).alias("text"))

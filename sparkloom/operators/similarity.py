@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom import config as C
 
 
+def _unaccented(c: Column) -> Column:
+    plain = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    return F.pandas_udf(lambda s: s.map(plain), "string")(c)
+
+
+def folded(df: DataFrame, text: str = "text") -> DataFrame:
+    """email_id, text in lower case without accents (compatibility forms taken apart); ASCII texts stay in the JVM."""
+    rows = df.select("email_id", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    other = F.col("text").rlike(r"[^\x00-\x7F]")
+    return rows.where(~other).unionByName(rows.where(other).select("email_id", _unaccented(F.col("text")).alias("text")))
+
+
 def terms(df: DataFrame, text: str = "text") -> DataFrame:
     """email_id, term, tf over words of two or more characters and pairs of them."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     # an array of one keeps the words a bound variable, computed once
     both = F.get(F.transform(F.array(words), lambda w: F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))), F.lit(0))
-    return df.select("email_id", F.explode(both).alias("term")).groupBy("email_id", "term").agg(F.count("*").alias("tf"))
+    return folded(df, text).select("email_id", F.explode(both).alias("term")).groupBy("email_id", "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(df: DataFrame, text: str = "text") -> DataFrame:
@@ -48,6 +62,11 @@ def similar_pairs(vectors: DataFrame, rows: DataFrame, threshold: float = C.SIMI
     return found.select(F.col("a").alias("left_email_id"), "left_split", "left_label", F.col("b").alias("right_email_id"), "right_split", "right_label", "similarity", (F.col("left_sha") == F.col("right_sha")).alias("exact"))
 
 
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Most similar first, then by ids."""
+    return pairs.orderBy(F.desc("similarity"), "left_email_id", "right_email_id")
+
+
 def thresholds(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """threshold, pairs, same_label, opposite_label, evaluation_rows, coverage."""
     total = rows.where(F.col("split") != "train").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom import config as C
+from sparkloom.sources.scratch import scratch
 
 
 def melt(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
@@ -15,20 +16,42 @@ def melt(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.feature", "_p.value")
 
 
+def cumulative(freq: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """freq (keys, value, counts) with `_upto_<count>`: the sum over values up to this one, by keys.
+
+    Two levels: ranges of values, then inside a range; so a feature with very many values is not one task.
+    """
+    ranged = scratch(freq.repartitionByRange(*keys, "value").withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*keys, "_part").agg(*(F.sum(c).alias(f"_all_{c}") for c in counts))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, "_part", *(F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in counts))
+    inside = Window.partitionBy(*keys, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inner = ranged.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in counts})
+    # a row for each range, that is for each shuffle partition
+    return inner.join(F.broadcast(base), [*keys, "_part"]).select(*freq.columns, *((F.col(f"_base_{c}") + F.col(f"_in_{c}")).alias(f"_upto_{c}") for c in counts))
+
+
 def distribution(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
     """min, max, mean, median, std, nonzero, distinct values (null counts as one) and mode ratio by feature and keys.
 
-    Values are counted first, so exact medians work on distinct values and a hot value is one row.
+    Values are counted first, so a hot value is one row; medians are looked up by position in cumulative counts, and
+    deviations are taken from the mean, so that large values do not cancel.
     """
     by = [*keys, "feature"]
-    freq = melt(df, features, *keys).groupBy(*by, "value").agg(F.count("*").alias("n"))
-    v, n = F.col("value"), F.col("n")
-    total = F.sum(n)
-    return freq.groupBy(*by).agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(F.when(v.isNotNull(), n))).alias("mean"), F.percentile(v, F.lit(0.5), n).alias("median"),
-        F.sum(v * n).alias("_s"), F.sum(v * v * n).alias("_q"), F.sum(F.when(v.isNotNull(), n)).alias("_n"), F.sum(F.when(F.coalesce(v, F.lit(1.0)) != 0, n).otherwise(0)).alias("nonzero_count"),
-        (F.sum(F.when(F.coalesce(v, F.lit(1.0)) != 0, n).otherwise(0)) / total).alias("nonzero_ratio"), F.count("*").alias("unique_count"), (F.max(n) / total).alias("mode_ratio"),
-    ).withColumn("std", F.when(F.col("_n") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1)))).drop("_s", "_q", "_n")
+    freq = scratch(melt(df, features, *keys).groupBy(*by, "value").agg(F.count("*").alias("n")), "frequencies")
+    v, n, there = F.col("value"), F.col("n"), F.col("value").isNotNull()
+    nonzero = F.sum(F.when(F.coalesce(v, F.lit(1.0)) != 0, n).otherwise(0))
+    one = freq.groupBy(*by).agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(F.when(there, n))).alias("mean"), F.coalesce(F.sum(F.when(there, n)), F.lit(0)).alias("_n"), nonzero.alias("nonzero_count"),
+        (nonzero / F.sum(n)).alias("nonzero_ratio"), F.count("*").alias("unique_count"), (F.max(n) / F.sum(n)).alias("mode_ratio"),
+    )
+    few = F.broadcast(one.select(*by, "mean", "_n"))  # a row for each feature and key
+    upto, low, high = F.col("_upto_n"), F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    holds = lambda at: F.max(F.when((upto >= at) & (upto - n < at), v))
+    placed = cumulative(freq.where(there), by, ["n"]).join(few, by)
+    middle = placed.groupBy(*by).agg(((holds(low) + holds(high)) / 2).alias("median"), F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("_q"))
+    std = F.when(F.col("_n") > 1, F.sqrt(F.col("_q") / (F.col("_n") - 1)))
+    return one.join(F.broadcast(middle), by, "left").select(*by, "min", "max", "mean", "median", std.alias("std"), "nonzero_count", "nonzero_ratio", "unique_count", "mode_ratio")
 
 
 def _corr(a: str, b: str):
@@ -47,8 +70,7 @@ def pearson(df: DataFrame, features: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, features: list[str], key: str) -> DataFrame:
     """key and the average rank of each feature: ranks of distinct values, not of rows."""
     freq = melt(df, features).groupBy("feature", "value").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    rank = freq.select("feature", "value", (F.sum("n").over(upto) - (F.col("n") - 1) / 2.0).alias("rank"))
+    rank = cumulative(freq, ["feature"], ["n"]).select("feature", "value", (F.col("_upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
     return melt(df, features, key).join(rank, ["feature", "value"]).groupBy(key).pivot("feature", features).agg(F.first("rank"))
 
 
@@ -59,9 +81,9 @@ def spearman(df: DataFrame, features: list[str], key: str) -> DataFrame:
 def ks(df: DataFrame, features: list[str], split: str = "split") -> DataFrame:
     """feature, split_pair, ks_distance over each two splits, from counts of distinct values."""
     freq = melt(df, features, split).groupBy("feature", "value").pivot(split, list(C.SPLITS)).count().fillna(0, list(C.SPLITS))
-    upto = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    cdf = freq.select("feature", *(F.try_divide(F.sum(s).over(upto).cast("double"), F.sum(s).over(whole)).alias(s) for s in C.SPLITS))
+    freq = scratch(freq, "frequencies")
+    sizes = F.broadcast(freq.groupBy("feature").agg(*(F.sum(s).alias(f"_size_{s}") for s in C.SPLITS)))  # a row for each feature
+    cdf = cumulative(freq, ["feature"], list(C.SPLITS)).join(sizes, "feature").select("feature", *(F.try_divide(F.col(f"_upto_{s}").cast("double"), F.col(f"_size_{s}")).alias(s) for s in C.SPLITS))
     pairs = F.array(*(F.struct(F.lit(f"{a} vs {b}").alias("split_pair"), F.abs(F.col(a) - F.col(b)).alias("d")) for a, b in combinations(C.SPLITS, 2)))
     return cdf.select("feature", F.explode(pairs).alias("x")).groupBy("feature", "x.split_pair").agg(F.max("x.d").alias("ks_distance"))
 

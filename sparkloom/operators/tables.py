@@ -76,7 +76,9 @@ def stratified_split(df: DataFrame, ratios: dict[str, float] = C.RATIOS, seed: i
 
 
 def assigned(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    return df.join(mapping.select("email_id", "split"), "email_id", "left")
+    """df with the split of its email_id; a row that has none raises an error when it is read."""
+    split = F.when(F.col("split").isNotNull(), F.col("split")).otherwise(F.raise_error(F.concat(F.lit("no split for "), F.col("email_id"))))
+    return df.join(mapping.select("email_id", "split"), "email_id", "left").withColumn("split", split)
 
 
 def frozen_audit(known: DataFrame, frozen: DataFrame) -> DataFrame:
@@ -89,25 +91,57 @@ def frozen_audit(known: DataFrame, frozen: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.join(y, how="cross"), [a, b, c, d])  # one row each
 
 
-def greedy_extension(missing: list[tuple[str, int]], present: list[tuple[str, int, int]], ratios: dict[str, float] = C.RATIOS, seed: int = C.SEED) -> dict[str, str]:
-    """Splits of (email_id, label) without one: in hash order, each to the split with the largest label, then total deficit.
+def whole_shares(total: int, ratios: dict[str, float]) -> dict[str, int]:
+    """total in whole parts by ratio: floors, and one more for the largest fractions, the earlier split first."""
+    exact = {s: total * r for s, r in ratios.items()}
+    out = {s: int(x) for s, x in exact.items()}
+    by_fraction = sorted(ratios, key=lambda s: out[s] - exact[s])  # stable: ties stay in order
+    for s in by_fraction[: total - sum(out.values())]:
+        out[s] += 1
+    return out
+
+
+class Deficits:
+    """How many rows each split still lacks, in all and by label, while rows are given out."""
+
+    def __init__(self, totals: dict[int, int], present: dict[tuple[str, int], int], ratios: dict[str, float]) -> None:
+        self.splits = list(ratios)
+        self.total = whole_shares(sum(totals.values()), ratios)
+        self.label = {y: whole_shares(n, ratios) for y, n in totals.items()}
+        for (split, y), n in present.items():
+            self._take(split, y, n)
+
+    def _take(self, split: str, y: int, n: int = 1) -> None:
+        self.total[split] -= n
+        self.label[y][split] -= n
 
-    Sequential by definition; present is (split, label, count). Counters are kept, so it is linear.
+    def give(self, y: int) -> str:
+        """The split that lacks most rows of this label, then most rows at all, then the first."""
+        lack = [(self.label[y][s], self.total[s]) for s in self.splits]
+        split = self.splits[lack.index(max(lack))]
+        self._take(split, y)
+        return split
+
+
+def extend_split(rows: DataFrame, frozen: DataFrame, ratios: dict[str, float] = C.RATIOS, seed: int = C.SEED) -> DataFrame:
+    """email_id, split of rows (email_id, label) that have none in frozen (email_id, split), given out in hash order.
+
+    Each choice depends on the one before. So the rows are sorted over all tasks and then pass one task, which holds
+    nothing but counters; only these go through the driver.
     """
-    from hashlib import sha256
-
-    names = list(ratios)
-    count = {(s, y): n for s, y, n in present}
-    labels = {y for _, y in missing} | {y for _, y, _ in present}
-    label_total = {y: sum(count.get((s, y), 0) for s in names) + sum(1 for _, z in missing if z == y) for y in labels}
-    total, size = sum(label_total.values()), {s: sum(count.get((s, y), 0) for y in labels) for s in names}
-    out = {}
-    for i, y in sorted(missing, key=lambda r: sha256(f"{seed}:{r[0]}".encode()).hexdigest()):
-        best = max(names, key=lambda s: (label_total[y] * ratios[s] - count.get((s, y), 0), total * ratios[s] - size[s], -names.index(s)))
-        out[i] = best
-        count[best, y] = count.get((best, y), 0) + 1
-        size[best] += 1
-    return out
+    known = frozen.select("email_id", "split")
+    rows = rows.select("email_id", "label")
+    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    present = {(r["split"], r["label"]): r["count"] for r in rows.join(known, "email_id").groupBy("split", "label").count().collect()}
+    missing = rows.join(known, "email_id", "left_anti")
+    ordered = missing.orderBy(T.hash_order(seed, F.col("email_id")), "email_id").coalesce(1)
+
+    def run(frames):
+        lack = Deficits(totals, present, ratios)
+        for f in frames:
+            yield f.assign(split=[lack.give(y) for y in f.label])[["email_id", "split"]]
+
+    return ordered.mapInPandas(run, "email_id string, split string")
 
 
 def output_contract(df: DataFrame, features: tuple[str, ...]) -> DataFrame:

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ from sparkloom.operators import model as M
 from sparkloom.operators import similarity as J
 from sparkloom.operators import stats as A
 from sparkloom.operators import tables as O
-from sparkloom.sources.scratch import scratch
+from sparkloom.operators import training as R
+from sparkloom.sources.files import json_documents
+from sparkloom.sources.scratch import scratch, scratch_dir
+from sparkloom.streaming.features import with_features
 
 F4 = ["uppercase_letter_ratio", "exclamation_mark_count", "n_chars", "n_commas"]
 W4 = {"uppercase_letter_ratio": 2.0, "exclamation_mark_count": 0.5, "n_chars": -0.001, "n_commas": 0.01}
@@ -56,14 +61,27 @@ def clean(spark, sf):
     return O.keyed(s.where(~O.blank(s)))
 
 
-def processed(spark, sf):
-    kept = O.keep_first(clean(spark, sf))
-    text = F.concat_ws("\n", "sanitized_subject", "sanitized_body")
-    rows = kept.select(
-        "email_id", "original_row_number", "label", "sanitized_subject", "sanitized_body", text.alias("text"), T.uppercase_ratio(text).alias("uppercase_letter_ratio"), T.exclamations(text).alias("exclamation_mark_count"),
-        F.length(text).cast("bigint").alias("n_chars"), F.regexp_count(text, F.lit(",")).cast("bigint").alias("n_commas"),
-    )
-    return O.stratified_split(rows)
+def _features(text):
+    """Columns of one text that queries may ask processed() for."""
+    return {
+        "text": text, "uppercase_letter_ratio": T.uppercase_ratio(text), "exclamation_mark_count": T.exclamations(text), "n_chars": F.length(text).cast("bigint"), "n_commas": F.regexp_count(text, F.lit(",")).cast("bigint"),
+    }
+
+
+def keyed(spark, sf, *columns):
+    """Rows with text once cleaned, keyed and measured: what is asked for is written, and the texts are read no more."""
+    rows = clean(spark, sf)
+    rows = rows.withColumns({k: c for k, c in _features(F.concat_ws("\n", "sanitized_subject", "sanitized_body")).items() if k in columns})
+    return scratch(rows.select("email_id", "original_row_number", "label", "dedup_key", *columns), "keyed")
+
+
+def first_rows(spark, sf, *columns):
+    return O.keep_first(keyed(spark, sf, *columns)).drop("dedup_key")
+
+
+def processed(spark, sf, *columns):
+    """email_id, original_row_number, label, split and the columns asked for (F4 if none are)."""
+    return O.stratified_split(scratch(first_rows(spark, sf, *(columns or F4)), "first"))
 
 
 def scores(spark, sf):
@@ -138,25 +156,25 @@ def whitespace_norm(spark, sf):
 
 @query(f"{BASE} SELECT email_id FROM kept")
 def dedup_keep_first(spark, sf):
-    return O.keep_first(clean(spark, sf)).select("email_id")
+    return first_rows(spark, sf).select("email_id")
 
 
 @query(f"""WITH {CANON}, g AS (SELECT dedup_key, count(*) AS n, count(DISTINCT label) AS l FROM clean GROUP BY dedup_key)
 SELECT count(*) FILTER (n > 1) AS duplicate_groups, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicate_records, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS removed, count(*) FILTER (l > 1) AS conflicting_groups FROM g""")
 def dedup_stats(spark, sf):
-    return O.dedup_stats(clean(spark, sf))
+    return O.dedup_stats(keyed(spark, sf))
 
 
 @query(f"""WITH {CANON}, j AS (SELECT c.dedup_key, l.quality FROM clean c JOIN labels l ON l.doc_id = c.row_no - 1)
 SELECT dedup_key, count(*) AS n, count(DISTINCT quality) AS n_labels FROM j GROUP BY dedup_key HAVING count(DISTINCT quality) > 1""")
 def label_conflicts(spark, sf):
-    rows = clean(spark, sf).join(table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("original_row_number"), "quality"), "original_row_number")
+    rows = keyed(spark, sf).join(table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("original_row_number"), "quality"), "original_row_number")
     return O.key_groups(rows.withColumn("label", F.col("quality"))).where("n_labels > 1")
 
 
 @query(f"{BASE} SELECT CAST(label AS INT) AS label, split, CAST(idx AS INT) AS idx, quota FROM quota")
 def quota_largest_remainder(spark, sf):
-    return O.quotas(O.keep_first(clean(spark, sf)).groupBy("label").agg(F.count("*").alias("total")))
+    return O.quotas(first_rows(spark, sf).groupBy("label").agg(F.count("*").alias("total")))
 
 
 @query(f"{BASE} SELECT email_id, CAST(label AS INT) AS label, split FROM proc")
@@ -222,14 +240,92 @@ def link_normalise(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.link_target(F.col("url")).alias("target"))
 
 
-@query(f"{BASE} SELECT email_id, split, n_chars, n_commas, exclamation_mark_count, round(uppercase_letter_ratio, 6) AS uppercase_letter_ratio FROM feat WHERE split <> 'train'")
+def _term(words: str) -> str:
+    """A term over runs of letters and digits that stand between two \\x02."""
+    return r"\s+".join(f"\x02{w}\x02" for w in words.split())
+
+
+def _variants_sql(x: str) -> str:
+    """Lower case, runs marked, variants replaced by marked words; longest variant first."""
+    x = f"regexp_replace(lower({x}), '([a-z0-9]+)', chr(2) || '\\1' || chr(2), 'g')"
+    for old, new in sorted(C.VARIANTS.items(), key=lambda v: (-len(v[0]), v[0])):
+        x = f"regexp_replace({x}, '{'-'.join(f'{chr(92)}x02{w}{chr(92)}x02' for w in old.split('-'))}', '{' '.join(chr(2) + w + chr(2) for w in new.split())}', 'g')"
+    return x
+
+
+def _category_sql(category: str) -> tuple[list[str], str]:
+    """Columns that take phrases out one after the other, and the sum of all counts."""
+    phrases = sorted((t for t in C.KEYWORDS[category] if " " in t), key=lambda t: (-len(t.split()), -len(t), t))
+    words = "|".join(t for t in C.KEYWORDS[category] if " " not in t)
+    columns, counts, now = [], [], "norm"
+    for i, p in enumerate(phrases):
+        counts.append(f"len(regexp_extract_all({now}, '{_term(p)}'))")
+        columns.append(f"regexp_replace({now}, '{_term(p)}', ' ', 'g') AS {category}_{i}")
+        now = f"{category}_{i}"
+    return columns, " + ".join([*counts, f"len(regexp_extract_all({now}, '\\x02(?:{words})\\x02'))"])
+
+
+_KEYWORDS = {c: _category_sql(c) for c in C.CATEGORIES}
+_MARKS = "regexp_extract_all(text, '(?i)\\[URL:\\s*([^\\]\\r\\n]+)\\]', 1)"
+EIGHT = f"""{BASE}, nrm AS (SELECT *, {_variants_sql("text")} AS norm FROM feat), phr AS (SELECT *, {", ".join(x for columns, _ in _KEYWORDS.values() for x in columns)} FROM nrm),
+eight AS (SELECT *, CAST(len({_MARKS}) AS BIGINT) AS url_count, CAST(len(list_filter({_MARKS}, lambda u: regexp_full_match(split_part(trim(u), '/', 1), '{T.IPV4}|{T.IPV6}'))) AS BIGINT) AS ip_address_url_count,
+{", ".join(f"CAST({total} AS BIGINT) AS {c}_word_count" for c, (_, total) in _KEYWORDS.items())} FROM phr)"""
+_EIGHT_ROUNDED = ", ".join(f"round({f}, 6) AS {f}" if f == C.RATIO_FEATURE else f for f in C.FEATURES)
+
+
+@query(f"{EIGHT} SELECT email_id, split, {_EIGHT_ROUNDED} FROM eight")
 def feature_frame(spark, sf):
-    return rounded(processed(spark, sf).where("split <> 'train'").select("email_id", "split", *F4))
+    """All eight features of every row, in their order."""
+    p = with_features(processed(spark, sf, "sanitized_subject", "sanitized_body"))
+    return rounded(p.select("email_id", "split", *C.FEATURES))
 
 
-@query("""SELECT unnest(['label_domain', 'finite', 'ratio_range', 'counts_not_negative', 'unique_id', 'split_domain', 'both_labels_in_each_split']) AS "check", CAST(0 AS BIGINT) AS n_violations, true AS passed""")
+@query()
+def preprocess(spark, sf):
+    """The whole chain: full sanitiser, blank filter, first of each key, split, eight features; ordered by id.
+
+    Not in SQL: a test holds it against plain Python."""
+    return rounded(preprocessed(canon(spark, sf)))
+
+
+def preprocessed(rows, frozen=None):
+    """Processed rows of canonical ones, split as in frozen (email_id, split) where it has them; raises ContractError unless
+    they keep the output contract."""
+    full = S.sanitised_rows(rows, {"sanitized_subject": "raw_subject", "sanitized_body": "raw_body"})
+    full = scratch(O.keyed(full.where(~O.blank(full))).select("email_id", "original_row_number", "label", "dedup_key", "sanitized_subject", "sanitized_body"), "sanitised")
+    kept = scratch(O.keep_first(full).drop("dedup_key"), "first")
+    if frozen is None:
+        split = O.stratified_split(kept)
+    else:
+        split = O.assigned(kept, frozen.unionByName(scratch(O.extend_split(kept, frozen), "extended")))
+    out = scratch(with_features(split).select("email_id", "sanitized_subject", "sanitized_body", "label", "split", *C.FEATURES), "processed")
+    broken = [f"{r['check']} ({r['n_violations']})" for r in O.output_contract(out, C.FEATURES).where("not passed").collect()]
+    if broken and not out.isEmpty():
+        raise C.ContractError(f"output contract broken: {', '.join(broken)}")
+    return out.orderBy("email_id")
+
+
+_BROKEN = """broken AS (SELECT CASE WHEN row_no % 90 = 1 THEN 'doc_again' ELSE email_id END AS email_id, CASE WHEN row_no % 40 = 0 THEN 2 ELSE label END AS label, CASE WHEN row_no % 70 = 3 THEN 'dev' ELSE split END AS split,
+CASE WHEN row_no % 50 = 0 THEN -1.0 ELSE uppercase_letter_ratio END AS r, CASE WHEN row_no % 60 = 7 THEN 'nan'::DOUBLE ELSE n_chars END AS n, CASE WHEN row_no % 80 = 9 THEN -1 ELSE n_commas END AS m FROM feat)"""
+
+
+def _broken(spark, sf):
+    """Processed rows with a fault of each kind."""
+    r, when = F.col("original_row_number"), lambda hit, value, name: F.when(hit, value).otherwise(F.col(name))
+    return processed(spark, sf).withColumns({
+        "email_id": when(r % 90 == 1, F.lit("doc_again"), "email_id"), "label": when(r % 40 == 0, F.lit(2), "label"), "split": when(r % 70 == 3, F.lit("dev"), "split"),
+        "uppercase_letter_ratio": when(r % 50 == 0, F.lit(-1.0), "uppercase_letter_ratio"), "n_chars": when(r % 60 == 7, F.lit(float("nan")), "n_chars"), "n_commas": when(r % 80 == 9, F.lit(-1), "n_commas"),
+    })
+
+
+@query(f"""{BASE}, {_BROKEN}, v AS (SELECT 'label_domain' AS "check", count(*) FILTER (label NOT IN (0, 1)) AS n_violations FROM broken UNION ALL SELECT 'finite', count(*) FILTER (isnan(n)) FROM broken
+UNION ALL SELECT 'ratio_range', count(*) FILTER (r < 0 OR r > 1) FROM broken UNION ALL SELECT 'counts_not_negative', count(*) FILTER (m < 0) FROM broken UNION ALL SELECT 'unique_id', count(*) - count(DISTINCT email_id) FROM broken
+UNION ALL SELECT 'split_domain', count(*) FILTER (split NOT IN ('train', 'validation', 'test')) FROM broken
+UNION ALL SELECT 'both_labels_in_each_split', CAST(coalesce(sum(CASE WHEN l <> 2 THEN 1 ELSE 0 END), 0) AS BIGINT) FROM (SELECT s, (SELECT count(DISTINCT label) FROM broken WHERE split = s) AS l FROM (VALUES ('train'), ('validation'), ('test')) t(s)))
+SELECT *, n_violations = 0 AS passed FROM v""")
 def output_contract(spark, sf):
-    return O.output_contract(processed(spark, sf), tuple(F4))
+    """Every check over rows that break each of them."""
+    return O.output_contract(_broken(spark, sf), tuple(F4))
 
 
 @query(f"""{BASE}, broken AS (SELECT *, CASE WHEN row_no % 50 = 0 THEN -1.0 ELSE uppercase_letter_ratio END AS r, CASE WHEN row_no % 40 = 0 THEN 2 ELSE label END AS l FROM feat)
@@ -251,15 +347,30 @@ def explain_contract(spark, sf):
     return both.join(train, how="cross")  # one row each
 
 
-@query(f"{BASE}, {MELT} SELECT feature, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS non_finite FROM melt GROUP BY feature")
+@query(f"""{BASE}, st AS (SELECT *, CASE WHEN row_no % 13 = 0 THEN uppercase_letter_ratio + 0.001 WHEN row_no % 17 = 0 THEN 'inf'::DOUBLE ELSE uppercase_letter_ratio END AS s0, exclamation_mark_count + CASE WHEN row_no % 7 = 0 THEN 1 ELSE 0 END AS s1 FROM feat)
+SELECT '{F4[0]}' AS feature, count(*) FILTER (NOT coalesce(abs(s0 - {F4[0]}) <= 1e-12, false)) AS mismatches, count(*) FILTER (isinf(s0)) AS non_finite FROM st
+UNION ALL SELECT '{F4[1]}', count(*) FILTER (s1 <> {F4[1]}), CAST(0 AS BIGINT) FROM st UNION ALL SELECT '{F4[2]}', count(*) FILTER (length(text) <> {F4[2]}), CAST(0 AS BIGINT) FROM st UNION ALL SELECT '{F4[3]}', count(*) FILTER (length(regexp_replace(text, '[^,]', '', 'g')) <> {F4[3]}), CAST(0 AS BIGINT) FROM st""")
 def recompute_check(spark, sf):
-    text = F.concat_ws("\n", "sanitized_subject", "sanitized_body")
-    p = processed(spark, sf).withColumns({"c0": T.uppercase_ratio(text), "c1": T.exclamations(text), "c2": F.length(text), "c3": F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))})
-    return A.recompute(p, {f: (f, f"c{i}") for i, f in enumerate(F4)})
+    """Stored features, some of them changed, against those computed anew from the text."""
+    text, r = F.col("text"), F.col("original_row_number")
+    p = processed(spark, sf, "text", *F4)
+    stored = p.withColumns({"uppercase_letter_ratio": F.when(r % 13 == 0, F.col(F4[0]) + 0.001).when(r % 17 == 0, float("inf")).otherwise(F.col(F4[0])), "exclamation_mark_count": F.col(F4[1]) + (r % 7 == 0).cast("int")})
+    again = stored.withColumns({"c0": T.uppercase_ratio(text), "c1": T.exclamations(text), "c2": F.length(text), "c3": F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))})
+    return A.recompute(again, {f: (f, f"c{i}") for i, f in enumerate(F4)})
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS email_id, CAST(NULL AS VARCHAR) AS split, CAST(NULL AS VARCHAR) AS side WHERE false")
+@query(f"""{BASE}, other AS (SELECT CASE WHEN row_no % 31 = 0 THEN 'x' || email_id ELSE email_id END AS email_id, CASE WHEN row_no % 37 = 0 THEN 'test' ELSE split END AS split FROM proc)
+SELECT *, 'left' AS side FROM (SELECT email_id, split FROM proc EXCEPT ALL SELECT * FROM other) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM other EXCEPT ALL SELECT email_id, split FROM proc)""")
 def reproducibility_diff(spark, sf):
+    """The rows in which a run differs from another that was changed."""
+    p, r = processed(spark, sf).select("email_id", "split", "original_row_number"), F.col("original_row_number")
+    other = p.select(F.when(r % 31 == 0, F.concat(F.lit("x"), "email_id")).otherwise(F.col("email_id")).alias("email_id"), F.when(r % 37 == 0, "test").otherwise(F.col("split")).alias("split"))
+    return O.difference(p.select("email_id", "split"), other)
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS email_id, CAST(NULL AS VARCHAR) AS split, CAST(NULL AS VARCHAR) AS side WHERE false")
+def reproducible_run(spark, sf):
+    """Two runs of the whole chain from the documents on: no row differs."""
     return O.difference(processed(spark, sf).select("email_id", "split"), processed(spark, sf).select("email_id", "split"))
 
 
@@ -322,7 +433,7 @@ def validity_verdict(spark, sf):
     return A.verdict(processed(spark, sf), F4)
 
 
-TFIDF = f"""{BASE}, wd AS (SELECT email_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM proc),
+TFIDF = f"""{BASE}, wd AS (SELECT email_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM proc),
 tm AS (SELECT email_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wd), tf AS (SELECT email_id, term, count(*) AS tf FROM tm GROUP BY 1, 2),
 dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY term), rw AS (SELECT email_id, term, df, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM proc)) / (1.0::DOUBLE + df)) + 1) AS r FROM tf JOIN dfr USING (term)),
 nm AS (SELECT email_id, sqrt(sum(r * r)) AS nrm FROM rw GROUP BY email_id), vec AS (SELECT email_id, term, df, r / nrm AS w FROM rw JOIN nm USING (email_id))"""
@@ -333,17 +444,17 @@ pr AS (SELECT a AS left_email_id, pa.split AS left_split, CAST(pa.label AS INT)
 
 @query(f"{TFIDF} SELECT email_id, count(*) AS n_terms, round(sum(w), 6) AS sum_w, round(max(w), 6) AS max_w FROM vec GROUP BY email_id")
 def tfidf_postings(spark, sf):
-    v = J.tfidf(processed(spark, sf))
+    v = J.tfidf(scratch(processed(spark, sf, "text"), "processed"))
     return rounded(v.groupBy("email_id").agg(F.count("*").alias("n_terms"), F.sum("w").alias("sum_w"), F.max("w").alias("max_w")))
 
 
 @query(f"{TFIDF} SELECT count(*) AS vocabulary FROM dfr")
 def vocabulary_size(spark, sf):
-    return J.terms(processed(spark, sf)).select("term").distinct().agg(F.count("*").alias("vocabulary"))
+    return J.terms(processed(spark, sf, "text")).select("term").distinct().agg(F.count("*").alias("vocabulary"))
 
 
 def _pairs(spark, sf):
-    rows = scratch(processed(spark, sf).select("email_id", "label", "split", "text"), "processed")
+    rows = scratch(processed(spark, sf, "text").select("email_id", "label", "split", "text"), "processed")
     return scratch(J.similar_pairs(scratch(J.tfidf(rows), "tfidf"), rows), "pairs"), rows
 
 
@@ -424,9 +535,9 @@ def standardise(spark, sf):
     return rounded(E.standardise(vectors4(spark, sf), FS).select("email_id", *(F.col("z")[i].alias(f"z{i}") for i in range(4))))
 
 
-@query(f"{V4} SELECT a.email_id, count(*) AS n, round(sum({_D('a', 'b')}), 5) AS total FROM z a JOIN z b ON a.predicted_label = b.predicted_label AND a.email_id <> b.email_id WHERE a.split = 'test' AND b.split = 'test' GROUP BY a.email_id")
+@query(f"{V4} SELECT a.email_id, count(*) AS n, round(sum({_D('a', 'b')}), 5) AS total FROM z a JOIN z b ON a.predicted_label = b.predicted_label AND a.email_id <> b.email_id WHERE a.split = 'train' AND b.split = 'train' GROUP BY a.email_id")
 def pairwise_distances(spark, sf):
-    z = E.standardise(vectors4(spark, sf), FS).where("split = 'test'").select("predicted_label", "email_id", "z")
+    z = E.standardise(vectors4(spark, sf), FS).where("split = 'train'").select("predicted_label", "email_id", "z")
     b = z.select("predicted_label", F.col("email_id").alias("o"), F.col("z").alias("mz"))
     return rounded(z.join(b, "predicted_label").where("email_id <> o").groupBy("email_id").agg(F.count("*").alias("n"), F.sum(E.distance("z", "mz")).alias("total")), 5)
 
@@ -456,10 +567,15 @@ def distance_p95(spark, sf):
 def _pair_rows(spark, sf):
     z, medoids, near = _near(spark, sf)
     raw = F.array(*FS)
-    m = medoids.select(F.col("email_id").alias("medoid_id"), raw.alias("mraw"), F.col("z").alias("mz"))
+    m = medoids.select(F.col("email_id").alias("medoid_id"), raw.alias("mraw"), F.col("z").alias("mz"), _example_text("email_id").alias("example_text"))
     return z.where("split = 'test'").select("email_id", raw.alias("raw"), "z", "predicted_label").join(near, "email_id").join(F.broadcast(m), "medoid_id")
 
 
+def _example_text(c):
+    """Stands for an example's text: blank for ids that end in 2."""
+    return F.when(F.col(c).endswith("2"), " \n").otherwise(F.col(c))
+
+
 _ITEMS = " UNION ALL ".join(f"SELECT n.email_id, {i} AS i, 'f{i}' AS feature, n.f{i} AS a, v.f{i} AS b, abs(n.z{i} - md.z{i}) AS d FROM nr n JOIN md ON md.medoid_id = n.medoid_id JOIN v ON v.email_id = n.medoid_id WHERE n.split = 'test'" for i in range(4))
 _SHARED = f"{_NEAR}, it AS ({_ITEMS}), sh AS (SELECT email_id, row_number() OVER (PARTITION BY email_id ORDER BY d, i) AS rank, feature, a AS value, b AS example_value FROM it WHERE d <= 0.5 AND a > 0 AND b > 0 AND abs(a - b) <= 1)"
 
@@ -470,19 +586,18 @@ def shared_features(spark, sf):
 
 
 @query(f"""{_SHARED}, lim AS (SELECT predicted_label, quantile_cont(distance, 0.95) AS t FROM nr WHERE split = 'train' GROUP BY predicted_label), ns AS (SELECT email_id, count(*) AS n FROM sh WHERE rank <= 3 GROUP BY email_id)
-SELECT reason, count(*) AS n FROM (SELECT CASE WHEN distance > t THEN 'distance' WHEN coalesce(n, 0) < 2 THEN 'shared_features' ELSE 'eligible' END AS reason FROM nr JOIN lim USING (predicted_label) LEFT JOIN ns USING (email_id) WHERE split = 'test') GROUP BY reason""")
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN distance > t THEN 'distance' WHEN medoid_id LIKE '%2' THEN 'blank_example' WHEN coalesce(n, 0) < 2 THEN 'shared_features' ELSE 'eligible' END AS reason FROM nr JOIN lim USING (predicted_label) LEFT JOIN ns USING (email_id) WHERE split = 'test') GROUP BY reason""")
 def eligibility(spark, sf):
     z, _, near = _near(spark, sf)
     limit = z.where("split = 'train'").join(near, "email_id").groupBy("predicted_label").agg(F.percentile("distance", 0.95).alias("t"))
     rows = _pair_rows(spark, sf)
     shared = E.shared_features(rows, FS).groupBy("email_id").count()
-    reason = F.when(F.col("distance") > F.col("t"), "distance").when(F.coalesce("count", F.lit(0)) < 2, "shared_features").otherwise("eligible")
-    return rows.join(limit, "predicted_label").join(shared, "email_id", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return E.eligibility(rows.join(F.broadcast(limit), "predicted_label").join(shared, "email_id", "left")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"{V4} SELECT predicted_label, email_id FROM (SELECT a.predicted_label, a.email_id, row_number() OVER (PARTITION BY a.predicted_label ORDER BY round(sum({_D('a', 'b')}), 6), a.email_id) AS r FROM z a JOIN z b ON a.predicted_label = b.predicted_label WHERE a.split = 'test' AND b.split = 'test' GROUP BY 1, 2) WHERE r = 1")
+@query(f"{V4} SELECT predicted_label, email_id FROM (SELECT a.predicted_label, a.email_id, row_number() OVER (PARTITION BY a.predicted_label ORDER BY round(sum({_D('a', 'b')}), 6), a.email_id) AS r FROM z a JOIN z b ON a.predicted_label = b.predicted_label WHERE a.split = 'train' AND b.split = 'train' GROUP BY 1, 2) WHERE r = 1")
 def first_medoid(spark, sf):
-    z = E.standardise(vectors4(spark, sf), FS).where("split = 'test'").select("predicted_label", "email_id", "z")
+    z = E.standardise(vectors4(spark, sf), FS).where("split = 'train'").select("predicted_label", "email_id", "z")
     b = z.select("predicted_label", F.col("z").alias("mz"))
     cost = z.join(b, "predicted_label").groupBy("predicted_label", "email_id").agg(F.round(F.sum(E.distance("z", "mz")), 6).alias("c"))
     return cost.groupBy("predicted_label").agg(F.min(F.struct("c", "email_id")).alias("x")).select("predicted_label", "x.email_id")
@@ -502,12 +617,10 @@ def top3_contributions(spark, sf):
     return rounded(E.top_attributions(rows, F4).select("email_id", "rank", "feature", "attribution"), 5)
 
 
-@query(f"""{BASE} SELECT email_id, CASE WHEN uppercase_letter_ratio = 0 THEN '0%' ELSE regexp_replace(printf('%.1f', uppercase_letter_ratio * 100), '\\.?0+$', '') || '%' END AS ratio_text, CAST(exclamation_mark_count AS VARCHAR) AS marks_text FROM feat WHERE round(uppercase_letter_ratio * 1000, 9) % 1 <> 0.5""")
+@query(f"""{BASE} SELECT email_id, CASE WHEN uppercase_letter_ratio = 0 THEN '0%' ELSE regexp_replace(printf('%.1f', uppercase_letter_ratio * 100), '\\.0$', '') || '%' END AS ratio_text, CAST(exclamation_mark_count AS VARCHAR) AS marks_text FROM feat""")
 def display_text(spark, sf):
-    """Halves are left out: the two engines round them differently."""
     r, n = F.col("uppercase_letter_ratio"), F.col("exclamation_mark_count")
-    p = processed(spark, sf).where(F.round(r * 1000, 9) % 1 != 0.5)
-    return p.select("email_id", T.observed_text(F.lit(C.RATIO_FEATURE), r).alias("ratio_text"), T.observed_text(F.lit("n"), n.cast("double")).alias("marks_text"))
+    return processed(spark, sf).select("email_id", T.observed_text(F.lit(C.RATIO_FEATURE), r).alias("ratio_text"), T.observed_text(F.lit("n"), n.cast("double")).alias("marks_text"))
 
 
 @query(f"""{BASE}, {MELT} SELECT 'split_' || split AS item, count(*)::DOUBLE AS value FROM proc GROUP BY split UNION ALL SELECT 'min_' || feature, round(min(value), 6) FROM melt GROUP BY feature UNION ALL SELECT 'max_' || feature, round(max(value), 6) FROM melt GROUP BY feature""")
@@ -529,23 +642,74 @@ def html_to_text(spark, sf):
 
 @query()
 def pii_mask(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.sanitised(F.col("text")).alias("text"))
+    return S.sanitised_rows(table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw")), {"text": "raw"}).drop("raw")
+
+
+_fitted: dict = {}
 
 
-def _labelled(spark, sf):
-    return processed(spark, sf).select("email_id", "label", "split", *F4)
+def _model(spark, sf):
+    """(model, rows): one fit with the frozen parameters for all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted.clear()
+        rows = scratch(with_features(processed(spark, sf, "sanitized_subject", "sanitized_body")), "labelled")
+        _fitted[key] = M.fit(rows.where("split = 'train'"), list(C.FEATURES), **C.FROZEN_MODEL), rows
+    return _fitted[key]
 
 
 @query()
 def gbt_scores(spark, sf):
-    p = _labelled(spark, sf)
-    return E.metrics(M.score(M.fit(p.where("split = 'train'"), F4), p, F4).select("split", F.col("label").alias("y"), "p", F.lit(0.5).alias("threshold")), "split")
+    """Validation and test metrics of the frozen parameters at the frozen threshold."""
+    model, rows = _model(spark, sf)
+    return R.final_evaluation(model, rows, list(C.FEATURES), C.FROZEN_THRESHOLD)
+
+
+@query()
+def test_predictions(spark, sf):
+    model, rows = _model(spark, sf)
+    return R.predictions(model, rows.where("split = 'test'"), list(C.FEATURES), C.FROZEN_THRESHOLD)
+
+
+@query()
+def model_reload(spark, sf):
+    """Saved, loaded and compared on all rows."""
+    model, rows = _model(spark, sf)
+    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    R.save(model, path, list(C.FEATURES), C.FROZEN_MODEL, C.FROZEN_THRESHOLD)
+    return R.reload_difference(model, R.load(spark, path, list(C.FEATURES))[0], rows, list(C.FEATURES), C.FROZEN_THRESHOLD)
 
 
 @query()
 def tree_attribution(spark, sf):
-    p = _labelled(spark, sf)
-    return M.attributions(M.fit(p.where("split = 'train'"), F4), p.where("split = 'test'"), F4)
+    model, rows = _model(spark, sf)
+    return M.attributions(model, rows.where("split = 'test'"), list(C.FEATURES))
+
+
+@query()
+def attribution_checks(spark, sf):
+    model, rows = _model(spark, sf)
+    test = rows.where("split = 'test'")
+    return R.attribution_checks(model, M.attributions(model, test, list(C.FEATURES)), test, list(C.FEATURES), R.predictions(model, test, list(C.FEATURES), C.FROZEN_THRESHOLD))
+
+
+@query()
+def attribution_documents(spark, sf):
+    model, rows = _model(spark, sf)
+    return json_documents(R.attribution_documents(model, rows.where("split = 'test'"), list(C.FEATURES), C.FROZEN_THRESHOLD))
+
+
+@query()
+def example_documents(spark, sf):
+    model, rows = _model(spark, sf)
+    return json_documents(R.example_documents(*R.example_rows(model, rows, list(C.FEATURES), C.FROZEN_THRESHOLD), list(C.FEATURES)))
+
+
+@query()
+def eligibility_by_outcome(spark, sf):
+    model, rows = _model(spark, sf)
+    judged, _ = R.example_rows(model, rows, list(C.FEATURES), C.FROZEN_THRESHOLD)
+    return E.eligible_by_outcome(R.predictions(model, rows.where("split = 'test'"), list(C.FEATURES), C.FROZEN_THRESHOLD), judged)
 
 
 @query()
@@ -555,16 +719,12 @@ def pam_medoids(spark, sf):
 
 @query()
 def greedy_split_extension(spark, sf):
-    p = processed(spark, sf).select("email_id", "label", "split")
-    fresh = F.substring(F.sha2("email_id", 256), 1, 1) == "0"
-    present = [tuple(r) for r in p.where(~fresh).groupBy("split", "label").count().collect()]
-    missing = [tuple(r) for r in p.where(fresh).select("email_id", "label").collect()]  # the few rows without a split
-    return spark.createDataFrame(list(O.greedy_extension(missing, present).items()), "email_id string, split string")
+    """Rows whose id's hash begins with 0 stand for new ones: the others' split is frozen."""
+    p = scratch(processed(spark, sf).select("email_id", "label", "split"), "split")
+    return O.extend_split(p, p.where(F.substring(F.sha2("email_id", 256), 1, 1) != "0"))
 
 
 @query()
 def explanation_json(spark, sf):
-    from sparkloom.sources.files import json_documents
-
     top = top3_contributions(spark, sf).groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("feature").alias("feature_key"), F.col("attribution").alias("contribution")))).alias("features"))
     return json_documents(top)

@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all executors are on this machine, else an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        folder = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own.append("file://" + folder)
+    return _own[0]
 
 
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
-        shared = _own[0]
-    path = f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables written so far; results that were not read yet cannot be read any more. Their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done

@@ -1,19 +1,35 @@
 """Contracts, splits, text functions and evaluation on small hand-made rows."""
 
+import hashlib
+import html
+import json
+import math
+import random
+import re
+from itertools import combinations
+
 import numpy as np
+import pandas as pd
 import pytest
+import yaml
+from pyspark.sql import functions as F
 
+from sparkloom import cli
 from sparkloom import config as C
 from sparkloom.functions import sanitise as S
 from sparkloom.operators import evaluate as E
 from sparkloom.operators import model as M
+from sparkloom.operators import similarity as J
+from sparkloom.operators import stats as A
 from sparkloom.operators import tables as O
-from sparkloom.streaming.features import with_features
+from sparkloom.functions import text as T
+from sparkloom.sources import files
+from sparkloom.streaming.features import stream_features, with_features
 
 
 def valid_rows():
-    splits, labels = ["train", "train", "validation", "validation", "test", "test", "train", "test"], [0, 1] * 4
-    return [(f"email_{i}", y, s, 0.25, 0.0) for i, (s, y) in enumerate(zip(splits, labels, strict=True))]
+    """Three rows of each class in each split."""
+    return [(f"m{k:03d}", y, split, k / 40, float(k % 5)) for k, (split, y) in enumerate((s, y) for s in C.SPLITS for y in (1, 0) for _ in range(3))]
 
 
 def violations(spark, rows):
@@ -22,8 +38,8 @@ def violations(spark, rows):
 
 
 @pytest.mark.parametrize(("row", "check"), [
-    (("email_0", 0, "train", 0.25, float("nan")), "finite"), (("email_0", 0, "train", 1.1, 0.0), "ratio_range"), (("email_0", 0, "train", 0.25, -1.0), "counts_not_negative"),
-    (("email_1", 0, "train", 0.25, 0.0), "unique_id"), (("email_0", 3, "train", 0.25, 0.0), "label_domain"),
+    (("m000", 1, "train", float("inf"), 2.0), "finite"), (("m000", 1, "train", 1.5, 2.0), "ratio_range"), (("m000", 1, "train", 0.5, -3.0), "counts_not_negative"),
+    (("m007", 1, "train", 0.5, 2.0), "unique_id"), (("m000", 7, "train", 0.5, 2.0), "label_domain"), (("m000", 1, "dev", 0.5, 2.0), "split_domain"),
 ])
 def test_contract_finds(spark, row, check):
     assert violations(spark, valid_rows()) == set()
@@ -36,16 +52,17 @@ def test_one_label_split(spark):
 
 
 def test_split_is_stable_and_by_quota(spark):
-    df = spark.createDataFrame([(f"id_{i:02d}", i % 2) for i in range(40)], "email_id string, label int")
+    """67 rows of label 0 and 33 of label 1: 46.9, 10.05, 10.05 and 23.1, 4.95, 4.95 in largest remainders."""
+    df = spark.createDataFrame([(f"row {i * i}", int(i % 3 == 1)) for i in range(100)], "email_id string, label int")
     a, b = (sorted(map(tuple, O.stratified_split(d).collect())) for d in (df, df.repartition(7)))
-    assert a == b and len(a) == 40
-    assert {(y, s): sum(r[1:] == (y, s) for r in a) for y in (0, 1) for s in C.SPLITS} == {(y, s): n for y in (0, 1) for s, n in zip(C.SPLITS, (14, 3, 3), strict=True)}
+    assert a == b and len(a) == 100
+    assert {(y, s): sum(r[1:] == (y, s) for r in a) for y in (0, 1) for s in C.SPLITS} == {(y, s): n for y, ns in ((0, (47, 10, 10)), (1, (23, 5, 5))) for s, n in zip(C.SPLITS, ns, strict=True)}
 
 
 def test_features_count_markers_only(spark):
-    rows = [("URGENT!", "Visit https://192.0.2.1/login"), ("x", "[URL: 192.0.2.1/login] [URL: 999.1.1.1/] [URL: 2001:db8::1/a]")]
+    rows = [("Pay now!!", "Locked: see http://203.0.113.9/pay, expired"), ("x", "[URL: 198.51.100.7/q] [URL: 300.1.1.1/] [URL: 2001:db8::1/a]")]
     found = with_features(spark.createDataFrame(rows, "sanitized_subject string, sanitized_body string")).orderBy("exclamation_mark_count", ascending=False).collect()
-    assert [(r["url_count"], r["ip_address_url_count"], r["urgency_word_count"], r["exclamation_mark_count"]) for r in found] == [(0, 0, 1, 1), (3, 2, 0, 0)]
+    assert [(r["url_count"], r["ip_address_url_count"], r["urgency_word_count"], r["exclamation_mark_count"]) for r in found] == [(0, 0, 2, 2), (3, 2, 0, 0)]
 
 
 @pytest.mark.parametrize(("text", "clean"), [
@@ -110,9 +127,213 @@ def test_shapley_adds_up():
     assert np.allclose(base + phi.sum(1), 0.5 * M._expected(tree, x, 3))
 
 
-def test_greedy_extension_covers_all():
-    out = O.greedy_extension([(f"m{i}", i % 2) for i in range(20)], [("train", 0, 30), ("train", 1, 30), ("test", 0, 2)])
-    assert len(out) == 20 and set(out.values()) <= set(C.SPLITS)
+def test_broken_markup():
+    """What is not closed ends with the element around it; media go with what is in them; links keep their address."""
+    cases = {
+        "<div><form>gone<input></div>kept": "kept", "<div><object>gone<p>gone</div><b>kept</b>": "kept", "a<video>gone<p>gone</p></video><p>b": "a\nb", "<p><a href='http://x.example/q'>one<p>two": "one [URL: x.example/q]\ntwo",
+        "<td>a<td>b": "a\nb", "<a href=ftp://f.example>f</a><a href='mailto:x'>m</a>": "f [LINK: f.example/]\nm", "<a href='http://x.example'><img src=y>z</a>": "[REMOTE IMAGE REMOVED] z [URL: x.example/]", "<script>a</script><style>b</style><p>c": "c",
+        "x < y and y > z": "x < y and y > z", "<p>a<!-- no --><br>b</p></p></div>c": "a\nb\nc",
+    }
+    assert {page: S.normalise_space(S.html_to_text(page)) for page in cases} == cases
+
+
+def test_every_page_keeps_its_visible_words(spark):
+    """No page loses what is outside of dropped elements: by a scan of tags that knows nothing of trees."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        page = re.sub(r"(?is)<!--.*?-->|<(script|style|iframe|object|form|video|audio)\b.*?</\1\s*>", " ", r["html"])
+        words = set(re.findall(r"[^\W\d_]{4,}", html.unescape(re.sub(r"(?s)<[^>]*>", " ", page))))
+        assert words <= set(re.findall(r"[^\W\d_]{4,}", S.html_to_text(S.decode_entities(r["html"]))))
+
+
+def test_native_rows_are_as_the_full_ones(spark):
+    texts = [None, "", " a\t\x0bb \r\n\r\n\r\n c\x1c ", "plain words\u00a0only ", "call 555 123 4567", "x@y.example", "<p>t", "R&amp;D", "see www.a.example", "[URL: a.example/]", "12.50 and 7", "(01) 23 45 67 89"]
+    rows = S.sanitised_rows(spark.createDataFrame(list(enumerate(texts)), "id int, raw string"), {"text": "raw"}).collect()
+    assert {r["id"]: r["text"] for r in rows} == {i: S.sanitise_text(t) for i, t in enumerate(texts)}
+
+
+def test_link_edges_are_word_edges():
+    assert S.sanitise_text("[URL: a.example/]5551234567 (5551234567)") == "[URL: a.example/]5551234567 ([PHONE])"
+    assert S.sanitise_text("[URL: a.example/] 555 123 4567 \ua000\ua001") == "[URL: a.example/] [PHONE] \ua000\ua001"
+    assert S.link_target("HTTP://User@EXAMPLE.com:8080//a///b?to=me@x.example&u=http://z#frag") == "example.com/a/b?to=[USER]@x.example&u=http-colon//z".replace("[", "").replace("]", "")
+
+
+def test_extension_as_in_plain_python(spark):
+    """Each new id goes where its label lacks most, then where rows lack most at all, against quotas in whole rows."""
+
+    def shares(n):
+        exact = [n * r for r in C.RATIOS.values()]
+        out = [math.floor(x) for x in exact]
+        for k in sorted(range(3), key=lambda k: (out[k] - exact[k], k))[: n - sum(out)]:
+            out[k] += 1
+        return out
+
+    rng = random.Random(8)
+    for case in range(4):
+        rows = [(f"c{case}r{i}", int(rng.random() < 0.4)) for i in range(rng.randint(3, 60))]
+        frozen = [(i, rng.choice(C.SPLITS)) for i, _ in rows if rng.random() < 0.5]
+        split = dict(frozen)
+        for i, y in sorted((r for r in rows if r[0] not in split), key=lambda r: hashlib.sha256(f"42:{r[0]}".encode()).hexdigest()):
+            lack = []
+            for k, s in enumerate(C.SPLITS):
+                own = shares(sum(z == y for _, z in rows))[k] - sum(split.get(j) == s for j, z in rows if z == y)
+                lack.append((own, shares(len(rows))[k] - sum(x == s for x in split.values()), -k))
+            split[i] = C.SPLITS[-max(lack)[2]]
+        got = O.extend_split(spark.createDataFrame(rows, "email_id string, label int"), spark.createDataFrame(frozen, "email_id string, split string"))
+        assert {r["email_id"]: r["split"] for r in got.collect()} == {i: s for i, s in split.items() if i not in dict(frozen)}
+
+
+def test_percent_text(spark):
+    """Every ratio of small counts as Python formats it."""
+    ratios = sorted({a / b for b in range(1, 161) for a in range(b + 1)})
+    got = spark.createDataFrame([(r,) for r in ratios], "r double").select("r", T.observed_text(F.lit(C.RATIO_FEATURE), F.col("r")).alias("t")).collect()
+    assert all(r["t"] == (f"{r['r'] * 100:.1f}".rstrip("0").rstrip(".") + "%") for r in got)
+
+
+def test_accents(spark):
+    rows = [("a", "Äpfel ﬁn naïve Ⅳ"), ("b", "plain old"), ("c", None)]
+    got = {r["email_id"]: r["text"] for r in J.folded(spark.createDataFrame(rows, "email_id string, text string")).collect()}
+    assert got == {"a": "apfel fin naive iv", "b": "plain old", "c": ""}
+
+
+def test_statistics_of_large_values(spark):
+    """Median and deviation of values near 1e9, where sums of squares cancel; ranks and distances as in pandas."""
+    rng = np.random.default_rng(5)
+    v = 1e9 + rng.integers(0, 50, 301).astype(float)
+    rows = spark.createDataFrame([(str(i), C.SPLITS[i % 3], float(x), float(x % 7)) for i, x in enumerate(v)], "email_id string, split string, a double, b double")
+    one = A.distribution(rows, ["a"]).first()
+    assert one["median"] == np.median(v) and abs(one["std"] - v.std(ddof=1)) < 1e-6 and one["mean"] == pytest.approx(v.mean(), abs=1e-6)
+    by = {r["split"]: r["median"] for r in A.distribution(rows, ["a"], "split").collect()}
+    assert by == {s: np.median(v[i::3]) for i, s in enumerate(C.SPLITS)}
+    ranks = pd.DataFrame({"a": v, "b": v % 7}).rank()
+    assert A.spearman(rows, ["a", "b"], "email_id").first()["r"] == pytest.approx(ranks.a.corr(ranks.b))
+    cdf = lambda x, at: np.searchsorted(np.sort(x), at, "right") / len(x)
+    far = max(abs(cdf(v[0::3], x) - cdf(v[2::3], x)) for x in v)
+    assert {r["split_pair"]: r["ks_distance"] for r in A.ks(rows, ["a"]).collect()}["train vs test"] == pytest.approx(far)
+
+
+def test_pam_is_the_best_of_all():
+    """On small classes the medoids found cost what the best of all choices costs."""
+    for seed in range(6):
+        x = np.concatenate([np.random.default_rng(seed).normal(m, 0.2, size=(5, 2)) for m in (0, 3)])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        best = min(d[:, list(m)].min(1).sum() for m in combinations(range(10), 2))
+        assert d[:, E.pam(d, 2)].min(1).sum() == pytest.approx(best)
+
+
+def test_shared_features_and_eligibility(spark):
+    raw = "email_id string, raw array<double>, mraw array<double>, z array<double>, mz array<double>"
+    rows = spark.createDataFrame([("a", [2.0, 5.0, 3.0], [2.0, 6.0, 4.0], [0.1, 0.2, 0.0], [0.1, 0.0, 0.0])], raw)
+    assert [r["feature"] for r in E.shared_features(rows, ["f", "g", "h"]).orderBy("rank").collect()] == ["f", "h", "g"]
+    assert [r["feature"] for r in E.shared_features(rows, ["f", "g", "h"], ("h",)).orderBy("rank").collect()] == ["f", "g"]
+    judged = E.eligibility(spark.createDataFrame([(9.0, 1.0, "t", 3), (0.5, 1.0, " \n", 3), (0.5, 1.0, "t", 1), (1.0, 1.0, "t", 2), (0.5, 1.0, "t", None)], "distance double, t double, example_text string, count long"))
+    assert [r["reason"] for r in judged.collect()] == ["distance", "blank_example", "shared_features", "eligible", "shared_features"]
+    assert E.eligibility_counters(judged).first().asDict() == {"eligible": 1, "ineligible": 4, "distance": 1, "blank_example": 1, "shared_features": 2, "rule_violations": 0}
+
+
+def test_frozen_model_contract():
+    good = {"features": list(C.FEATURES), "labels": {"0": "legitimate", "1": "phishing"}, "threshold": 0.35, "seed": 42}
+    assert C.check_frozen_model(good, 0.35) is good
+    for key, wrong in (("features", list(C.FEATURES)[::-1]), ("labels", {"0": "phishing", "1": "legitimate"}), ("threshold", 1.2), ("seed", 7)):
+        with pytest.raises(C.ContractError, match=key):
+            C.check_frozen_model(good | {key: wrong})
+    with pytest.raises(C.ContractError, match="threshold"):
+        C.check_frozen_model(good | {"threshold": 0.36}, 0.35)
+
+
+def test_files(spark, tmp_path):
+    """Frozen ids, single files and documents, with their faults."""
+    known = spark.createDataFrame([(f"i{k}",) for k in range(6)], "email_id string")
+    paths = {s: str(tmp_path / f"{s}.csv") for s in C.SPLITS}
+    assert files.read_frozen_splits(spark, paths) is None
+    for k, s in enumerate(C.SPLITS):
+        files.write_csv(known.where(f"email_id in ('i{2 * k}', 'i{2 * k + 1}')"), paths[s], "email_id")
+        if k == 0:
+            with pytest.raises(C.ContractError, match="missing"):
+                files.read_frozen_splits(spark, paths)
+    assert open(paths["train"]).read() == "email_id\ni0\ni1\n"
+    assert {tuple(r) for r in files.read_frozen_splits(spark, paths, known).collect()} == {(f"i{k}", C.SPLITS[k // 2]) for k in range(6)}
+    with pytest.raises(C.ContractError, match="of no row: i4"):
+        files.read_frozen_splits(spark, paths, known.where("email_id <> 'i4'"))
+    files.write_text(paths["test"], "email_id\ni0\n")
+    assert not list(tmp_path.glob(".test.csv.crc"))
+    with pytest.raises(C.ContractError, match="more than once: i0"):
+        files.read_frozen_splits(spark, paths)
+    with pytest.raises(Exception, match="no split for i9"):
+        O.assigned(spark.createDataFrame([("i9",)], "email_id string"), spark.createDataFrame([("i0", "test")], "email_id string, split string")).collect()
+    files.write_text(str(tmp_path / "a/b.json"), '{"x": 1}', spark)
+    assert files.load_json(str(tmp_path / "a/b.json")) == {"x": 1} and files.read_text(str(tmp_path / "a/b.json"), spark) == '{"x": 1}'
+    files.write_table(known, str(tmp_path / "t"), "csv")
+    files.write_table(known.where("email_id = 'i1'"), str(tmp_path / "t"), "csv")
+    assert files.read_processed_csv(spark, str(tmp_path / "t"), "email_id string").count() == 1
+    with pytest.raises(C.ContractError, match="probability"):
+        files.json_documents(spark.createDataFrame([(1, [(0.5,)])], "id int, x array<struct<probability:double>>"))
+
+
+def test_streamed_features_are_those_of_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"Pay  {i}!", "verify your account at [URL: 198.51.100.7/]") for i in range(20)], "id int, subject string, body string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream_features(spark, str(tmp_path / "in"), "id int, subject string, body string", str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = with_features(rows.withColumns({"sanitized_subject": T.whitespace(F.col("subject")), "sanitized_body": T.whitespace(F.col("body"))}))
+    assert got.count() == 20 and O.difference(got.select(*want.columns), want).isEmpty()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """All commands over one raw CSV: quoted line feeds, words for null, a duplicate and a blank row; then with faults."""
+    rng, out = random.Random(2), tmp_path / "out"
+    rows = [(f"Offer {i}!" if i % 2 else f"notes {i}", ("verify your account now " if i % 2 else "minutes of the meeting ") + " ".join(rng.choices(["Alpha", "beta", "gamma,", 'say ""hi""', "delta\n"], k=12)), i % 2) for i in range(80)]
+    rows += [rows[5], ("", " ", 1), ("NA", "None of it", 0)]
+    raw = "\ufefftitle,text,kind\n" + "".join(f'{s},"{b}",{y}\n' for s, b, y in rows)
+    (tmp_path / "raw.csv").write_text(raw, encoding="utf-8")
+    config = {"raw": str(tmp_path / "raw.csv"), "out": str(out), "columns": {"subject": "title", "body": "text", "label": "kind"}, "labels": {"0": 0, "1": 1}, "expected_rows": 83, "grid": {"max_depth": [2], "learning_rate": [0.1], "n_estimators": [2, 4], "min_child_weight": [1]}}
+    path = str(tmp_path / "config.yaml")
+    files.write_text(path, yaml.safe_dump(config))
+    assert cli.main(["preprocess", path]) == 0, capsys.readouterr().err
+    done = spark.read.parquet(str(out / "processed"))
+    assert done.count() == 81 and done.where("sanitized_subject = ''").select("sanitized_body").collect()[0][0] == "None of it"
+    first = done.where("email_id like 'email_000001_%'").first()
+    assert first["sanitized_subject"] == "notes 0" and first["label"] == 0
+    assert "output rows: 81" in (out / "preprocessing_summary.md").read_text()
+    assert [cli.main([c, path]) for c in ("train", "explain", "examples")] == [0, 0, 0], capsys.readouterr().err
+    cli.main(["diagnose", path]), cli.main(["leakage", path])
+    said = capsys.readouterr().out
+    assert "features: " in said and "template leakage: " in said and "rule_violations" in said
+    metrics = files.load_json(str(out / "model_metrics.json"))
+    test = pd.read_csv(out / "test_predictions.csv")
+    assert list(test.email_id) == sorted(test.email_id) and set(test.outcome_type) <= {"TP", "TN", "FP", "FN"}
+    assert metrics["metrics"]["test"]["tp"] == (test.outcome_type == "TP").sum() and metrics["parameters"]["n_estimators"] in (2, 4)
+    documents = [json.loads(x) for p in (out / "attributions").glob("part-*") for x in p.read_text().splitlines()]
+    assert [d["email_id"] for d in documents] == list(test.email_id) and all([f["rank"] for f in d["features"]] == [1, 2, 3] for d in documents)
+    frozen = {s: str(out / f"splits/{s}_ids.csv") for s in C.SPLITS}
+    files.write_text(path, yaml.safe_dump(config | {"frozen_splits": frozen, "out": str(tmp_path / "again")}))
+    assert cli.main(["preprocess", path]) == 0 and O.difference(spark.read.parquet(str(tmp_path / "again/processed")), done).isEmpty()
+    files.write_text(path, yaml.safe_dump(config | {"expected_rows": 7}))
+    assert cli.main(["preprocess", path]) == 1 and "expected 7 rows" in capsys.readouterr().err
+    files.write_text(path, yaml.safe_dump(config | {"labels": {"0": 0}}))
+    assert cli.main(["preprocess", path]) == 1 and "row 2: 1" in capsys.readouterr().err
+    files.write_text(path, yaml.safe_dump(config | {"threshold": 0.123}))
+    assert cli.main(["explain", path]) == 1 and "threshold" in capsys.readouterr().err
+
+
+def test_preprocess_chain_in_plain_python(spark):
+    """Full sanitiser, first of each key and counts, by a loop over the documents."""
+    from sparkloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    seen, want = set(), {}
+    for r in sorted(catalog.canon(spark, sf).collect(), key=lambda r: r["original_row_number"]):
+        s, b = S.sanitise_text(r["raw_subject"]), S.sanitise_text(r["raw_body"])
+        key = " ".join(f"{s}\n{b}".lower().split())
+        if (s or b) and key not in seen:
+            seen.add(key)
+            text = f"{s}\n{b}"
+            letters = re.findall("[A-Za-z]", text)
+            words = re.compile(r"(?<![a-z0-9])(?:verify|validate|confirm|update|click|download|submit|provide|enter|review|respond|reply|activate|unlock|restore|renew|upgrade|complete|follow|visit|view)(?![a-z0-9])")
+            want[r["email_id"]] = (len(re.findall(r"(?i)\[URL:\s*[^\]\r\n]+\]", text)), len(words.findall(text.lower())), text.count("!"), sum(c.isupper() for c in letters) / len(letters) if letters else 0.0)
+    got = catalog.preprocess(spark, sf).collect()
+    assert [r["email_id"] for r in got] == sorted(want)
+    for r in got:
+        assert (r["url_count"], r["action_word_count"], r["exclamation_mark_count"]) == want[r["email_id"]][:3] and abs(r["uppercase_letter_ratio"] - want[r["email_id"]][3]) < 1e-6
 
 
 def test_entry_and_registry(spark):
