@@ -8,6 +8,7 @@ from sparkloom.llm.decontam import op4_decontamination
 from sparkloom.llm.langid import op3_language_id
 from sparkloom.llm.mixture import op9_mixture
 from sparkloom.llm.neardup import op10_minhash_components
+from sparkloom.llm.oracles import ORACLES
 from sparkloom.llm.ppm import op8_ppm_scores
 from sparkloom.llm.secrets import op5_secrets
 from sparkloom.llm.tokencount import op6_token_counts
@@ -25,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
