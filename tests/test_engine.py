@@ -152,7 +152,7 @@ def test_native_rows_are_as_the_full_ones(spark):
 
 
 def test_link_edges_are_word_edges():
-    assert S.sanitise_text("[URL: a.example/]5551234567 (5551234567)") == "[URL: a.example/]5551234567 ([PHONE])"
+    assert S.sanitise_text("[URL: a.example/]5551234567 (5551234567)") == "[URL: a.example/]5551234567 [PHONE])"
     assert S.sanitise_text("[URL: a.example/] 555 123 4567 \ua000\ua001") == "[URL: a.example/] [PHONE] \ua000\ua001"
     assert S.link_target("HTTP://User@EXAMPLE.com:8080//a///b?to=me@x.example&u=http://z#frag") == "example.com/a/b?to=[USER]@x.example&u=http-colon//z".replace("[", "").replace("]", "")
 
