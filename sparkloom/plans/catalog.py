@@ -439,7 +439,7 @@ dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY term), rw AS (SELECT email_
 nm AS (SELECT email_id, sqrt(sum(r * r)) AS nrm FROM rw GROUP BY email_id), vec AS (SELECT email_id, term, df, r / nrm AS w FROM rw JOIN nm USING (email_id))"""
 PAIRS = f"""{TFIDF}, sim AS (SELECT a.email_id AS a, b.email_id AS b, sum(a.w * b.w) AS similarity FROM vec a JOIN vec b ON a.term = b.term JOIN proc pa ON pa.email_id = a.email_id JOIN proc pb ON pb.email_id = b.email_id
 WHERE a.df > 1 AND (pa.split, pb.split) IN (('train', 'validation'), ('train', 'test'), ('validation', 'test')) GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.90),
-pr AS (SELECT a AS left_email_id, pa.split AS left_split, CAST(pa.label AS INT) AS left_label, b AS right_email_id, pb.split AS right_split, CAST(pb.label AS INT) AS right_label, similarity, pa.text = pb.text AS exact FROM sim JOIN proc pa ON pa.email_id = a JOIN proc pb ON pb.email_id = b)"""
+pr AS MATERIALIZED (SELECT a AS left_email_id, pa.split AS left_split, CAST(pa.label AS INT) AS left_label, b AS right_email_id, pb.split AS right_split, CAST(pb.label AS INT) AS right_label, similarity, pa.text = pb.text AS exact FROM sim JOIN proc pa ON pa.email_id = a JOIN proc pb ON pb.email_id = b)"""
 
 
 @query(f"{TFIDF} SELECT email_id, count(*) AS n_terms, round(sum(w), 6) AS sum_w, round(max(w), 6) AS max_w FROM vec GROUP BY email_id")
