@@ -32,7 +32,7 @@ def label_key(c: Column) -> Column:
 
 def whitespace(c: Column) -> Column:
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[\t\x0B\f ]+", " ")
+    c = F.regexp_replace(c, r" [\t\x0B\f ]+|[\t\x0B\f][\t\x0B\f ]*", " ")  # a lone blank is no match
     c = F.regexp_replace(c, rf"(?U){_IN_LINE}*\n{_IN_LINE}*", "\n")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
@@ -46,7 +46,8 @@ def stable_id(prefix: str, row: Column, *parts: Column) -> Column:
 
 
 def dedup_key(*parts: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(F.concat_ws("\n", *parts)), rf"(?U){SPACE}+", " "))
+    """Lower case, each run of white space one blank; a lone blank is no match, so most of a text is passed over."""
+    return strip(F.regexp_replace(F.lower(F.concat_ws("\n", *parts)), rf"(?U) {SPACE}+|[\s\x1c-\x1f&&[^ ]]{SPACE}*", " "))
 
 
 def hash_order(seed: int, c: Column) -> Column:
