@@ -29,9 +29,9 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN per USING (rid)"""
 
 COMPONENTS = f"""WITH RECURSIVE wd AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-st AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM wd),
-sh AS (SELECT rid, unnest(s) AS h FROM st WHERE doc_id IS NOT NULL), pr AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM sh a JOIN sh b ON a.h = b.h AND a.rid < b.rid GROUP BY 1, 2),
-lk AS (SELECT x.doc_id AS a, y.doc_id AS b FROM pr JOIN st x ON x.rid = a JOIN st y ON y.rid = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)), edge AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+st AS MATERIALIZED (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM wd),
+sh AS (SELECT rid, unnest(s) AS h FROM st WHERE doc_id IS NOT NULL), many AS (SELECT h FROM sh GROUP BY h HAVING count(*) > 1), sm AS MATERIALIZED (SELECT rid, h FROM sh SEMI JOIN many USING (h)), pr AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM sm a JOIN sm b USING (h) GROUP BY 1, 2),
+sz AS MATERIALIZED (SELECT rid, doc_id, len(s) AS k FROM st), lk AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM pr JOIN sz x ON x.rid = a JOIN sz y ON y.rid = b WHERE a < b AND 100 * n >= 85 * (x.k + y.k - n)), edge AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM st WHERE doc_id IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, coalesce(doc_id = c, true) AS kept FROM st LEFT JOIN comp ON a = doc_id"""
 
