@@ -130,7 +130,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
     texts = docs.select(ids.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), common.col("lang").cast("string").alias("l")).withColumn("t", F.xxhash64("text"))
     # the sample's bound is the broadcast's bound
     chosen = texts.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("tie")) & (F.col("l") == F.col("lang"))).dropDuplicates(["h", "lang"])
-    rows = chosen.select("lang", "h", "text").mapInArrow(_sample_grams, "lang string, h long, codes array<bigint>").toArrow().to_pandas().sort_values(["h", "lang"])
+    rows = chosen.select("lang", "h", "text").mapInArrow(common.tidy(_sample_grams), "lang string, h long, codes array<bigint>").toArrow().to_pandas().sort_values(["h", "lang"])
     return Classifier([(r.lang, np.asarray(r.codes, np.int64).view(np.uint64)) for r in rows.itertuples() if len(r.codes)])
 
 
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, classifier: Classifier) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     text = common.text_of()
     rows = docs.select(common.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), (common.id_remainder(common.col("doc_id"), 4) == 2).alias("held_out"), text.alias("text"))
-    return rows.mapInArrow(_predict(model), "doc_id long, tie long, held_out boolean, lang_pred string, score double, familiar double")
+    return rows.mapInArrow(common.tidy(_predict(model)), "doc_id long, tie long, held_out boolean, lang_pred string, score double, familiar double")
 
 
 def keep_languages(docs: DataFrame) -> DataFrame:

@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(common.col("doc_id").cast("long").alias("doc_id"), common.text_of().cast("binary").alias("text"))
-    signed = common.table(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, sig array<int>"), "signatures")
+    signed = common.table(rows.mapInArrow(common.tidy(_signatures), "doc_id long, n_shingles long, set_key binary, sig array<int>"), "signatures")
     named = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = common.table(named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
 
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     n = members.count()
     picked = F.broadcast(members) if n <= BROADCAST_IDS else members
-    sets = rows.join(picked, "doc_id").select("doc_id", "text", "cluster", "chunks").mapInArrow(_sets, "doc_id long, set_key binary, cluster long, chunks int, shingles binary")
+    sets = rows.join(picked, "doc_id").select("doc_id", "text", "cluster", "chunks").mapInArrow(common.tidy(_sets), "doc_id long, set_key binary, cluster long, chunks int, shingles binary")
     sets = sets.join(classes.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     sets = common.table(sets.drop("set_key"), "sets")
     links = common.table(_search_chunks(sets, percent), "links")

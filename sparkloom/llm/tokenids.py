@@ -141,7 +141,7 @@ def write_token_ids(docs: DataFrame, out: str, path: str | None = None, end_id:
         .repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
     )
-    ordered.select("doc_id", "text").mapInArrow(_blocks(path or default_path(), end_id), SCHEMA).write.parquet(out)
+    ordered.select("doc_id", "text").mapInArrow(common.tidy(_blocks(path or default_path(), end_id)), SCHEMA).write.parquet(out)
 
 
 def _documents(with_ids: bool):
@@ -171,7 +171,7 @@ def _documents(with_ids: bool):
 def read_token_ids(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, decoded from the files in `out`."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
-    return _placed(spark, out).mapInArrow(_documents(with_ids), schema)
+    return _placed(spark, out).mapInArrow(common.tidy(_documents(with_ids)), schema)
 
 
 def _placed(spark: SparkSession, out: str) -> DataFrame:
