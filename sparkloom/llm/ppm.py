@@ -38,6 +38,7 @@ SYMBOLS, BOUNDARY, ORDER = 257, 256, 4
 FLUSH_WORDS, FLUSH_GRAMS, PIECE = 200_000, 1_000_000, 1 << 20
 #: Symbol counts of frequent contexts of one length that every worker has: some 40 MB with their index.
 HOT_EDGES = 1 << 20
+MASK = (1 << 64) - 1
 
 
 def pieces(texts: list[bytes]):
@@ -83,9 +84,19 @@ class Index:
             left = left[table[slot] != left]
 
     @staticmethod
-    def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+    def _multiplier(level: int) -> int:
+        """Odd; the tables' multipliers are unrelated (SplitMix64), so that keys which meet in one do not meet in all others."""
+        x = 0x9E3779B97F4A7C15 * (level + 1) & MASK
+        if level:
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+            x ^= x >> 31
+        return x | 1
+
+    @classmethod
+    def _slot(cls, keys: np.ndarray, level: int, size: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 0x1234567887654320 * level)
+            h = keys.view(np.uint64) * np.uint64(cls._multiplier(level))
             return (h >> np.uint64(65 - size.bit_length())).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:

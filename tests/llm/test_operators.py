@@ -254,6 +254,16 @@ def test_op8_model(spark, data, hot_edges):
     assert len(got) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-3 for r in got)
 
 
+@pytest.mark.parametrize("keys", [[0, 19575, 31275, 42975, 54675, 66375, 78075, 89775, 121050, 132750, 144450, 156150], range(0, 11700 * 300, 11700), [k << 59 for k in range(16)], range(1000)])
+def test_op8_index_of_keys_that_meet_in_many_tables(keys):
+    from sparkloom.llm import ppm
+
+    keys = np.array(keys, np.int64)  # the first keys met in each of the first six tables, and the seventh could not be made
+    index = ppm.Index(keys)
+    assert len(index.tables) <= 16 and index.find(keys).tolist() == list(range(len(keys)))
+    assert index.find(keys + 3_000_017).tolist() == [-1] * len(keys)
+
+
 def test_op9(spark, data):
     got = run(spark, data, "op9")
     assert len(got) == len(data["docs"]) and all(r["taken"] <= 2 * r["size"] for r in got)
