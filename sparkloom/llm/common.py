@@ -48,6 +48,13 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that the driver holds. It goes by Arrow: a list would be unpickled on the executors, by a second
+    daemon with workers of its own, which stay for a minute beside those of mapInArrow."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema.split(","))
+    return spark.createDataFrame(pa.table({c.split()[0]: pa.array(x) for c, x in zip(schema.split(","), columns, strict=True)}), schema)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

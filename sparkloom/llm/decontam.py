@@ -112,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
     tolerances = _tolerances(radius)
     near_values = {t: [sum(1 << i for i in bits) for n in range(t + 1) for bits in combinations(range(BITS), n)] for t in set(tolerances)}
-    masks = spark.createDataFrame([(t, m) for t, values in near_values.items() for m in values], "tolerance int, mask long")
+    masks = common.local_table(spark, [(t, m) for t, values in near_values.items() for m in values], "tolerance int, mask long")
     blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.lit(t).alias("tolerance")) for i, t in enumerate(tolerances)))).alias("x")
     half = BLOCKS // 2
     value = lambda a, b: F.expr(f"shiftrightunsigned(CASE WHEN block < {half} THEN {a} ELSE {b} END, {BITS} * (block % {half})) & {(1 << BITS) - 1}")

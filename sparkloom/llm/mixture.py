@@ -59,7 +59,7 @@ def _slots(spark: SparkSession, quotas: list[int], n: int) -> DataFrame:
             low, high = at / total, (at + q) / total
             bounds += [(cell, low, high, no) for cell in range(int(low * CELLS), min(CELLS - 1, int(high * CELLS)) + 1)]
             at += q
-    cells = spark.createDataFrame(bounds, "cell int, low double, high double, source_no int")
+    cells = common.local_table(spark, bounds, "cell int, low double, high double, source_no int")
     slots = spark.range(n).select(F.col("id").alias("i"), _point(F.col("id") + 1).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
     return slots.join(F.broadcast(cells), "cell").where("u >= low and u < high").select("i", "source_no")  # a row per source and cell
 
@@ -77,7 +77,7 @@ def schedule(spark: SparkSession, quotas: list[int], block: int = BLOCK) -> Data
     """slot, source_no, k: the k-th slot of each source, as many as its quota of words needs."""
     need = [-(-q // block) for q in quotas]
     if not sum(need):
-        return spark.createDataFrame([], "slot long, source_no int, k long")
+        return common.local_table(spark, [], "slot long, source_no int, k long")
     n = sum(need)
     while True:
         slots = _slots(spark, quotas, n)
@@ -86,7 +86,7 @@ def schedule(spark: SparkSession, quotas: list[int], block: int = BLOCK) -> Data
             break
         n += n // 8 + 16
     ranked = _prefix(slots.withColumn("run", F.floor(F.col("i") / RUN)), ["source_no"], "run", ["i"], F.lit(1).cast("long"))
-    needed = spark.createDataFrame(list(enumerate(need)), "source_no int, need long")
+    needed = common.local_table(spark, list(enumerate(need)), "source_no int, need long")
     return ranked.join(needed, "source_no").where("at < need").select(F.col("i").alias("slot"), "source_no", F.col("at").alias("k"))
 
 
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sizes = [n for _, n in sums]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], share, most)
     quotas = [min(round(t), most * n) for t, n in zip(aims, sizes, strict=True)]
-    sources = spark.createDataFrame([(s, i, n, t, q) for i, ((s, n), t, q) in enumerate(zip(sums, aims, quotas, strict=True))], "s string, source_no int, source_size long, target double, quota long")
+    sources = common.local_table(spark, [(s, i, n, t, q) for i, ((s, n), t, q) in enumerate(zip(sums, aims, quotas, strict=True))], "s string, source_no int, source_size long, target double, quota long")
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     bucket = F.shiftrightunsigned("h", 64 - int(math.log2(BUCKETS))).cast("int")
     placed = _prefix(rows.where("size > 0").withColumn("bucket", bucket), ["source_no"], "bucket", ["h", "doc_id", "uid"], F.col("size"))

@@ -410,3 +410,22 @@ def test_empty_tables(spark, data, tmp_path):
         spark.createDataFrame([], df.schema).write.parquet(f"{out}/{t}.parquet")
     for n in range(1, 11):
         assert len(run(spark, {"dir": out}, f"op{n}")) == (n == 1)
+
+
+def test_local_tables_start_no_python_worker(spark):
+    from sparkloom.llm import common
+
+    rows, schema = [("a", 1, 2, 0.5), (None, 2, 1 << 40, 1.0)], "s string, i int, n long, x double"
+    got = common.local_table(spark, rows, schema)
+    assert [tuple(r) for r in got.collect()] == rows and got.schema == spark.createDataFrame(rows, schema).schema
+    assert "LocalTableScan" in got._jdf.queryExecution().toString()  # a list is unpickled by Python workers: Scan ExistingRDD
+    assert common.local_table(spark, [], schema).count() == 0 and common.local_table(spark, [(None, 1, 2, 3.0)], schema).first()["s"] is None
+
+
+@pytest.mark.parametrize("stage", ["decontamination", "mixture"])
+def test_stages_of_sql_start_no_python_worker(spark, data, monkeypatch, stage):
+    import corpus_pipeline
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows go through Python workers"))
+    sf = data["dir"]
+    dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()
