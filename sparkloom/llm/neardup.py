@@ -39,6 +39,8 @@ COORDINATES, SHINGLE, CHUNK = 64, 5, 512
 BROADCAST_IDS = 1_000_000
 #: Edges of a node that may meet in one task.
 HOT_NODE = 256
+#: Edges of a graph that one task may finish: 4 MB. More go by steps over all tasks.
+TASK_EDGES = 1 << 18
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_250_801)
 _MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,16 +121,41 @@ def _with_least(edges: DataFrame, least: DataFrame, many: int) -> DataFrame:
     return spread.unionAll(rest)
 
 
+def _roots(batches):
+    """node, root of the edges (u, v) in all batches; roots take the least root they have an edge to until none has one."""
+    found = [(batch.column("u").to_numpy(), batch.column("v").to_numpy()) for batch in batches if batch.num_rows]
+    if not found:
+        return
+    nodes, ends = np.unique(np.concatenate([x for uv in zip(*found, strict=True) for x in uv]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.record_batch({"node": pa.array(nodes[other], pa.int64()), "root": pa.array(nodes[root[other]], pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (its component's least node) for edges (a, b); alternates large and small stars until stable.
+    """node, root (its component's least node) for edges (a, b); alternates large and small stars until stable, or until
+    the edges left, which have the same components, are few enough for one task (TASK_EDGES).
 
     Each step is a join and an aggregate over the remaining edges; the edges are written to the shared folder between
-    steps. No component is gathered in one task: only least neighbours are aggregated, and a hot node's edges never meet.
+    steps. Above that bound no component is gathered in one task: only least neighbours are aggregated, and a hot node's
+    edges never meet. Each step also costs the driver some ten stages, of as many tasks as there are partitions.
     """
     edges = common.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     before = None
     now = (edges.count(), None)
     while True:
+        if now[0] <= TASK_EDGES:
+            return common.table(edges.coalesce(1).mapInArrow(common.tidy(_roots), "node long, root long"), "roots")
         # nodes with more edges than this are at most BROADCAST_IDS, as every edge has two ends
         many = max(HOT_NODE, 2 * now[0] // BROADCAST_IDS)
         # large star: every larger neighbour of a node points to the least of its neighbours

@@ -323,6 +323,36 @@ def test_op10_many_chunks(spark, monkeypatch):
     assert got == brute.components(docs)
 
 
+@pytest.mark.parametrize("most", [0, 150, 1 << 18])
+def test_components(spark, monkeypatch, most):
+    """By steps alone, by steps and one task, by one task alone: chains, stars, random and repeated edges, loops, none."""
+    monkeypatch.setattr(neardup, "TASK_EDGES", most)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(1000, 1060)] + [(2100 - i, 2099 - i) for i in range(40)] + [(3000, 3001 + i) for i in range(40)] + [(4040, 4000 + i) for i in range(40)]
+    edges += [(rng.randrange(5000, 5100), rng.randrange(5000, 5100)) for _ in range(60)] + [(1 << 60, -5), (-5, 1 << 60), (7, 7)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = [tuple(r) for r in neardup.components(df).select("node", "root").collect()]
+    assert sorted(got) == sorted((x, r) for x, r in root.items() if x != r)
+    assert neardup.components(df.where("a = b")).count() == 0
+
+
+def test_components_of_a_small_graph_in_few_jobs(spark):
+    """The driver keeps a record of every job, plan and task: a chain must not cost it a dozen joins for each halving."""
+    chain = spark.range(0, 600).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    spark.sparkContext.setJobGroup("components", "components of a chain")
+    try:
+        assert neardup.components(chain).where("root = 0").count() == 600
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert 0 < len(jobs) <= 8, len(jobs)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
