@@ -23,6 +23,7 @@ HOT_WORDS = 1 << 18
 BROADCAST_KEYS = 1_000_000
 
 _own_scratch: list[str] = []
+_tables: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,7 +46,27 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def tables() -> list[str]:
+    """Paths of the tables written so far and not dropped."""
+    return list(_tables)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _tables.remove(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    drop_tables(df.sparkSession, [df.scratch_path])
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -50,4 +50,35 @@ sim AS (SELECT rid, item_id, max(x::DOUBLE / (n + m - x)) AS sim FROM (SELECT ri
 good AS (SELECT rid, count(*) AS k, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(sim) AS sim FROM sim WHERE sim >= {SIMILARITY} GROUP BY rid)
 SELECT doc_id, k IS NOT NULL AS contaminated, coalesce(k, 0) AS n_items, coalesce(items, '') AS items, coalesce(sim, 0) AS similarity FROM ds LEFT JOIN good USING (rid)"""
 
-ORACLES = {"op4_decontamination": DECONTAMINATION, "op5_secrets": SECRETS, "op10_minhash_components": COMPONENTS}
+def _kmeans(k: int = 16, rounds: int = 3, dimensions: int = 64, scale: int = 64) -> str:
+    """All distances in every round, as whole numbers."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions})""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(r - 1 AS INT) AS c, x FROM (SELECT x, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) AS r FROM v) WHERE r <= {k})""",
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT rid, c, d FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS r FROM (
+    SELECT rid, c, CAST(list_sum(list_transform(list_zip(v.x, c{t}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{t})) WHERE r = 1)""")
+        if t < rounds:
+            steps.append(f"""m{t} AS (SELECT c, list(q ORDER BY p) AS x FROM (SELECT c, p, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS q FROM (
+    SELECT c, p, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, unnest(range({dimensions})) AS p FROM a{t} JOIN v USING (rid)) GROUP BY c, p)) GROUP BY c),
+c{t + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c{t} o LEFT JOIN m{t} m USING (c))""")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(steps)}, f AS (SELECT c, CAST(sum(d) AS BIGINT) AS own FROM {last} GROUP BY c)
+SELECT vec_id, c AS cluster, d AS distance, own AS cluster_inertia, CAST((SELECT sum(d) FROM {last}) AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM {last} JOIN v USING (rid) JOIN f USING (c) JOIN c{rounds} USING (c)"""
+
+
+_HASHED = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+FILL_IN_MIDDLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, {_HASHED} FROM t),
+c AS (SELECT doc_id, text, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+ORACLES = {
+    "op4_decontamination": DECONTAMINATION, "op5_secrets": SECRETS, "op10_minhash_components": COMPONENTS, "op11_ball_kmeans": _kmeans(), "op12_fill_in_middle": FILL_IN_MIDDLE,
+}
