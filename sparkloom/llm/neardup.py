@@ -1,7 +1,7 @@
 """MinHash near-dedup: an inverted join on signature coordinates, confirmed on full shingle sets.
 
 1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a signature of COORDINATES minima.
-   Rows with equal sets are one class; only a class's smallest doc_id goes on.
+   Rows with equal sets are one class, which goes on under a number of its own; its text is that of its smallest doc_id.
 2. A (coordinate, value) pair is a posting list. Two sets of similarity 0.85 agree in a coordinate with probability
    0.85; pairs that agree in fewer than `matches` of COORDINATES coordinates are not candidates (at the threshold,
    one in about 100,000 is missed). So two candidates share a pair among the COORDINATES - matches + 1 rarest of
@@ -15,11 +15,11 @@
    chunks of such members, level by level. Last, all members outside a cluster's largest component so far meet all of
    the cluster, chunk by chunk. So no pair between two components is left out, while a group of copies costs work in
    proportion to its size, not its square.
-4. Connected components over confirmed links, then back to all rows.
+4. Connected components over confirmed links and over the classes that share a doc_id, then back to all rows.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; fewer than five words
 are one shingle; a null doc_id cannot be named: its component_id is null and it is kept; rows that repeat a doc_id
-are one document in links and keep a row each; an empty table gives no rows; other columns are ignored.
+are one document in links, whatever their texts, and keep a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -307,6 +307,18 @@ def _across_chunks(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame
     return links.unionAll(common.table(_search_cells(grid, percent), "links"))
 
 
+def _ids_of_several_sets(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """doc_id, class of ids whose rows do not all have one set: one document in several classes. None if there is no such id."""
+    key = F.coalesce("set_key", F.lit(b""))
+    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id")
+    ids = common.table(ids, "several-ids")
+    n = ids.count()
+    if not n:
+        return None
+    rows = signed.where("set_key is not null").select("doc_id", "set_key").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id").distinct()
+    return common.table(rows.join(classes.select("set_key", F.col("doc_id").alias("class")), "set_key").select("doc_id", "class"), "several")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); linked: similarity >= percent / 100."""
     spark = docs.sparkSession
@@ -314,7 +326,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = docs.select(common.col("doc_id").cast("long").alias("doc_id"), common.text_of().cast("binary").alias("text"))
     signed = common.table(rows.mapInArrow(common.tidy(_signatures), "doc_id long, n_shingles long, set_key binary, sig array<int>"), "signatures")
     named = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = common.table(named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("text_id"), F.first("sig").alias("sig"))
+    classes = common.table(classes.withColumn("doc_id", F.monotonically_increasing_id()), "classes")  # from here on doc_id names a class
 
     pairs = classes.select("doc_id", F.posexplode("sig").alias("c", "v"))
     common_pairs = pairs.groupBy("c", "v").count().where("count > 1")
@@ -327,25 +340,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     clusters = components(posted.join(least, ["c", "v"]).select(F.col("doc_id").alias("a"), "b"))
     members = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionAll(clusters.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct())
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = common.table(members.join(sizes, "cluster").select("doc_id", "cluster", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "members")
+    members = members.join(sizes, "cluster").join(classes.select("doc_id", "text_id"), "doc_id")
+    members = common.table(members.select("doc_id", "text_id", "cluster", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "members")
 
     n = members.count()
     picked = F.broadcast(members) if n <= BROADCAST_IDS else members
-    sets = rows.join(picked, "doc_id").select("doc_id", "text", "cluster", "chunks").mapInArrow(common.tidy(_sets), "doc_id long, set_key binary, cluster long, chunks int, shingles binary")
+    texts = rows.select(F.col("doc_id").alias("text_id"), "text").join(picked, "text_id").select("doc_id", "text", "cluster", "chunks")
+    sets = texts.mapInArrow(common.tidy(_sets), "doc_id long, set_key binary, cluster long, chunks int, shingles binary")
     sets = sets.join(classes.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     sets = common.table(sets.drop("set_key"), "sets")
     links = common.table(_search_chunks(sets, percent), "links")
     big = sets.where("chunks > 1")
     if not big.isEmpty():
         links = _across_chunks(big, links, percent)
+    several = _ids_of_several_sets(signed, classes)
+    if several is not None:
+        first = several.groupBy("doc_id").agg(F.min("class").alias("b"))
+        links = links.unionAll(several.join(first, "doc_id").select(F.col("class").alias("a"), "b"))
     roots = components(links)
 
-    class_roots = classes.select("set_key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("root", "doc_id").alias("root"))
+    grouped = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    first = grouped.join(classes.select(F.col("doc_id").alias("node"), "text_id"), "node").groupBy("root").agg(F.min("text_id").alias("first"))
+    firsts = grouped.join(first, "root").select(F.col("node").alias("doc_id"), "first")
+    class_roots = classes.join(firsts, "doc_id", "left").select("set_key", F.col("doc_id").alias("class"), F.coalesce("first", "text_id").alias("root"))
+    found = signed.select("doc_id", "n_shingles", "set_key").join(class_roots.drop("class"), "set_key", "left")
+    if several is not None:  # a row without words too is of its document
+        own = several.join(class_roots, "class").groupBy("doc_id").agg(F.min("root").alias("own"))
+        found = found.join(own, "doc_id", "left").withColumn("root", F.coalesce("own", "root"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "doc_id"))
-    return (
-        signed.select("doc_id", "n_shingles", "set_key").join(class_roots, "set_key", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    )
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:

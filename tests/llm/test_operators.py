@@ -459,3 +459,24 @@ def test_stages_of_sql_start_no_python_worker(spark, data, monkeypatch, stage):
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows go through Python workers"))
     sf = data["dir"]
     dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op10_ids_with_several_texts(spark, tmp_path, seed):
+    """Rows of one id with different texts are one document: as the SQL over all shingles and links by id."""
+    import duckdb
+
+    from sparkloom.llm import oracles
+
+    said = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "bdefgh"} | {"empty": "", "none": None, "short": "two words"}
+    said |= {f"{c} near": f"{said[c]} x" for c in "bdef"}
+    rng = random.Random(seed)
+    rows = [(5, "b"), (9, "b"), (9, "d"), (12, "d"), (20, "e"), (3, "e"), (20, "b near")] if not seed else [(rng.randint(0, 25), rng.choice(sorted(said))) for _ in range(45)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, said[t]) for i, t in rows], "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = ordered((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.read.parquet(path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == ordered(tuple(r) for r in con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({oracles.COMPONENTS})").fetchall())
+    if not seed:
+        assert {r[2] for r in got} == {3}
