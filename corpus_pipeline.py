@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written goes as soon as the next one's documents are written."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    kept = set(common.tables())
     for name, stage in STAGES[:-1]:
         docs = common.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop_tables(spark, [t for t in common.tables() if t not in kept and t != docs.scratch_path])
     return STAGES[-1][1](spark, docs, sf_dir)
