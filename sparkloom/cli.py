@@ -23,7 +23,7 @@ from sparkloom.operators import tables as O
 from sparkloom.operators import training as R
 from sparkloom.plans import catalog, reports
 from sparkloom.sources import files
-from sparkloom.sources.scratch import scratch
+from sparkloom.sources.scratch import release, scratch
 
 FEATURES = list(C.FEATURES)
 SCHEMA = "email_id string, sanitized_subject string, sanitized_body string, label int, split string, " + ", ".join(f"{f} {'double' if f == C.RATIO_FEATURE else 'long'}" for f in FEATURES)
@@ -37,11 +37,11 @@ def preprocess(spark, config) -> bool:
     raw = files.read_raw_csv(spark, config["raw"], config["columns"], {str(k): v for k, v in config["labels"].items()}, config.get("expected_rows"))
     rows = scratch(O.canonical(raw, F.col("row"), F.col("subject"), F.col("body"), F.col("label"), config.get("prefix", "email")), "canonical")
     frozen = files.read_frozen_splits(spark, config.get("frozen_splits", {}), rows)
-    out = catalog.preprocessed(rows, frozen)
+    run: dict[str, int] = {}
+    out = catalog.preprocessed(rows, frozen, run)
     files.write_table(out, f"{config['out']}/processed")
     done = _processed(spark, config)
-    counts = {"input rows": rows.count(), "output rows": done.count()}
-    files.write_text(f"{config['out']}/preprocessing_summary.md", reports.preprocessing_summary(done, counts | {"removed": counts["input rows"] - counts["output rows"]}), spark)
+    files.write_text(f"{config['out']}/preprocessing_summary.md", reports.preprocessing_summary(done, {name: run[key] for key, name in reports.COUNTS.items()}), spark)
     for s in C.SPLITS:
         files.write_csv(done.where(F.col("split") == s).select("email_id"), f"{config['out']}/splits/{s}_ids.csv", "email_id")
     return True
@@ -119,11 +119,14 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("command", choices=COMMANDS)
     parser.add_argument("config")
     asked = parser.parse_args(arguments)
+    spark = SparkSession.builder.getOrCreate()
     try:
-        return 0 if COMMANDS[asked.command](SparkSession.builder.getOrCreate(), files.load_yaml(asked.config)) else 1
+        return 0 if COMMANDS[asked.command](spark, files.load_yaml(asked.config)) else 1
     except (C.ContractError, C.KeywordConfigError, OSError, KeyError, ValueError) as fault:
         print(f"{asked.command}: {fault}", file=sys.stderr)
         return 1
+    finally:
+        release(spark)  # results are files by now
 
 
 if __name__ == "__main__":

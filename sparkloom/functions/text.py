@@ -38,7 +38,8 @@ def whitespace(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    """Nothing but white space: a search for the first other character, so it is the same before and after normalising."""
+    return ~c.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def stable_id(prefix: str, row: Column, *parts: Column) -> Column:

@@ -31,22 +31,35 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("dedup_key", F.sha2(T.dedup_key(F.col("sanitized_subject"), F.col("sanitized_body")), 256))
 
 
-def keep_first(df: DataFrame) -> DataFrame:
+def key_groups(df: DataFrame) -> DataFrame:
+    """dedup_key, first (row number), n, n_labels (2 if labels differ; null labels are none)."""
+    groups = df.groupBy("dedup_key").agg(F.min("original_row_number").alias("first"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return groups.select("dedup_key", "first", "n", F.when(F.col("low").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(2).cast("long").alias("n_labels"))
+
+
+def keep_first(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The first row of each key by row number; a hot key's rows are aggregated before they meet."""
-    first = df.groupBy("dedup_key").agg(F.min("original_row_number").alias("_first"))
-    return df.join(first.select("_first"), F.col("original_row_number") == F.col("_first"), "left_semi")
+    first = (key_groups(df) if groups is None else groups).select(F.col("dedup_key").alias("_key"), F.col("first").alias("_first"))
+    return df.join(first, (F.col("original_row_number") == F.col("_first")) & (F.col("dedup_key") == F.col("_key")), "left_semi")
 
 
-def key_groups(df: DataFrame) -> DataFrame:
-    return df.groupBy("dedup_key").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+def group_metrics() -> list[Column]:
+    """Aggregates of key_groups: what dedup_stats returns, and what a write of them can observe."""
+    many = F.col("n") > 1
+    return [
+        F.coalesce(F.sum(many.cast("long")), F.lit(0)).alias("duplicate_groups"), F.coalesce(F.sum(F.when(many, F.col("n")).otherwise(0)), F.lit(0)).alias("duplicate_records"),
+        F.coalesce(F.sum(F.when(many, F.col("n") - 1).otherwise(0)), F.lit(0)).alias("removed"), F.coalesce(F.sum((F.col("n_labels") > 1).cast("long")), F.lit(0)).alias("conflicting_groups"),
+    ]
 
 
 def dedup_stats(df: DataFrame) -> DataFrame:
-    many = F.col("n") > 1
-    return key_groups(df).agg(
-        F.sum(many.cast("long")).alias("duplicate_groups"), F.sum(F.when(many, F.col("n")).otherwise(0)).alias("duplicate_records"), F.sum(F.when(many, F.col("n") - 1).otherwise(0)).alias("removed"),
-        F.sum((F.col("n_labels") > 1).cast("long")).alias("conflicting_groups"),
-    )
+    return key_groups(df).agg(*group_metrics())
+
+
+def conflicts(df: DataFrame, most: int = 20) -> list[str]:
+    """email_id:label of the first rows whose key has rows of other labels."""
+    keys = key_groups(df).where("n_labels > 1").select("dedup_key")
+    return [f"{r['email_id']}:{r['label']}" for r in df.join(keys, "dedup_key", "left_semi").orderBy("original_row_number").limit(most).collect()]
 
 
 def quotas(totals: DataFrame, ratios: dict[str, float] = C.RATIOS) -> DataFrame:
@@ -62,17 +75,21 @@ def quotas(totals: DataFrame, ratios: dict[str, float] = C.RATIOS) -> DataFrame:
 def stratified_split(df: DataFrame, ratios: dict[str, float] = C.RATIOS, seed: int = C.SEED) -> DataFrame:
     """df (email_id, label, ...) with `split`: per label, in hash order, cut by quota.
 
-    Positions come in two levels, per leading hex digits and inside, so a label with most rows is not one task.
+    Positions come in two levels, per leading hex digits and inside, so a label with most rows is not one task. Rows
+    without a label are a class of their own.
     """
     hashed = df.select("email_id", "label", T.hash_order(seed, F.col("email_id")).alias("h")).withColumn("part", F.substring("h", 1, 3))
     sizes = hashed.groupBy("label", "part").count()
     before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("label", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    place = hashed.withColumn("in", F.row_number().over(Window.partitionBy("label", "part").orderBy("h", "email_id"))).join(base, ["label", "part"]).select("email_id", "label", (F.col("base") + F.col("in")).alias("pos"))
+    base = base.select(F.col("label").alias("_label"), F.col("part").alias("_part"), "base")
+    inside = hashed.withColumn("in", F.row_number().over(Window.partitionBy("label", "part").orderBy("h", "email_id")))
+    place = inside.join(base, F.col("label").eqNullSafe(F.col("_label")) & (F.col("part") == F.col("_part"))).select("email_id", "label", (F.col("base") + F.col("in")).alias("pos"))
     q = quotas(df.groupBy("label").agg(F.count("*").alias("total")), ratios)
     upto = Window.partitionBy("label").orderBy("idx")
-    ranges = q.withColumn("high", F.sum("quota").over(upto)).withColumn("low", F.col("high") - F.col("quota")).select("label", "split", "low", "high")
-    return df.join(place.join(F.broadcast(ranges), "label").where("pos > low and pos <= high").select("email_id", "split"), "email_id")  # ranges: labels x splits
+    ranges = q.withColumn("high", F.sum("quota").over(upto)).withColumn("low", F.col("high") - F.col("quota")).select(F.col("label").alias("_label"), "split", "low", "high")
+    found = place.join(F.broadcast(ranges), F.col("label").eqNullSafe(F.col("_label")) & (F.col("pos") > F.col("low")) & (F.col("pos") <= F.col("high")))  # labels x splits
+    return df.join(found.select("email_id", "split"), "email_id")
 
 
 def assigned(df: DataFrame, mapping: DataFrame) -> DataFrame:

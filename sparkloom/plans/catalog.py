@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom import config as C
@@ -20,7 +20,7 @@ from sparkloom.operators import stats as A
 from sparkloom.operators import tables as O
 from sparkloom.operators import training as R
 from sparkloom.sources.files import json_documents
-from sparkloom.sources.scratch import scratch, scratch_dir
+from sparkloom.sources.scratch import on_release, scratch, scratch_dir
 from sparkloom.streaming.features import with_features
 
 F4 = ["uppercase_letter_ratio", "exclamation_mark_count", "n_chars", "n_commas"]
@@ -57,8 +57,8 @@ def canon(spark, sf):
 
 
 def clean(spark, sf):
-    s = O.sanitise(canon(spark, sf))
-    return O.keyed(s.where(~O.blank(s)))
+    rows = canon(spark, sf)  # a normal form is blank if the raw text is, so the filter does not normalise
+    return O.keyed(O.sanitise(rows.where(~(T.is_blank(F.col("raw_subject")) & T.is_blank(F.col("raw_body"))))))
 
 
 def _features(text):
@@ -119,7 +119,7 @@ q1 AS (SELECT *, floor(exact) AS fl, row_number() OVER (PARTITION BY label ORDER
 quota AS (SELECT label, split, idx, CAST(fl + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1),
 rng AS (SELECT *, sum(quota) OVER (PARTITION BY label ORDER BY idx) AS high FROM quota),
 pos AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || email_id), email_id) AS pos FROM kept),
-proc AS (SELECT p.email_id, p.row_no, p.label, p.ss, p.sb, p.ss || chr(10) || p.sb AS text, r.split FROM pos p JOIN rng r ON p.label = r.label AND p.pos <= r.high AND p.pos > r.high - r.quota),
+proc AS (SELECT p.email_id, p.row_no, p.label, p.ss, p.sb, p.ss || chr(10) || p.sb AS text, r.split FROM pos p JOIN rng r ON p.label IS NOT DISTINCT FROM r.label AND p.pos <= r.high AND p.pos > r.high - r.quota),
 feat AS (SELECT *, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^A-Za-z]', '', 'g')) END AS uppercase_letter_ratio,
   (length(text) - length(replace(text, '!', '')))::BIGINT AS exclamation_mark_count, length(text)::BIGINT AS n_chars, (length(text) - length(replace(text, ',', '')))::BIGINT AS n_commas FROM proc)"""
 BASE = f"WITH {CANON}, {SPLIT}"
@@ -169,7 +169,7 @@ def dedup_stats(spark, sf):
 SELECT dedup_key, count(*) AS n, count(DISTINCT quality) AS n_labels FROM j GROUP BY dedup_key HAVING count(DISTINCT quality) > 1""")
 def label_conflicts(spark, sf):
     rows = keyed(spark, sf).join(table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("original_row_number"), "quality"), "original_row_number")
-    return O.key_groups(rows.withColumn("label", F.col("quality"))).where("n_labels > 1")
+    return O.key_groups(rows.withColumn("label", F.col("quality"))).where("n_labels > 1").select("dedup_key", "n", "n_labels")
 
 
 @query(f"{BASE} SELECT CAST(label AS INT) AS label, split, CAST(idx AS INT) AS idx, quota FROM quota")
@@ -288,12 +288,22 @@ def preprocess(spark, sf):
     return rounded(preprocessed(canon(spark, sf)))
 
 
-def preprocessed(rows, frozen=None):
-    """Processed rows of canonical ones, split as in frozen (email_id, split) where it has them; raises ContractError unless
-    they keep the output contract."""
-    full = S.sanitised_rows(rows, {"sanitized_subject": "raw_subject", "sanitized_body": "raw_body"})
-    full = scratch(O.keyed(full.where(~O.blank(full))).select("email_id", "original_row_number", "label", "dedup_key", "sanitized_subject", "sanitized_body"), "sanitised")
-    kept = scratch(O.keep_first(full).drop("dedup_key"), "first")
+def preprocessed(rows, frozen=None, counts=None):
+    """Processed rows of canonical ones, split as in frozen (email_id, split) where it has them; raises ContractError if rows
+    of one key have different labels, or unless the result keeps the output contract.
+
+    counts: a dict that gets the run's counts. They are observed in the writes of the chain itself, so no pass is made for them.
+    """
+    seen, grouped = Observation(), Observation()
+    full = O.keyed(S.sanitised_rows(rows, {"sanitized_subject": "raw_subject", "sanitized_body": "raw_body"}))
+    full = full.observe(seen, F.count("*").alias("input"), F.count_if(O.blank(full)).alias("blank"))
+    full = scratch(full.where(~O.blank(full)).select("email_id", "original_row_number", "label", "dedup_key", "sanitized_subject", "sanitized_body"), "sanitised")
+    kept = scratch(O.keep_first(full, O.key_groups(full).observe(grouped, *O.group_metrics())).drop("dedup_key"), "first")
+    run = seen.get | grouped.get
+    if counts is not None:
+        counts |= run | {"output": run["input"] - run["blank"] - run["removed"]}
+    if run["conflicting_groups"]:
+        raise C.ContractError(f"rows of one text have different labels in {run['conflicting_groups']} groups: {', '.join(O.conflicts(full))}")
     if frozen is None:
         split = O.stratified_split(kept)
     else:
@@ -646,6 +656,7 @@ def pii_mask(spark, sf):
 
 
 _fitted: dict = {}
+on_release(_fitted.clear)
 
 
 def _model(spark, sf):

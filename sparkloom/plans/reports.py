@@ -10,6 +10,13 @@ from sparkloom.operators import stats as A
 from sparkloom.operators import tables as O
 
 
+#: Counts of a run, in the order and under the names of the summary.
+COUNTS = {
+    "input": "input rows", "blank": "blank rows removed", "duplicate_groups": "duplicate groups", "duplicate_records": "records in duplicate groups", "removed": "duplicates removed",
+    "conflicting_groups": "groups of conflicting labels", "output": "output rows",
+}
+
+
 def markdown_table(df: DataFrame) -> list[str]:
     """A frame of a few rows as Markdown lines."""
     show = lambda x: "" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x)

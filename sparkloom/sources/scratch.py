@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _written: list[str] = []
+_on_release: list[Callable[[], None]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,8 +37,15 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_release(forget: Callable[[], None]) -> None:
+    """forget is called when tables go, by those who keep frames over them."""
+    _on_release.append(forget)
+
+
 def release(spark: SparkSession) -> int:
     """Removes the tables written so far; results that were not read yet cannot be read any more. Their number."""
+    for forget in _on_release:
+        forget()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     done = 0
     while _written:

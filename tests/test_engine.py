@@ -341,3 +341,43 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_conflicting_labels_end_the_run(spark):
+    from sparkloom.plans import catalog
+
+    rows = [(f"m{i}", i, f"text {i}", "body", i % 2) for i in range(120)] + [("again", 200, "TEXT  7", "body ", 0), ("none", 201, "text 8", "body", None), ("same", 202, "text 9", "body", 1)]
+    df = spark.createDataFrame(rows, "email_id string, original_row_number long, raw_subject string, raw_body string, label int")
+    with pytest.raises(C.ContractError, match="in 1 groups: m7:1, again:0$"):
+        catalog.preprocessed(df)
+
+
+def test_run_counts_are_observed(spark):
+    from sparkloom.plans import catalog
+
+    rng, counts = random.Random(4), {}
+    rows = [(f"m{i}", i, s, "", int(s.strip() < "t")) for i, s in enumerate(rng.choice(["", "  \n", *(f"{c} {c}" for c in "abcdefghijklmnopqrstuvwxyz")]) + rng.choice(["", " "]) for _ in range(150))]
+    out = catalog.preprocessed(spark.createDataFrame(rows, "email_id string, original_row_number long, raw_subject string, raw_body string, label int"), counts=counts)
+    by: dict = {}
+    for _, _, s, _, _ in rows:
+        if s.strip():
+            by[s.strip()] = by.get(s.strip(), 0) + 1
+    many = [n for n in by.values() if n > 1]
+    assert counts == {"input": 150, "blank": 150 - sum(by.values()), "duplicate_groups": len(many), "duplicate_records": sum(many), "removed": sum(many) - len(many), "conflicting_groups": 0, "output": len(by)}
+    assert out.count() == len(by)
+
+
+def test_split_keeps_rows_without_label(spark):
+    rows = [(f"r{i}", (0, 1, None)[i % 3]) for i in range(90)]
+    got = O.stratified_split(spark.createDataFrame(rows, "email_id string, label int")).collect()
+    assert {r["email_id"]: r["label"] for r in got} == dict(rows)
+    assert {(y, s): sum((r["label"], r["split"]) == (y, s) for r in got) for y in (0, 1, None) for s in C.SPLITS} == {(y, s): n for y in (0, 1, None) for s, n in zip(C.SPLITS, (21, 5, 4), strict=True)}
+
+
+def test_release_forgets_frames_over_what_it_removes(spark):
+    from sparkloom.plans import catalog
+    from sparkloom.sources import scratch
+
+    kept = scratch.scratch(spark.range(3), "kept")
+    catalog._fitted["key"] = (None, kept)
+    assert scratch.release(spark) >= 1 and not catalog._fitted
