@@ -77,12 +77,13 @@ def train(spark, config) -> bool:
     R.save(model, f"{out}/model", FEATURES, best, threshold)
     again, _ = R.load(spark, f"{out}/model", FEATURES)
     R.check_reload(R.reload_difference(model, again, rows.where("split = 'validation'"), FEATURES, threshold))
-    files.write_csv(results, f"{out}/validation_results.csv", "candidate_id")
-    files.write_csv(thresholds, f"{out}/thresholds.csv", "threshold")
+    files.write_csv(R.result_table(results, thresholds, best, threshold), f"{out}/validation_results.csv", F.desc(F.col("stage") == "hyperparameter_search"), "candidate_id")
     files.write_csv(R.predictions(again, rows.where("split = 'test'"), FEATURES, threshold), f"{out}/test_predictions.csv", "email_id")
     metrics = {r["split"]: {k: v for k, v in r.asDict().items() if k != "split"} for r in R.final_evaluation(again, rows, FEATURES, threshold).collect()}
-    document = {"parameters": best, "threshold": threshold, "metrics": metrics, "input_sha256": files.sha256_of(f"{out}/processed", spark)}
-    files.write_text(f"{out}/model_metrics.json", json.dumps(document, indent=2, sort_keys=True) + "\n", spark)
+    by_split = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    documents = {"model_metrics.json": R.metrics_document(metrics, results.count(), by_split, files.sha256_of(f"{out}/processed", spark)), "frozen_model_config.json": R.frozen_document(FEATURES, best, threshold)}
+    for name, document in documents.items():
+        files.write_text(f"{out}/{name}", json.dumps(document, indent=2) + "\n", spark)
     return True
 
 

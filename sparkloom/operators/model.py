@@ -1,77 +1,55 @@
-"""Boosted trees: fit, score, exact path-dependent Shapley values over at most 12 features."""
+"""The classifier: fit, score and attributions of rows by second-order boosted trees."""
 
 from __future__ import annotations
 
-from math import factorial
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom import config as C
-
+from sparkloom.operators.boosting import Forest, Parameters, fit_all
 
-def vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
+def fit(train: DataFrame, features: list[str], **parameters) -> Forest:
+    """The forest of train (email_id, label, features); parameters as in Parameters."""
+    return fit_all(train, features, [Parameters(**parameters)])[0]
 
-def fit(train: DataFrame, features: list[str], max_depth: int = 3, learning_rate: float = 0.1, n_estimators: int = 10, min_child_weight: int = 1) -> GBTClassificationModel:
-    """min_child_weight stands in as the least number of rows of a node."""
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=max_depth, maxIter=n_estimators, stepSize=learning_rate, subsamplingRate=0.8, seed=C.SEED, minInstancesPerNode=min_child_weight)
-    return gbt.fit(vectors(train, features))
 
+def _values(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
+    return frame[list(features)].to_numpy(float)
 
-def score(model: GBTClassificationModel, df: DataFrame, features: list[str], threshold: float = 0.5) -> DataFrame:
-    out = model.transform(vectors(df, features)).withColumn("p", vector_to_array("probability")[1]).withColumn("margin", vector_to_array("rawPrediction")[1])
-    return out.withColumn("predicted_label", (F.col("p") >= threshold).cast("int")).drop("features", "probability", "rawPrediction", "prediction")
 
+def staged_margins(forests: dict[str, Forest], df: DataFrame, *keep: str) -> DataFrame:
+    """keep, name, margin: a row of df for each named forest."""
+    features = next(iter(forests.values())).features
 
-def _trees(model: GBTClassificationModel) -> list[tuple]:
-    def walk(node) -> tuple:
-        n = node.impurityStats().count()
-        if node.subtreeDepth() == 0:
-            return (n, node.prediction())
-        return (n, node.split().featureIndex(), node.split().threshold(), walk(node.leftChild()), walk(node.rightChild()))
+    def run(frames):
+        for f in frames:
+            x = _values(f, features)
+            for name, forest in forests.items():
+                yield f[list(keep)].assign(name=name, margin=forest.margins(x))
 
-    java = model._java_obj
-    return [(w, walk(t.rootNode())) for w, t in zip(model.treeWeights, java.trees(), strict=True)]
+    kept = [f"{c} {t}" for c, t in df.select(*keep).dtypes]
+    return df.select(*keep, *(F.col(c).cast("double").alias(c) for c in features)).mapInPandas(run, ", ".join([*kept, "name string", "margin double"]))
 
 
-def _expected(tree: tuple, x: np.ndarray, known: int) -> np.ndarray:
-    """Tree output of each row where unknown features follow both branches by node cover."""
-    if len(tree) == 2:
-        return np.full(len(x), tree[1])
-    n, f, cut, left, right = tree
-    a, b = _expected(left, x, known), _expected(right, x, known)
-    if known >> f & 1:
-        return np.where(x[:, f] <= cut, a, b)
-    return (left[0] * a + right[0] * b) / (left[0] + right[0])
+def probability(margin) -> F.Column:
+    return 1 / (1 + F.exp(-margin))
 
 
-def shapley(trees: list[tuple], x: np.ndarray) -> np.ndarray:
-    m = x.shape[1]
-    value = np.stack([sum(w * _expected(t, x, s) for w, t in trees) for s in range(1 << m)])
-    out = np.zeros((len(x), m))
-    for s in range(1 << m):
-        size = bin(s).count("1")
-        for i in range(m):
-            if not s >> i & 1:
-                out[:, i] += factorial(size) * factorial(m - size - 1) / factorial(m) * (value[s | 1 << i] - value[s])
-    return out
+def score(model: Forest, df: DataFrame, features: list[str], threshold: float = 0.5) -> DataFrame:
+    """df with margin, p and predicted_label."""
+    margin = F.pandas_udf(lambda *columns: pd.Series(model.margins(np.stack([c.to_numpy(float) for c in columns], 1))), "double")
+    out = df.withColumn("margin", margin(*(F.col(f).cast("double") for f in features))).withColumn("p", probability(F.col("margin")))
+    return out.withColumn("predicted_label", (F.col("p") >= threshold).cast("int"))
 
 
-def attributions(model: GBTClassificationModel, df: DataFrame, features: list[str]) -> DataFrame:
+def attributions(model: Forest, df: DataFrame, features: list[str]) -> DataFrame:
     """email_id, phi (on the margin), base: base + sum(phi) is the margin."""
-    trees = _trees(model)
+    base = model.base()
 
     def run(frames):
         for f in frames:
-            x = f[list(features)].to_numpy(float)
-            base = sum(w * _expected(t, x[:1], 0)[0] for w, t in trees) if len(x) else 0.0
-            yield pd.DataFrame({"email_id": f.email_id, "phi": list(shapley(trees, x)) if len(x) else [], "base": base})
+            yield pd.DataFrame({"email_id": f.email_id, "phi": list(model.attributions(_values(f, features))) if len(f) else [], "base": base})
 
-    return df.select("email_id", *features).mapInPandas(run, "email_id string, phi array<double>, base double")
+    return df.select("email_id", *(F.col(c).cast("double").alias(c) for c in features)).mapInPandas(run, "email_id string, phi array<double>, base double")

@@ -211,15 +211,6 @@ def keyword_counts(spark, sf):
     return n.select("user_id", *(T.keyword_count(F.col("_norm"), k.lists[c]).alias(f"{c}_word_count") for c in C.CATEGORIES))
 
 
-@query("""SELECT * FROM (VALUES (1, 1, 1, 0, 0), (2, 0, 2, 0, 0), (3, 0, 0, 2, 0), (4, 2, 0, 0, 1), (5, 0, 0, 0, 0)) t(id, urgency_word_count, credential_word_count, action_word_count, money_related_word_count)""")
-def keyword_phrases(spark, sf):
-    """Hand-made rows: phrases, variants, word edges."""
-    texts = [(1, "Account is on-hold"), (2, "please log sign in in"), (3, "re-verify and reconfirm it"), (4, "URGENT: expired credit-card"), (5, "accounts hypertax xpin9")]
-    k = C.Keywords()
-    n = spark.createDataFrame(texts, "id int, text string").withColumn("_norm", T.variants_normalised(F.col("text"), k))
-    return n.select("id", *(T.keyword_count(F.col("_norm"), k.lists[c]).cast("int").alias(f"{c}_word_count") for c in C.CATEGORIES))
-
-
 @query(f"{BASE} SELECT email_id, round(uppercase_letter_ratio, 6) AS uppercase_letter_ratio, exclamation_mark_count FROM feat")
 def case_punct_features(spark, sf):
     return rounded(processed(spark, sf).select("email_id", "uppercase_letter_ratio", "exclamation_mark_count"))
@@ -266,6 +257,19 @@ def _category_sql(category: str) -> tuple[list[str], str]:
 
 
 _KEYWORDS = {c: _category_sql(c) for c in C.CATEGORIES}
+_PHRASES = ("Account is on-hold", "please log sign in in", "re-verify and reconfirm it", "URGENT: expired credit-card", "accounts hypertax xpin9")
+
+
+@query(f"""WITH feat AS (SELECT doc_id, CASE doc_id % 5 {" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES))} END || ' ' || split_part(text, chr(10), 1) AS text FROM documents),
+nrm AS (SELECT *, {_variants_sql("text")} AS norm FROM feat), phr AS (SELECT *, {", ".join(x for columns, _ in _KEYWORDS.values() for x in columns)} FROM nrm)
+SELECT doc_id, {", ".join(f"CAST({total} AS INT) AS {c}_word_count" for c, (_, total) in _KEYWORDS.items())} FROM phr""")
+def keyword_phrases(spark, sf):
+    """First lines after a phrase, a variant or a near miss of one: phrases, variants, word edges."""
+    k, phrase = C.Keywords(), F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    n = table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", phrase, F.split_part("text", F.lit("\n"), F.lit(1))).alias("text")).withColumn("_norm", T.variants_normalised(F.col("text"), k))
+    return n.select("doc_id", *(T.keyword_count(F.col("_norm"), k.lists[c]).cast("int").alias(f"{c}_word_count") for c in C.CATEGORIES))
+
+
 _MARKS = "regexp_extract_all(text, '(?i)\\[URL:\\s*([^\\]\\r\\n]+)\\]', 1)"
 EIGHT = f"""{BASE}, nrm AS (SELECT *, {_variants_sql("text")} AS norm FROM feat), phr AS (SELECT *, {", ".join(x for columns, _ in _KEYWORDS.values() for x in columns)} FROM nrm),
 eight AS (SELECT *, CAST(len({_MARKS}) AS BIGINT) AS url_count, CAST(len(list_filter({_MARKS}, lambda u: regexp_full_match(split_part(trim(u), '/', 1), '{T.IPV4}|{T.IPV6}'))) AS BIGINT) AS ip_address_url_count,
@@ -488,10 +492,13 @@ def leakage_verdict(spark, sf):
     return rounded(J.leakage(*_pairs(spark, sf)))
 
 
-@query("""SELECT 'model_' || printf('%02d', row_number() OVER (ORDER BY d, l, n, m)) AS candidate_id, d AS max_depth, l AS learning_rate, n AS n_estimators, m AS min_child_weight, 0.8::DOUBLE AS subsample, 1.0::DOUBLE AS colsample_bytree
-FROM (VALUES (2), (3), (4)) a(d), (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) b(l), (VALUES (100), (200)) c(n), (VALUES (1), (5)) e(m)""")
+@query(f"""{BASE}, tr AS (SELECT count(*) AS train_rows FROM proc WHERE split = 'train')
+SELECT 'model_' || printf('%02d', row_number() OVER (ORDER BY d, l, n, m)) AS candidate_id, d AS max_depth, l AS learning_rate, n AS n_estimators, m AS min_child_weight, 0.8::DOUBLE AS subsample, 1.0::DOUBLE AS colsample_bytree, train_rows
+FROM tr, (VALUES (2), (3), (4)) a(d), (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) b(l), (VALUES (100), (200)) c(n), (VALUES (1), (5)) e(m)""")
 def param_grid(spark, sf):
-    return E.parameter_grid(spark)
+    """The candidates, with the number of rows that each is fitted on."""
+    n = processed(spark, sf).where("split = 'train'").agg(F.count("*").alias("train_rows"))
+    return E.parameter_grid(spark).join(F.broadcast(n))  # one row
 
 
 SCORES = "WITH sc AS (SELECT vec_id, CAST(label >= 5 AS INT) AS y, round(1 / (1 + exp(-8 * embedding[1]::DOUBLE)), 6) AS p FROM embeddings)"
@@ -516,13 +523,6 @@ def threshold_select(spark, sf):
     return rounded(E.best_threshold(E.threshold_search(scores(spark, sf))))
 
 
-@query("""WITH g AS (SELECT d AS max_depth, l AS learning_rate, n AS n_estimators, m AS min_child_weight, 0.80::DOUBLE + CASE WHEN d >= 3 THEN 0.05::DOUBLE ELSE 0 END AS balanced_accuracy FROM (VALUES (2), (3), (4)) a(d), (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) b(l), (VALUES (100), (200)) c(n), (VALUES (1), (5)) e(m))
-SELECT max_depth, learning_rate, n_estimators, min_child_weight, balanced_accuracy FROM g WHERE balanced_accuracy >= (SELECT max(balanced_accuracy) FROM g) - 1e-12 ORDER BY balanced_accuracy DESC, max_depth, n_estimators, min_child_weight DESC, learning_rate LIMIT 1""")
-def hyperparameter_select(spark, sf):
-    g = E.parameter_grid(spark).withColumn("balanced_accuracy", F.lit(0.80) + F.when(F.col("max_depth") >= 3, 0.05).otherwise(0.0))
-    return E.best_parameters(g).select("max_depth", "learning_rate", "n_estimators", "min_child_weight", "balanced_accuracy")
-
-
 OUT = f"{SCORES}, oc AS (SELECT vec_id, CASE WHEN y = 1 AND p >= 0.35 THEN 'TP' WHEN y = 0 AND p < 0.35 THEN 'TN' WHEN y = 0 THEN 'FP' ELSE 'FN' END AS outcome_type FROM sc)"
 
 
@@ -659,14 +659,22 @@ _fitted: dict = {}
 on_release(_fitted.clear)
 
 
+def _labelled(spark, sf):
+    """Rows with the eight features, label and split, written once a session."""
+    key = (spark.sparkContext.applicationId, sf, "rows")
+    if key not in _fitted:
+        for other in [k for k in _fitted if k[:2] != key[:2]]:
+            del _fitted[other]
+        _fitted[key] = scratch(with_features(processed(spark, sf, "sanitized_subject", "sanitized_body")), "labelled")
+    return _fitted[key]
+
+
 def _model(spark, sf):
     """(model, rows): one fit with the frozen parameters for all queries of a session."""
-    key = (spark.sparkContext.applicationId, sf)
+    rows, key = _labelled(spark, sf), (spark.sparkContext.applicationId, sf, "model")
     if key not in _fitted:
-        _fitted.clear()
-        rows = scratch(with_features(processed(spark, sf, "sanitized_subject", "sanitized_body")), "labelled")
-        _fitted[key] = M.fit(rows.where("split = 'train'"), list(C.FEATURES), **C.FROZEN_MODEL), rows
-    return _fitted[key]
+        _fitted[key] = M.fit(rows.where("split = 'train'"), list(C.FEATURES), **C.FROZEN_MODEL)
+    return _fitted[key], rows
 
 
 @query()
@@ -676,6 +684,21 @@ def gbt_scores(spark, sf):
     return R.final_evaluation(model, rows, list(C.FEATURES), C.FROZEN_THRESHOLD)
 
 
+@query()
+def grid_search(spark, sf):
+    """Validation metrics of all candidates of the grid."""
+    rows, key = _labelled(spark, sf), (spark.sparkContext.applicationId, sf, "grid")
+    if key not in _fitted:
+        _fitted[key] = R.grid_forests(rows, list(C.FEATURES), E.parameter_grid(spark))
+    return rounded(R.grid_metrics(_fitted[key], rows, E.parameter_grid(spark)), 12)
+
+
+@query()
+def hyperparameter_select(spark, sf):
+    """The candidate that the search over the grid chooses."""
+    return E.best_parameters(grid_search(spark, sf)).select("candidate_id", "max_depth", "learning_rate", "n_estimators", "min_child_weight", "balanced_accuracy")
+
+
 @query()
 def test_predictions(spark, sf):
     model, rows = _model(spark, sf)

@@ -11,7 +11,7 @@ from hashlib import sha256
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,7 +154,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     _replace(fs, part, target)
 
 
-def write_csv(df: DataFrame, path: str, *order: str) -> None:
+def write_csv(df: DataFrame, path: str, *order: str | Column) -> None:
     """One named CSV file with a header, rows in `order`, for results that one file can hold; lines end with LF."""
     spark = df.sparkSession
     target, fs = _hadoop(path, spark)

@@ -18,10 +18,10 @@ from sparkloom import cli
 from sparkloom import config as C
 from sparkloom.functions import sanitise as S
 from sparkloom.operators import evaluate as E
-from sparkloom.operators import model as M
 from sparkloom.operators import similarity as J
 from sparkloom.operators import stats as A
 from sparkloom.operators import tables as O
+from sparkloom.operators import training as R
 from sparkloom.functions import text as T
 from sparkloom.sources import files
 from sparkloom.streaming.features import stream_features, with_features
@@ -120,13 +120,6 @@ def test_pam_medoids_are_train_rows(spark):
         assert abs(E.silhouette(d, d[:, m].argmin(1)) - mine[0]["silhouette_score"]) < 1e-9
 
 
-def test_shapley_adds_up():
-    tree = (10, 0, 0.5, (6, 1, 0.0, (2, 1.0), (4, 2.0)), (4, 5.0))
-    x = np.array([[0.0, 1.0], [1.0, -1.0], [0.2, -3.0]])
-    phi, base = M.shapley([(0.5, tree)], x), 0.5 * M._expected(tree, x[:1], 0)[0]
-    assert np.allclose(base + phi.sum(1), 0.5 * M._expected(tree, x, 3))
-
-
 def test_broken_markup():
     """What is not closed ends with the element around it; media go with what is in them; links keep their address."""
     cases = {
@@ -293,7 +286,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert done.count() == 81 and done.where("sanitized_subject = ''").select("sanitized_body").collect()[0][0] == "None of it"
     first = done.where("email_id like 'email_000001_%'").first()
     assert first["sanitized_subject"] == "notes 0" and first["label"] == 0
-    assert "output rows: 81" in (out / "preprocessing_summary.md").read_text()
+    summary = (out / "preprocessing_summary.md").read_text()
+    assert all(f"- {x}" in summary for x in ("input rows: 83", "blank rows removed: 1", "duplicate groups: 1", "records in duplicate groups: 2", "duplicates removed: 1", "groups of conflicting labels: 0", "output rows: 81"))
     assert [cli.main([c, path]) for c in ("train", "explain", "examples")] == [0, 0, 0], capsys.readouterr().err
     cli.main(["diagnose", path]), cli.main(["leakage", path])
     said = capsys.readouterr().out
@@ -301,7 +295,13 @@ def test_command_line(spark, tmp_path, capsys):
     metrics = files.load_json(str(out / "model_metrics.json"))
     test = pd.read_csv(out / "test_predictions.csv")
     assert list(test.email_id) == sorted(test.email_id) and set(test.outcome_type) <= {"TP", "TN", "FP", "FN"}
-    assert metrics["metrics"]["test"]["tp"] == (test.outcome_type == "TP").sum() and metrics["parameters"]["n_estimators"] in (2, 4)
+    assert metrics["test"]["tp"] == (test.outcome_type == "TP").sum() == metrics["test_outcome_availability"]["by_outcome_type"]["TP"]["count"] and sum(metrics["row_counts"].values()) == 81
+    frozen = files.load_json(str(out / "frozen_model_config.json"))
+    assert frozen["hyperparameters"]["n_estimators"] in (2, 4) and frozen["feature_order"] == list(C.FEATURES) and frozen["classification_threshold"] in [i / 100 for i in range(30, 71)]
+    results = pd.read_csv(out / "validation_results.csv")
+    assert list(results.columns) == list(R.RESULT_COLUMNS) and list(results.stage) == ["hyperparameter_search"] * 2 + ["threshold_search"] * 41
+    assert results.selected_threshold.sum() == 1 and results[results.selected_threshold].threshold.item() == frozen["classification_threshold"]
+    assert results.selected_hyperparameters.sum() == 42 and list(results.candidate_id)[:3] == ["model_01", "model_02", "threshold_0.30"]
     documents = [json.loads(x) for p in (out / "attributions").glob("part-*") for x in p.read_text().splitlines()]
     assert [d["email_id"] for d in documents] == list(test.email_id) and all([f["rank"] for f in d["features"]] == [1, 2, 3] for d in documents)
     frozen = {s: str(out / f"splits/{s}_ids.csv") for s in C.SPLITS}
