@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,103 +70,6 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-#: Distances computed at a time: half a MB, which stays in a core's cache.
-BLOCK_CELLS = 1 << 16
-
-
-class Distances:
-    """Distances between all rows of x by d[rows] and d[:, columns], computed when asked for."""
-
-    def __init__(self, x: np.ndarray) -> None:
-        self.x = x
-
-    def __len__(self) -> int:
-        return len(self.x)
-
-    def __getitem__(self, at) -> np.ndarray:
-        rows, columns = at if isinstance(at, tuple) else (at, slice(None))
-        a, b = self.x[rows], self.x[columns]
-        out = np.zeros((len(a), len(b)))
-        for i in range(self.x.shape[1]):
-            differ = a[:, None, i] - b[None, :, i]
-            out += np.square(differ, out=differ)
-        return np.sqrt(out, out=out)
-
-
-def _by_blocks(d: np.ndarray | Distances, f) -> np.ndarray:
-    """f of each block of rows of d, joined: d is symmetric, so its rows stand for its columns."""
-    step = max(1, BLOCK_CELLS // len(d))
-    return np.concatenate([f(d[i : i + step]) for i in range(0, len(d), step)], -1)
-
-
-def pam_build(d: np.ndarray | Distances, k: int) -> list[int]:
-    """BUILD: the first of its medoids are those of a smaller k."""
-    medoids = [int(_by_blocks(d, lambda x: x.sum(1)).argmin())]
-    near = d[:, medoids].min(1)
-    while len(medoids) < k:
-        gain = _by_blocks(d, lambda x: np.maximum(near - x, 0).sum(1))
-        gain[medoids] = -1
-        medoids.append(int(gain.argmax()))
-        near = np.minimum(near, d[:, medoids[-1:]][:, 0])
-    return medoids
-
-
-def pam(d: np.ndarray | Distances, k: int, rounds: int = 300, built: list[int] | None = None) -> np.ndarray:
-    """Medoids of distances: BUILD, then the best swap while the cost falls; ties to the lowest index."""
-    medoids = (built or pam_build(d, k))[:k]
-    cost = d[:, medoids].min(1).sum()
-    for _ in range(rounds):
-        own = d[:, medoids]
-        rests = [np.delete(own, i, 1).min(1) if k > 1 else np.full(len(d), np.inf) for i in range(k)]
-        swaps = _by_blocks(d, lambda x: np.stack([np.minimum(rest, x).sum(1) for rest in rests]))  # noqa: B023
-        best = (cost - 1e-12, None)
-        for i, costs in enumerate(swaps):
-            costs[medoids] = np.inf
-            j = int(costs.argmin())
-            if costs[j] < best[0]:
-                best = (costs[j], (i, j))
-        if best[1] is None:
-            break
-        medoids[best[1][0]], cost = best[1][1], best[0]
-    return np.array(sorted(medoids))
-
-
-def silhouette(d: np.ndarray | Distances, labels: np.ndarray) -> float:
-    k = labels.max() + 1
-    onehot = np.eye(k)[labels]
-    sums, n = _by_blocks(d, lambda x: (x @ onehot).T).T, onehot.sum(0)
-    own = sums[np.arange(len(d)), labels] / np.maximum(n[labels] - 1, 1)
-    other = sums / n
-    other[np.arange(len(d)), labels] = np.inf
-    b = other.min(1)
-    s = np.where(n[labels] == 1, 0.0, (b - own) / np.maximum(np.maximum(own, b), 1e-300))
-    return float(s.mean())
-
-
-def class_medoids(rows: DataFrame) -> DataFrame:
-    """predicted_label, k, silhouette_score, email_id (medoid), distance_threshold of rows (predicted_label, email_id, z)."""
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) <= max(C.MEDOID_KS):
-            raise C.ContractError(f"a class of {len(g)} rows can't be clustered")
-        g = g.sort_values("email_id")
-        x = np.stack(g.z)
-        d = Distances(x)
-        built = pam_build(d, max(C.MEDOID_KS))
-        found = []
-        for k in C.MEDOID_KS:
-            m = pam(d, k, built=built)
-            labels = d[:, m].argmin(1)
-            if len(np.unique(labels)) == k:
-                found.append((silhouette(d, labels), k, m))
-        top = max(s for s, _, _ in found)
-        s, k, m = min((f for f in found if f[0] >= top - C.TIE), key=lambda f: f[1])
-        limit = np.percentile(d[:, m].min(1), 100 * C.DISTANCE_PERCENTILE)
-        return pd.DataFrame({"predicted_label": int(g.predicted_label.iloc[0]), "k": k, "silhouette_score": s, "email_id": g.email_id.to_numpy()[m], "distance_threshold": limit})
-
-    return rows.select("predicted_label", "email_id", "z").groupBy("predicted_label").applyInPandas(fit, "predicted_label int, k int, silhouette_score double, email_id string, distance_threshold double")
-
-
 def nearest_medoid(rows: DataFrame, medoids: DataFrame) -> DataFrame:
     """email_id, medoid_id, distance within the class; ties to the least id. Medoids: at most 6 a class."""
     m = F.broadcast(medoids.select("predicted_label", F.col("email_id").alias("medoid_id"), F.col("z").alias("mz")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom import config as C
 from sparkloom.functions import text as T
 from sparkloom.operators import evaluate as E
+from sparkloom.operators import medoids as P
 from sparkloom.operators import model as M
 from sparkloom.operators import tables as O
 from sparkloom.operators.boosting import Forest, Parameters, fit_all
@@ -188,7 +189,7 @@ def example_rows(model: Forest, rows: DataFrame, features: list[str], threshold:
     """
     scored = scratch(E.standardise(M.score(model, rows, features, threshold), features), "standardised")
     train = scored.where(F.col("split") == "train")
-    medoids = scratch(E.class_medoids(train).select("email_id").join(scored, "email_id"), "medoids")  # at most 6 a class
+    medoids = scratch(P.class_medoids(train).select("email_id").join(scored, "email_id"), "medoids")  # at most 6 a class
     near = scratch(E.nearest_medoid(scored, medoids), "nearest")
     limit = train.join(near, "email_id").groupBy("predicted_label").agg(F.percentile("distance", C.DISTANCE_PERCENTILE).alias("t"))
     raw = F.array(*(F.col(f).cast("double") for f in features))

@@ -14,6 +14,7 @@ from sparkloom import config as C
 from sparkloom.functions import sanitise as S
 from sparkloom.functions import text as T
 from sparkloom.operators import evaluate as E
+from sparkloom.operators import medoids as P
 from sparkloom.operators import model as M
 from sparkloom.operators import similarity as J
 from sparkloom.operators import stats as A
@@ -574,6 +575,16 @@ def distance_p95(spark, sf):
     return rounded(z.where("split = 'train'").join(near, "email_id").groupBy("predicted_label").agg(F.percentile("distance", 0.95).alias("distance_threshold")))
 
 
+@query(f"""{_NEAR}, tr AS (SELECT * FROM nr WHERE split = 'train'), cs AS (SELECT predicted_label, medoid_id, count(*) AS n FROM tr GROUP BY ALL),
+dd AS (SELECT a.email_id, a.predicted_label, a.medoid_id AS own, b.medoid_id AS other, sum({_D("a", "b")}) AS total FROM tr a JOIN tr b ON a.predicted_label = b.predicted_label GROUP BY ALL),
+av AS (SELECT email_id, dd.predicted_label, own, max(CASE WHEN other = own AND n > 1 THEN total / (n - 1) END) AS inside, min(CASE WHEN other <> own THEN total / n END) AS outside FROM dd JOIN cs ON cs.predicted_label = dd.predicted_label AND cs.medoid_id = other GROUP BY ALL)
+SELECT predicted_label, round(avg(CASE WHEN inside IS NULL OR outside IS NULL THEN 0 ELSE (outside - inside) / greatest(outside, inside) END), 6) AS silhouette FROM av GROUP BY predicted_label""")
+def silhouette(spark, sf):
+    """Mean silhouette of the train rows of each class in clusters around its first three."""
+    z, medoids, _ = _near(spark, sf)
+    return rounded(P.mean_silhouettes(z.where("split = 'train'").select("predicted_label", "email_id", "z"), medoids.select("predicted_label", "email_id", "z")))
+
+
 def _pair_rows(spark, sf):
     z, medoids, near = _near(spark, sf)
     raw = F.array(*FS)
@@ -748,7 +759,7 @@ def eligibility_by_outcome(spark, sf):
 
 @query()
 def pam_medoids(spark, sf):
-    return E.class_medoids(E.standardise(vectors4(spark, sf), FS).where("split = 'train'"))
+    return P.class_medoids(E.standardise(vectors4(spark, sf), FS).where("split = 'train'"))
 
 
 @query()

@@ -14,10 +14,12 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from plain_pam import pam, silhouette
 from sparkloom import cli
 from sparkloom import config as C
 from sparkloom.functions import sanitise as S
 from sparkloom.operators import evaluate as E
+from sparkloom.operators import medoids as P
 from sparkloom.operators import similarity as J
 from sparkloom.operators import stats as A
 from sparkloom.operators import tables as O
@@ -82,42 +84,43 @@ def test_keywords_must_be_frozen():
 
 def test_pam_never_costs_more_than_build():
     x = np.random.default_rng(0).normal(size=(40, 2))
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d = P.distances(x, x)
     for k in (1, 2, 3):
-        assert d[:, E.pam(d, k)].min(1).sum() <= d[:, E.pam(d, k, rounds=0)].min(1).sum() + 1e-9
-
-
-def test_pam_by_blocks(monkeypatch):
-    x = np.random.default_rng(2).normal(size=(90, 3))
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    whole = [(E.pam(d, k).tolist(), E.silhouette(d, d[:, E.pam(d, k)].argmin(1))) for k in (2, 5)]
-    monkeypatch.setattr(E, "BLOCK_CELLS", 700)
-    parts = E.Distances(x)
-    for k, (medoids, s) in zip((2, 5), whole, strict=True):
-        assert E.pam(parts, k, built=E.pam_build(parts, 6)).tolist() == medoids
-        assert abs(E.silhouette(parts, parts[:, medoids].argmin(1)) - s) < 1e-12
-
-
-def test_pam_of_a_large_class(spark):
-    rng = np.random.default_rng(3)
-    rows = [(1, f"v{i:05d}", [float(v)]) for i, v in enumerate(rng.normal(size=8100) * 0.01 + rng.integers(0, 2, 8100))]
-    found = E.class_medoids(spark.createDataFrame(rows, "predicted_label int, email_id string, z array<double>")).collect()
-    assert {(r["k"], round(dict((i, z[0]) for _, i, z in rows)[r["email_id"]], 1)) for r in found} == {(2, 0.0), (2, 1.0)}
+        assert d[:, pam(d, k)].min(1).sum() <= d[:, pam(d, k, rounds=0)].min(1).sum() + 1e-9
+
+
+@pytest.mark.parametrize(("n", "size"), [(300, 64), (90, 1024), (45, 7)])
+def test_medoids_over_blocks_are_those_of_the_whole_matrix(spark, n, size):
+    """Two classes, several blocks, repeated vectors; all numbers of medoids, silhouettes and the choice among them."""
+    rng = np.random.default_rng(n)
+    rows = [(y, f"v{i:04d}", [float(v) for v in rng.normal(size=3) + 3 * y * (i % 4)]) for i in range(n) for y in (0, 1)]
+    rows = [(y, f"{e}{y}", z) for y, e, z in rows] + [(0, f"w{i}", rows[0][2]) for i in range(5)]
+    df = spark.createDataFrame(rows, "predicted_label int, email_id string, z array<double>").repartition(3)
+    packed = P.blocks(df, size)
+    found, chosen = P.search_medoids(packed, 3, [0, 1], C.MEDOID_KS), P.class_medoids(df, size).collect()
+    for y in (0, 1):
+        own = sorted((e, z) for label, e, z in rows if label == y)
+        d = P.distances(*[np.array([z for _, z in own])] * 2)
+        scores = {}
+        for k in C.MEDOID_KS:
+            m = pam(d, k)
+            assert [own[i][0] for i in m] == [e for _, e, _ in found[y][k]]
+            scores[k] = silhouette(d, d[:, m].argmin(1))
+        k = max(scores, key=lambda k: (scores[k], -k))
+        mine = [r for r in chosen if r["predicted_label"] == y]
+        assert {r["k"] for r in mine} == {k} and sorted(r["email_id"] for r in mine) == [own[i][0] for i in pam(d, k)]
+        assert abs(mine[0]["silhouette_score"] - scores[k]) < 1e-9 and abs(mine[0]["distance_threshold"] - np.percentile(d[:, pam(d, k)].min(1), 95)) < 1e-9
 
 
 def test_pam_medoids_are_train_rows(spark):
     from sparkloom.plans import catalog
 
     sf = "/root/testdata/sf0.001"
-    rows = E.standardise(catalog.vectors4(spark, sf), catalog.FS).where("split = 'train'").select("predicted_label", "email_id", "z").collect()
+    train = {r["email_id"]: r["predicted_label"] for r in catalog.vectors4(spark, sf).where("split = 'train'").collect()}
     found = catalog.pam_medoids(spark, sf).collect()
-    for y in (0, 1):
-        own = sorted((r["email_id"], r["z"]) for r in rows if r["predicted_label"] == y)
-        x, mine = np.array([z for _, z in own]), [r for r in found if r["predicted_label"] == y]
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        m = E.pam(d, mine[0]["k"])
-        assert [own[i][0] for i in m] == sorted(r["email_id"] for r in mine)
-        assert abs(E.silhouette(d, d[:, m].argmin(1)) - mine[0]["silhouette_score"]) < 1e-9
+    assert all(train[r["email_id"]] == r["predicted_label"] for r in found) and {r["predicted_label"] for r in found} == {0, 1}
+    with pytest.raises(C.ContractError, match="can't be clustered"):
+        P.class_medoids(spark.createDataFrame([(1, f"{i}", [0.0]) for i in range(6)], "predicted_label int, email_id string, z array<double>"))
 
 
 def test_broken_markup():
@@ -150,6 +153,32 @@ def test_link_edges_are_word_edges():
     assert S.link_target("HTTP://User@EXAMPLE.com:8080//a///b?to=me@x.example&u=http://z#frag") == "example.com/a/b?to=[USER]@x.example&u=http-colon//z".replace("[", "").replace("]", "")
 
 
+def test_phones_are_masked_until_none_is_left():
+    """As by masking the whole text again and again."""
+
+    def whole(text):
+        again = S.PHONE.sub(lambda m: S.PHONE_MASK if 7 <= sum(c.isdigit() for c in m[0]) <= 15 else m[0], text)
+        return text if again == text else whole(again)
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("0123456789" * 3 + " .-+()()a]", k=rng.randint(5, 60))) for _ in range(4000)]
+    assert [S.phones(t) for t in texts] == [whole(t) for t in texts]
+    assert sum(whole(t) != S._mask_numbers(t, S.PHONE.finditer(t))[0] for t in texts) > 1
+
+
+def test_link_targets():
+    """Host and rest as the standard library parses them, where it does."""
+    from urllib.parse import urlsplit
+
+    urls = ["http://A.example", "https://u:p@B.example:8443/x//y/?q=a/b#f", "ftp://c.example/?#x", "d.example:80", "e.example/p:1@z?x=1?y", "http://[2001:DB8:0:0:0:0:0:1]:80/a", "HTTP://f.example?only=query", "http://g@h@i.example/", "x+y://j.example//", "k.example?#", "http:///path"]
+    for url in urls:
+        p = urlsplit(url if "://" in url else f"http://{url}")
+        host = p.hostname.replace("2001:db8:0:0:0:0:0:1", "2001:db8::1") if p.hostname else "unknown-host"
+        assert S.link_target(url) == host + (re.sub("/+", "/", p.path) or "/") + (f"?{p.query}" if p.query else ""), url
+    assert [S.link_target(u) for u in ("http://[::1", "http://[x]/", "http://a]b/", "", "http://a.example/call/5551234567/x@Y.example?z=HTTP://b")] == ["unknown-host"] * 3 + ["unknown-host/", "a.example/call/PHONE/USER@y.example?z=http-colon//b"]
+    assert S.decode_entities("&amp;amp;lt;b&amp;gt; &#65; & x") == "<b> A & x"
+
+
 def test_extension_as_in_plain_python(spark):
     """Each new id goes where its label lacks most, then where rows lack most at all, against quotas in whole rows."""
 
@@ -210,7 +239,7 @@ def test_pam_is_the_best_of_all():
         x = np.concatenate([np.random.default_rng(seed).normal(m, 0.2, size=(5, 2)) for m in (0, 3)])
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
         best = min(d[:, list(m)].min(1).sum() for m in combinations(range(10), 2))
-        assert d[:, E.pam(d, 2)].min(1).sum() == pytest.approx(best)
+        assert d[:, pam(d, 2)].min(1).sum() == pytest.approx(best)
 
 
 def test_shared_features_and_eligibility(spark):
