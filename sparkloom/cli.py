@@ -1,7 +1,8 @@
 """Command line: python -m sparkloom.cli COMMAND CONFIG. Faults go to stderr and end with status 1, as failed diagnostics do.
 
 CONFIG is a YAML mapping: `columns` and `labels` of the raw CSV, `raw`, `out` (a folder), and if wanted `expected_rows`,
-`frozen_splits` (split: CSV of ids), `grid` (lists of parameters) and `threshold` (of a frozen model, to be met exactly).
+`frozen_splits` (split: CSV of ids), `grid` (lists of parameters), `threshold` (of a frozen model, to be met exactly),
+`ks_threshold` (of diagnose) and `severe_coverage` (of leakage).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from sparkloom.operators import training as R
 from sparkloom.plans import catalog, reports
 from sparkloom.sources import files
 from sparkloom.sources.scratch import release, scratch
+from sparkloom.streaming.features import with_features
 
 FEATURES = list(C.FEATURES)
 SCHEMA = "email_id string, sanitized_subject string, sanitized_body string, label int, split string, " + ", ".join(f"{f} {'double' if f == C.RATIO_FEATURE else 'long'}" for f in FEATURES)
@@ -47,11 +49,26 @@ def preprocess(spark, config) -> bool:
     return True
 
 
+def _recomputed(rows):
+    """Stored features against those computed anew from the sanitised texts."""
+    again = with_features(rows.select("email_id", "sanitized_subject", "sanitized_body")).select("email_id", *(F.col(f).alias(f"_{f}") for f in FEATURES))
+    return A.recompute(rows.join(again, "email_id"), {f: (f, f"_{f}") for f in FEATURES})
+
+
 def diagnose(spark, config) -> bool:
-    rows = _processed(spark, config)
-    for title, df in (("Distribution", A.distribution(rows, FEATURES)), ("Distance between splits", A.ks(rows, FEATURES).orderBy("feature", "split_pair"))):
+    rows, limit = _processed(spark, config), float(config.get("ks_threshold", C.KS_THRESHOLD))
+    described, recomputed = scratch(A.distributions(rows, FEATURES, "split", "label"), "distributions"), scratch(_recomputed(rows), "recomputed")
+    tables = (
+        ("Stored against recomputed", recomputed), ("Distribution", described.orderBy("scope", "key", "feature")), ("Distance between splits", A.ks(rows, FEATURES).orderBy("feature", "split_pair")),
+        ("Pearson", A.pearson(rows, FEATURES)), ("Spearman", A.spearman(rows, FEATURES, "email_id")),
+    )
+    for title, df in tables:
         print(reports.text_table(title, df))
-    passed = bool(A.verdict(rows, FEATURES).first()["passed"])
+    for r in described.where((F.col("scope") == "all") & (F.col("mode_ratio") >= C.NEAR_CONSTANT)).orderBy("feature").collect():
+        print(f"warning: {r['feature']} is nearly constant ({r['mode_ratio']:.4f} of the rows have one value)")
+    verdict = A.full_verdict(rows, FEATURES, recomputed, limit)
+    print(reports.text_table("Verdict", verdict))
+    passed = bool(verdict.first()["passed"])
     print(reports.verdict_line("features", passed))
     return passed
 
@@ -61,7 +78,7 @@ def leakage(spark, config) -> bool:
     pairs = scratch(J.similar_pairs(scratch(J.tfidf(rows), "tfidf"), rows), "pairs")
     print(reports.text_table("Thresholds", J.thresholds(pairs, rows).orderBy("threshold")))
     print(reports.text_table("Most similar pairs", J.ordered_pairs(pairs).limit(20)))
-    severe = bool(J.leakage(pairs, rows).first()["severe"])
+    severe = bool(J.leakage(pairs, rows, float(config.get("severe_coverage", C.SEVERE_COVERAGE))).first()["severe"])
     print(reports.verdict_line("template leakage", not severe))
     return not severe
 
@@ -107,7 +124,10 @@ def explain(spark, config) -> bool:
 def examples(spark, config) -> bool:
     model, threshold = _model(spark, config)
     judged, shared = R.example_rows(model, _processed(spark, config), FEATURES, threshold)
-    print(reports.text_table("Eligibility", E.eligibility_counters(judged)))
+    counters = E.eligibility_counters(judged)
+    print(reports.text_table("Eligibility", counters))
+    if counters.first()["rule_violations"]:
+        raise C.ContractError("examples are shown that break a rule")
     files.write_table(files.json_documents(R.example_documents(judged, shared, FEATURES)), f"{config['out']}/examples", "text")
     return True
 

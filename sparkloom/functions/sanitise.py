@@ -225,5 +225,11 @@ def sanitised_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return full.unionByName(plain)
 
 
+def html_rows(df: DataFrame, name: str, source: str) -> DataFrame:
+    """df with the text of its pages; those without anything like markup or an entity stay in the JVM."""
+    need = F.coalesce(F.col(source).rlike("[<&]"), F.lit(False))
+    return df.where(need).withColumn(name, text_of_html(F.col(source))).unionByName(df.where(~need).withColumn(name, T.whitespace(F.coalesce(F.col(source), F.lit("")))))
+
+
 def text_of_html(c: Column) -> Column:
     return F.pandas_udf(lambda s: pd.Series([normalise_space(html_to_text(decode_entities(t or ""))) for t in s], index=s.index), "string")(c)

@@ -52,7 +52,9 @@ def similar_pairs(vectors: DataFrame, rows: DataFrame, threshold: float = C.SIMI
     # sum of squares of this and all more frequent terms: the term is needed unless that stays under the threshold
     prefix = vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).where((F.col("rest") >= threshold - 1e-9) & (F.col("df") > 1)).select("email_id", "term")
     tagged = prefix.join(rows.select("email_id", "split"), "email_id")
-    left, right = tagged.select("term", F.col("email_id").alias("a"), F.col("split").alias("sa")), tagged.select("term", F.col("email_id").alias("b"), F.col("split").alias("sb"))
+    # the first split is never a right side and the last one never a left side, so most pairs inside a split are not made
+    left = tagged.where(F.col("split").isin(*C.SPLITS[:-1])).select("term", F.col("email_id").alias("a"), F.col("split").alias("sa"))
+    right = tagged.where(F.col("split").isin(*C.SPLITS[1:])).select("term", F.col("email_id").alias("b"), F.col("split").alias("sb"))
     rank = lambda c: F.array_position(F.array(*map(F.lit, C.SPLITS)), F.col(c))
     candidates = left.join(right, "term").where(rank("sa") < rank("sb")).select("a", "b").distinct()
     va, vb = vectors.select(F.col("email_id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("email_id").alias("b"), "term", F.col("w").alias("wb"))
@@ -79,8 +81,8 @@ def thresholds(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return a.join(b, "threshold").join(F.broadcast(total)).select("threshold", "pairs", "same_label", "opposite_label", "evaluation_rows", (F.col("evaluation_rows") / F.col("n")).alias("coverage"))
 
 
-def leakage(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def leakage(pairs: DataFrame, rows: DataFrame, severe_coverage: float = C.SEVERE_COVERAGE) -> DataFrame:
     same = F.col("left_label") == F.col("right_label")
     a = pairs.agg(F.count_if("exact").alias("exact_pairs"), F.count_if(~same & (F.col("similarity") >= C.VERY_SIMILAR)).alias("opposite"), (F.count_if(same) > 0).alias("may_inflate"))
     b = thresholds(pairs, rows).where(F.col("threshold") == C.VERY_SIMILAR).agg(F.coalesce(F.max("coverage"), F.lit(0.0)).alias("coverage"))
-    return a.join(b, how="cross").withColumn("severe", (F.col("exact_pairs") > 0) | (F.col("opposite") > 0) | (F.col("coverage") >= C.SEVERE_COVERAGE))  # one row each
+    return a.join(b, how="cross").withColumn("severe", (F.col("exact_pairs") > 0) | (F.col("opposite") > 0) | (F.col("coverage") >= severe_coverage))  # one row each

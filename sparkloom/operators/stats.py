@@ -38,7 +38,24 @@ def distribution(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
     deviations are taken from the mean, so that large values do not cancel.
     """
     by = [*keys, "feature"]
-    freq = scratch(melt(df, features, *keys).groupBy(*by, "value").agg(F.count("*").alias("n")), "frequencies")
+    return _described(scratch(melt(df, features, *keys).groupBy(*by, "value").agg(F.count("*").alias("n")), "frequencies"), by)
+
+
+def distributions(df: DataFrame, features: list[str], *scopes: str) -> DataFrame:
+    """distribution() of all rows and by each scope (a column) in one frame: scope, key (its value as text; null: all rows).
+
+    Rows are read once and counted by all scopes together; the scopes are summed from these counts.
+    """
+    freq = melt(df, features, *scopes).groupBy(*scopes, "feature", "value").agg(F.count("*").alias("n"))
+    item = lambda scope, key: F.struct(F.lit(scope).alias("scope"), key.alias("key"))
+    asked = F.explode(F.array(item("all", F.lit(None).cast("string")), *(item(c, F.col(c).cast("string")) for c in scopes)))
+    summed = freq.withColumn("_s", asked).groupBy("_s.scope", "_s.key", "feature", "value").agg(F.sum("n").alias("n")).withColumn("key", F.coalesce("key", F.lit("")))
+    out = _described(scratch(summed, "frequencies"), ["scope", "key", "feature"])
+    return out.withColumn("key", F.nullif("key", F.lit("")))
+
+
+def _described(freq: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of distribution() by `by`, which ends with the feature, from counts of values (by, value, n)."""
     v, n, there = F.col("value"), F.col("n"), F.col("value").isNotNull()
     nonzero = F.sum(F.when(F.coalesce(v, F.lit(1.0)) != 0, n).otherwise(0))
     one = freq.groupBy(*by).agg(
@@ -100,8 +117,15 @@ def recompute(df: DataFrame, stored_and_computed: dict[str, tuple[str, str]]) ->
     return df.agg(*(v.alias(k) for k, v in one.items())).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def verdict(df: DataFrame, features: list[str]) -> DataFrame:
+def verdict(df: DataFrame, features: list[str], ks_threshold: float = C.KS_THRESHOLD) -> DataFrame:
     """One row: constant, nearly constant and drifting features, and whether all is valid."""
     d = distribution(df, features).agg(F.count_if(F.col("unique_count") <= 1).alias("constant"), F.count_if(F.col("mode_ratio") >= C.NEAR_CONSTANT).alias("near_constant"))
-    k = ks(df, features).agg(F.count_if(F.col("ks_distance") >= C.KS_THRESHOLD).alias("anomalies"))
+    k = ks(df, features).agg(F.count_if(F.col("ks_distance") >= ks_threshold).alias("anomalies"))
     return d.join(k, how="cross").withColumn("passed", (F.col("constant") == 0) & (F.col("anomalies") == 0))  # one row each
+
+
+def full_verdict(df: DataFrame, features: list[str], recomputed: DataFrame, ks_threshold: float = C.KS_THRESHOLD) -> DataFrame:
+    """verdict() that also counts cells that are not finite and rows whose stored feature is not the one computed anew."""
+    r = recomputed.agg(F.sum("non_finite").alias("non_finite"), F.sum("mismatches").alias("mismatches"))
+    both = verdict(df, features, ks_threshold).join(r, how="cross")  # one row each
+    return both.withColumn("passed", F.col("passed") & (F.col("non_finite") == 0) & (F.col("mismatches") == 0))

@@ -416,6 +416,12 @@ def distribution_by_label(spark, sf):
     return rounded(A.distribution(processed(spark, sf), F4, "label"))
 
 
+@query("SELECT 'all' AS scope, CAST(NULL AS VARCHAR) AS key, a.* FROM (" + _dist("") + ") a UNION ALL SELECT 'split', b.* FROM (" + _dist("split") + ") b UNION ALL SELECT 'label', CAST(label AS VARCHAR) AS key, c.* EXCLUDE (label) FROM (" + _dist("label") + ") c")
+def distributions_by_scope(spark, sf):
+    """Distributions of all rows, by split and by label, from one count of values."""
+    return rounded(A.distributions(processed(spark, sf), F4, "split", "label"))
+
+
 _PAIRS = [(a, b) for i, a in enumerate(F4) for b in F4[i + 1 :]]
 
 
@@ -658,7 +664,7 @@ def summary_report(spark, sf):
 
 @query()
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", S.text_of_html(F.col("html")).alias("text"))
+    return S.html_rows(table(spark, sf, "pages").select("page_id", "html"), "text", "html").drop("html")
 
 
 @query()

@@ -321,6 +321,11 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["diagnose", path]), cli.main(["leakage", path])
     said = capsys.readouterr().out
     assert "features: " in said and "template leakage: " in said and "rule_violations" in said
+    assert all(f"\n{title}\n" in f"\n{said}" for title in ("Stored against recomputed", "Distribution", "Distance between splits", "Pearson", "Spearman", "Verdict")) and "nearly constant" in said
+    changed = done.withColumn("url_count", F.when(F.col("email_id").startswith("email_000003_"), 9).otherwise(F.col("url_count")))
+    recomputed = {r["feature"]: r["mismatches"] for r in cli._recomputed(changed).collect()}
+    assert recomputed == {f: int(f == "url_count") for f in C.FEATURES}
+    assert not A.full_verdict(changed, ["uppercase_letter_ratio"], cli._recomputed(changed), 1.1).first()["passed"] and A.full_verdict(done, ["uppercase_letter_ratio"], cli._recomputed(done), 1.1).first()["passed"]
     metrics = files.load_json(str(out / "model_metrics.json"))
     test = pd.read_csv(out / "test_predictions.csv")
     assert list(test.email_id) == sorted(test.email_id) and set(test.outcome_type) <= {"TP", "TN", "FP", "FN"}
