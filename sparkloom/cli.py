@@ -2,7 +2,8 @@
 
 CONFIG is a YAML mapping: `columns` and `labels` of the raw CSV, `raw`, `out` (a folder), and if wanted `expected_rows`,
 `frozen_splits` (split: CSV of ids), `grid` (lists of parameters), `threshold` (of a frozen model, to be met exactly),
-`ks_threshold` (of diagnose) and `severe_coverage` (of leakage).
+`ks_threshold` (of diagnose), `severe_coverage` (of leakage) and `repeat` (false: preprocess is not run a second time to
+compare, which doubles its cost).
 """
 
 from __future__ import annotations
@@ -43,12 +44,22 @@ def preprocess(spark, config) -> bool:
     out = catalog.preprocessed(rows, frozen, run)
     files.write_table(out, f"{config['out']}/processed")
     done = _processed(spark, config)
+    if config.get("repeat", True):
+        _check_repeat(done, catalog.preprocessed(rows, frozen))
     files.write_text(f"{config['out']}/preprocessing_summary.md", reports.preprocessing_summary(done, {name: run[key] for key, name in reports.COUNTS.items()}), spark)
     for s in C.SPLITS:
         files.write_csv(done.where(F.col("split") == s).select("email_id"), f"{config['out']}/splits/{s}_ids.csv", "email_id")
     return True
 
 
+def _check_repeat(done, again) -> None:
+    """A second run must give the same ids, splits and features."""
+    kept = ["email_id", "split", *FEATURES]
+    changed = O.difference(done.select(kept), again.select(kept)).limit(files.FIRST_FAULTS).collect()
+    if changed:
+        raise C.ContractError(f"a second run differs: {', '.join(sorted({r['email_id'] for r in changed}))}")
+
+
 def _recomputed(rows):
     """Stored features against those computed anew from the sanitised texts."""
     again = with_features(rows.select("email_id", "sanitized_subject", "sanitized_body")).select("email_id", *(F.col(f).alias(f"_{f}") for f in FEATURES))

@@ -24,8 +24,10 @@ from sparkloom.sources.files import json_documents
 from sparkloom.sources.scratch import on_release, scratch, scratch_dir
 from sparkloom.streaming.features import with_features
 
-F4 = ["uppercase_letter_ratio", "exclamation_mark_count", "n_chars", "n_commas"]
-W4 = {"uppercase_letter_ratio": 2.0, "exclamation_mark_count": 0.5, "n_chars": -0.001, "n_commas": 0.01}
+FEATURES = list(C.FEATURES)
+COUNTS = [f for f in FEATURES if f != C.RATIO_FEATURE]
+#: Weights of a fixed linear score.
+WEIGHTS = {f: (-1) ** i * (2.0 if f == C.RATIO_FEATURE else 0.25 + i / 8) for i, f in enumerate(FEATURES)}
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,25 +66,44 @@ def clean(spark, sf):
 
 def _features(text):
     """Columns of one text that queries may ask processed() for."""
-    return {
-        "text": text, "uppercase_letter_ratio": T.uppercase_ratio(text), "exclamation_mark_count": T.exclamations(text), "n_chars": F.length(text).cast("bigint"), "n_commas": F.regexp_count(text, F.lit(",")).cast("bigint"),
-    }
+    return {"text": text, "uppercase_letter_ratio": T.uppercase_ratio(text), "exclamation_mark_count": T.exclamations(text)}
 
 
-def keyed(spark, sf, *columns):
-    """Rows with text once cleaned, keyed and measured: what is asked for is written, and the texts are read no more."""
+_PHRASES = ("Account is on-hold", "please log sign in in", "re-verify and reconfirm it", "URGENT: expired credit-card!", "accounts hypertax xpin9")
+_LINKS = ("", "[URL: 10.0.0.1/a]", "[URL: news.example/b]!", "", "[URL: 10.0.0.300/c] [URL: 10.1.2.3/d]", "see!", "[LINK: ftp.example/e]")
+
+
+def _opening(i):
+    """What the measured text of row number i begins with: phrases, variants, near misses, links."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (i % len(words) + 1).cast("int"))
+    return F.concat_ws(" ", pick(_PHRASES), pick(_LINKS))
+
+
+def keyed(spark, sf, *columns, opened=False):
+    """Rows with text once cleaned, keyed and measured: what is asked for is written, and the texts are read no more.
+
+    opened: all eight features may be asked for, of texts after an opening that lets every one of them vary.
+    """
     rows = clean(spark, sf)
-    rows = rows.withColumns({k: c for k, c in _features(F.concat_ws("\n", "sanitized_subject", "sanitized_body")).items() if k in columns})
+    if opened:
+        rows = with_features(rows.withColumn("sanitized_subject", F.concat_ws(" ", _opening(F.col("original_row_number")), "sanitized_subject")))
+    else:
+        rows = rows.withColumns({k: c for k, c in _features(F.concat_ws("\n", "sanitized_subject", "sanitized_body")).items() if k in columns})
     return scratch(rows.select("email_id", "original_row_number", "label", "dedup_key", *columns), "keyed")
 
 
-def first_rows(spark, sf, *columns):
-    return O.keep_first(keyed(spark, sf, *columns)).drop("dedup_key")
+def first_rows(spark, sf, *columns, opened=False):
+    return O.keep_first(keyed(spark, sf, *columns, opened=opened)).drop("dedup_key")
+
 
+def processed(spark, sf, *columns, opened=False):
+    """email_id, original_row_number, label, split and the columns asked for."""
+    return O.stratified_split(scratch(first_rows(spark, sf, *columns, opened=opened), "first"))
 
-def processed(spark, sf, *columns):
-    """email_id, original_row_number, label, split and the columns asked for (F4 if none are)."""
-    return O.stratified_split(scratch(first_rows(spark, sf, *(columns or F4)), "first"))
+
+def measured(spark, sf, *columns):
+    """processed() with the eight features of opened texts; they are measured where the texts are read, and only they are written."""
+    return processed(spark, sf, *FEATURES, *columns, opened=True)
 
 
 def scores(spark, sf):
@@ -120,11 +141,55 @@ q1 AS (SELECT *, floor(exact) AS fl, row_number() OVER (PARTITION BY label ORDER
 quota AS (SELECT label, split, idx, CAST(fl + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1),
 rng AS (SELECT *, sum(quota) OVER (PARTITION BY label ORDER BY idx) AS high FROM quota),
 pos AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || email_id), email_id) AS pos FROM kept),
-proc AS (SELECT p.email_id, p.row_no, p.label, p.ss, p.sb, p.ss || chr(10) || p.sb AS text, r.split FROM pos p JOIN rng r ON p.label IS NOT DISTINCT FROM r.label AND p.pos <= r.high AND p.pos > r.high - r.quota),
-feat AS (SELECT *, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^A-Za-z]', '', 'g')) END AS uppercase_letter_ratio,
-  (length(text) - length(replace(text, '!', '')))::BIGINT AS exclamation_mark_count, length(text)::BIGINT AS n_chars, (length(text) - length(replace(text, ',', '')))::BIGINT AS n_commas FROM proc)"""
+proc AS (SELECT p.email_id, p.row_no, p.label, p.ss, p.sb, p.ss || chr(10) || p.sb AS text, r.split FROM pos p JOIN rng r ON p.label IS NOT DISTINCT FROM r.label AND p.pos <= r.high AND p.pos > r.high - r.quota)"""
 BASE = f"WITH {CANON}, {SPLIT}"
-MELT = "melt AS (" + " UNION ALL ".join(f"SELECT email_id, label, split, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM feat" for f in F4) + ")"
+_CASES = """CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^A-Za-z]', '', 'g')) END AS uppercase_letter_ratio,
+  (length(text) - length(replace(text, '!', '')))::BIGINT AS exclamation_mark_count"""
+MELT = "melt AS (" + " UNION ALL ".join(f"SELECT email_id, label, split, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM feat" for f in FEATURES) + ")"
+
+
+def _term(words: str) -> str:
+    """A term over runs of letters and digits that stand between two \\x02."""
+    return r"\s+".join(f"\x02{w}\x02" for w in words.split())
+
+
+def _variants_sql(x: str) -> str:
+    """Lower case, runs marked, variants replaced by marked words; longest variant first."""
+    x = f"regexp_replace(lower({x}), '([a-z0-9]+)', chr(2) || '\\1' || chr(2), 'g')"
+    for old, new in sorted(C.VARIANTS.items(), key=lambda v: (-len(v[0]), v[0])):
+        x = f"regexp_replace({x}, '{'-'.join(f'{chr(92)}x02{w}{chr(92)}x02' for w in old.split('-'))}', '{' '.join(chr(2) + w + chr(2) for w in new.split())}', 'g')"
+    return x
+
+
+def _category_sql(category: str) -> tuple[list[str], str]:
+    """Columns that take phrases out one after the other, and the sum of all counts."""
+    phrases = sorted((t for t in C.KEYWORDS[category] if " " in t), key=lambda t: (-len(t.split()), -len(t), t))
+    words = "|".join(t for t in C.KEYWORDS[category] if " " not in t)
+    columns, counts, now = [], [], "norm"
+    for i, p in enumerate(phrases):
+        counts.append(f"len(regexp_extract_all({now}, '{_term(p)}'))")
+        columns.append(f"regexp_replace({now}, '{_term(p)}', ' ', 'g') AS {category}_{i}")
+        now = f"{category}_{i}"
+    return columns, " + ".join([*counts, f"len(regexp_extract_all({now}, '\\x02(?:{words})\\x02'))"])
+
+
+_KEYWORDS = {c: _category_sql(c) for c in C.CATEGORIES}
+_MARKS = "regexp_extract_all(text, '(?i)\\[URL:\\s*([^\\]\\r\\n]+)\\]', 1)"
+
+
+def _eight_sql(source: str, name: str) -> str:
+    """Tables up to `name`: the rows of source with the eight features of their text."""
+    return f"""cased AS (SELECT *, {_CASES} FROM {source}), nrm AS (SELECT *, {_variants_sql("text")} AS norm FROM cased), phr AS (SELECT *, {", ".join(x for columns, _ in _KEYWORDS.values() for x in columns)} FROM nrm),
+{name} AS MATERIALIZED (SELECT *, CAST(len({_MARKS}) AS BIGINT) AS url_count, CAST(len(list_filter({_MARKS}, lambda u: regexp_full_match(split_part(trim(u), '/', 1), '{T.IPV4}|{T.IPV6}'))) AS BIGINT) AS ip_address_url_count,
+{", ".join(f"CAST({total} AS BIGINT) AS {c}_word_count" for c, (_, total) in _KEYWORDS.items())} FROM phr)"""
+
+
+def _pick_sql(words) -> str:
+    return f"CASE row_no % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+
+
+EIGHT = f"{BASE}, {_eight_sql('proc', 'eight')}"
+FEAT = f"{BASE}, told AS (SELECT * REPLACE ({_pick_sql(_PHRASES)} || ' ' || {_pick_sql(_LINKS)} || ' ' || text AS text) FROM proc), {_eight_sql('told', 'feat')}"
 
 
 @query(f"WITH {CANON} SELECT row_no AS original_row_number, email_id, CAST(label AS INT) AS label FROM ided")
@@ -212,9 +277,9 @@ def keyword_counts(spark, sf):
     return n.select("user_id", *(T.keyword_count(F.col("_norm"), k.lists[c]).alias(f"{c}_word_count") for c in C.CATEGORIES))
 
 
-@query(f"{BASE} SELECT email_id, round(uppercase_letter_ratio, 6) AS uppercase_letter_ratio, exclamation_mark_count FROM feat")
+@query(f"{BASE} SELECT email_id, round(uppercase_letter_ratio, 6) AS uppercase_letter_ratio, exclamation_mark_count FROM (SELECT *, {_CASES} FROM proc)")
 def case_punct_features(spark, sf):
-    return rounded(processed(spark, sf).select("email_id", "uppercase_letter_ratio", "exclamation_mark_count"))
+    return rounded(processed(spark, sf, C.RATIO_FEATURE, "exclamation_mark_count").select("email_id", C.RATIO_FEATURE, "exclamation_mark_count"))
 
 
 _O = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -232,35 +297,6 @@ def link_normalise(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.link_target(F.col("url")).alias("target"))
 
 
-def _term(words: str) -> str:
-    """A term over runs of letters and digits that stand between two \\x02."""
-    return r"\s+".join(f"\x02{w}\x02" for w in words.split())
-
-
-def _variants_sql(x: str) -> str:
-    """Lower case, runs marked, variants replaced by marked words; longest variant first."""
-    x = f"regexp_replace(lower({x}), '([a-z0-9]+)', chr(2) || '\\1' || chr(2), 'g')"
-    for old, new in sorted(C.VARIANTS.items(), key=lambda v: (-len(v[0]), v[0])):
-        x = f"regexp_replace({x}, '{'-'.join(f'{chr(92)}x02{w}{chr(92)}x02' for w in old.split('-'))}', '{' '.join(chr(2) + w + chr(2) for w in new.split())}', 'g')"
-    return x
-
-
-def _category_sql(category: str) -> tuple[list[str], str]:
-    """Columns that take phrases out one after the other, and the sum of all counts."""
-    phrases = sorted((t for t in C.KEYWORDS[category] if " " in t), key=lambda t: (-len(t.split()), -len(t), t))
-    words = "|".join(t for t in C.KEYWORDS[category] if " " not in t)
-    columns, counts, now = [], [], "norm"
-    for i, p in enumerate(phrases):
-        counts.append(f"len(regexp_extract_all({now}, '{_term(p)}'))")
-        columns.append(f"regexp_replace({now}, '{_term(p)}', ' ', 'g') AS {category}_{i}")
-        now = f"{category}_{i}"
-    return columns, " + ".join([*counts, f"len(regexp_extract_all({now}, '\\x02(?:{words})\\x02'))"])
-
-
-_KEYWORDS = {c: _category_sql(c) for c in C.CATEGORIES}
-_PHRASES = ("Account is on-hold", "please log sign in in", "re-verify and reconfirm it", "URGENT: expired credit-card", "accounts hypertax xpin9")
-
-
 @query(f"""WITH feat AS (SELECT doc_id, CASE doc_id % 5 {" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES))} END || ' ' || split_part(text, chr(10), 1) AS text FROM documents),
 nrm AS (SELECT *, {_variants_sql("text")} AS norm FROM feat), phr AS (SELECT *, {", ".join(x for columns, _ in _KEYWORDS.values() for x in columns)} FROM nrm)
 SELECT doc_id, {", ".join(f"CAST({total} AS INT) AS {c}_word_count" for c, (_, total) in _KEYWORDS.items())} FROM phr""")
@@ -271,10 +307,6 @@ def keyword_phrases(spark, sf):
     return n.select("doc_id", *(T.keyword_count(F.col("_norm"), k.lists[c]).cast("int").alias(f"{c}_word_count") for c in C.CATEGORIES))
 
 
-_MARKS = "regexp_extract_all(text, '(?i)\\[URL:\\s*([^\\]\\r\\n]+)\\]', 1)"
-EIGHT = f"""{BASE}, nrm AS (SELECT *, {_variants_sql("text")} AS norm FROM feat), phr AS (SELECT *, {", ".join(x for columns, _ in _KEYWORDS.values() for x in columns)} FROM nrm),
-eight AS (SELECT *, CAST(len({_MARKS}) AS BIGINT) AS url_count, CAST(len(list_filter({_MARKS}, lambda u: regexp_full_match(split_part(trim(u), '/', 1), '{T.IPV4}|{T.IPV6}'))) AS BIGINT) AS ip_address_url_count,
-{", ".join(f"CAST({total} AS BIGINT) AS {c}_word_count" for c, (_, total) in _KEYWORDS.items())} FROM phr)"""
 _EIGHT_ROUNDED = ", ".join(f"round({f}, 6) AS {f}" if f == C.RATIO_FEATURE else f for f in C.FEATURES)
 
 
@@ -321,34 +353,34 @@ def preprocessed(rows, frozen=None, counts=None):
 
 
 _BROKEN = """broken AS (SELECT CASE WHEN row_no % 90 = 1 THEN 'doc_again' ELSE email_id END AS email_id, CASE WHEN row_no % 40 = 0 THEN 2 ELSE label END AS label, CASE WHEN row_no % 70 = 3 THEN 'dev' ELSE split END AS split,
-CASE WHEN row_no % 50 = 0 THEN -1.0 ELSE uppercase_letter_ratio END AS r, CASE WHEN row_no % 60 = 7 THEN 'nan'::DOUBLE ELSE n_chars END AS n, CASE WHEN row_no % 80 = 9 THEN -1 ELSE n_commas END AS m FROM feat)"""
+CASE WHEN row_no % 50 = 0 THEN -1.0 ELSE uppercase_letter_ratio END AS r, CASE WHEN row_no % 60 = 7 THEN 'nan'::DOUBLE ELSE exclamation_mark_count END AS n, CASE WHEN row_no % 80 = 9 THEN -1 ELSE url_count END AS m FROM feat)"""
 
 
 def _broken(spark, sf):
     """Processed rows with a fault of each kind."""
     r, when = F.col("original_row_number"), lambda hit, value, name: F.when(hit, value).otherwise(F.col(name))
-    return processed(spark, sf).withColumns({
+    return measured(spark, sf).withColumns({
         "email_id": when(r % 90 == 1, F.lit("doc_again"), "email_id"), "label": when(r % 40 == 0, F.lit(2), "label"), "split": when(r % 70 == 3, F.lit("dev"), "split"),
-        "uppercase_letter_ratio": when(r % 50 == 0, F.lit(-1.0), "uppercase_letter_ratio"), "n_chars": when(r % 60 == 7, F.lit(float("nan")), "n_chars"), "n_commas": when(r % 80 == 9, F.lit(-1), "n_commas"),
+        "uppercase_letter_ratio": when(r % 50 == 0, F.lit(-1.0), "uppercase_letter_ratio"), "exclamation_mark_count": when(r % 60 == 7, F.lit(float("nan")), "exclamation_mark_count"), "url_count": when(r % 80 == 9, F.lit(-1), "url_count"),
     })
 
 
-@query(f"""{BASE}, {_BROKEN}, v AS (SELECT 'label_domain' AS "check", count(*) FILTER (label NOT IN (0, 1)) AS n_violations FROM broken UNION ALL SELECT 'finite', count(*) FILTER (isnan(n)) FROM broken
+@query(f"""{FEAT}, {_BROKEN}, v AS (SELECT 'label_domain' AS "check", count(*) FILTER (label NOT IN (0, 1)) AS n_violations FROM broken UNION ALL SELECT 'finite', count(*) FILTER (isnan(n)) FROM broken
 UNION ALL SELECT 'ratio_range', count(*) FILTER (r < 0 OR r > 1) FROM broken UNION ALL SELECT 'counts_not_negative', count(*) FILTER (m < 0) FROM broken UNION ALL SELECT 'unique_id', count(*) - count(DISTINCT email_id) FROM broken
 UNION ALL SELECT 'split_domain', count(*) FILTER (split NOT IN ('train', 'validation', 'test')) FROM broken
 UNION ALL SELECT 'both_labels_in_each_split', CAST(coalesce(sum(CASE WHEN l <> 2 THEN 1 ELSE 0 END), 0) AS BIGINT) FROM (SELECT s, (SELECT count(DISTINCT label) FROM broken WHERE split = s) AS l FROM (VALUES ('train'), ('validation'), ('test')) t(s)))
 SELECT *, n_violations = 0 AS passed FROM v""")
 def output_contract(spark, sf):
     """Every check over rows that break each of them."""
-    return O.output_contract(_broken(spark, sf), tuple(F4))
+    return O.output_contract(_broken(spark, sf), C.FEATURES)
 
 
-@query(f"""{BASE}, broken AS (SELECT *, CASE WHEN row_no % 50 = 0 THEN -1.0 ELSE uppercase_letter_ratio END AS r, CASE WHEN row_no % 40 = 0 THEN 2 ELSE label END AS l FROM feat)
+@query(f"""{FEAT}, broken AS (SELECT *, CASE WHEN row_no % 50 = 0 THEN -1.0 ELSE uppercase_letter_ratio END AS r, CASE WHEN row_no % 40 = 0 THEN 2 ELSE label END AS l FROM feat)
 SELECT 'ratio_range' AS "check", count(*) FILTER (r < 0 OR r > 1) AS n_violations FROM broken UNION ALL SELECT 'label_domain', count(*) FILTER (l NOT IN (0, 1)) FROM broken""")
 def contract_violations(spark, sf):
     r = F.col("original_row_number")
-    p = processed(spark, sf).withColumns({"uppercase_letter_ratio": F.when(r % 50 == 0, -1.0).otherwise(F.col("uppercase_letter_ratio")), "label": F.when(r % 40 == 0, 2).otherwise(F.col("label"))})
-    return O.output_contract(p, tuple(F4)).where(F.col("check").isin("ratio_range", "label_domain")).select("check", "n_violations")
+    p = measured(spark, sf).withColumns({"uppercase_letter_ratio": F.when(r % 50 == 0, -1.0).otherwise(F.col("uppercase_letter_ratio")), "label": F.when(r % 40 == 0, 2).otherwise(F.col("label"))})
+    return O.output_contract(p, C.FEATURES).where(F.col("check").isin("ratio_range", "label_domain")).select("check", "n_violations")
 
 
 @query(f"""{BASE}, stored AS (SELECT email_id FROM proc WHERE split = 'test' AND row_no % 9 <> 0) SELECT (SELECT count(*) FROM proc WHERE split = 'test') AS n_test, (SELECT count(*) FROM stored) AS n_stored,
@@ -362,16 +394,20 @@ def explain_contract(spark, sf):
     return both.join(train, how="cross")  # one row each
 
 
-@query(f"""{BASE}, st AS (SELECT *, CASE WHEN row_no % 13 = 0 THEN uppercase_letter_ratio + 0.001 WHEN row_no % 17 = 0 THEN 'inf'::DOUBLE ELSE uppercase_letter_ratio END AS s0, exclamation_mark_count + CASE WHEN row_no % 7 = 0 THEN 1 ELSE 0 END AS s1 FROM feat)
-SELECT '{F4[0]}' AS feature, count(*) FILTER (NOT coalesce(abs(s0 - {F4[0]}) <= 1e-12, false)) AS mismatches, count(*) FILTER (isinf(s0)) AS non_finite FROM st
-UNION ALL SELECT '{F4[1]}', count(*) FILTER (s1 <> {F4[1]}), CAST(0 AS BIGINT) FROM st UNION ALL SELECT '{F4[2]}', count(*) FILTER (length(text) <> {F4[2]}), CAST(0 AS BIGINT) FROM st UNION ALL SELECT '{F4[3]}', count(*) FILTER (length(regexp_replace(text, '[^,]', '', 'g')) <> {F4[3]}), CAST(0 AS BIGINT) FROM st""")
+_STORED = ", ".join(f"{f} + CASE WHEN row_no % {7 + i} = 0 THEN 1 ELSE 0 END AS s{i}" for i, f in enumerate(COUNTS))
+
+
+@query(f"""{FEAT}, st AS (SELECT *, CASE WHEN row_no % 13 = 0 THEN {C.RATIO_FEATURE} + 0.001 WHEN row_no % 17 = 0 THEN 'inf'::DOUBLE ELSE {C.RATIO_FEATURE} END AS s, {_STORED} FROM feat)
+SELECT '{C.RATIO_FEATURE}' AS feature, count(*) FILTER (NOT coalesce(abs(s - {C.RATIO_FEATURE}) <= 1e-12, false)) AS mismatches, count(*) FILTER (isinf(s)) AS non_finite FROM st
+""" + " ".join(f"UNION ALL SELECT '{f}', count(*) FILTER (s{i} <> {f}), CAST(0 AS BIGINT) FROM st" for i, f in enumerate(COUNTS)))
 def recompute_check(spark, sf):
     """Stored features, some of them changed, against those computed anew from the text."""
-    text, r = F.col("text"), F.col("original_row_number")
-    p = processed(spark, sf, "text", *F4)
-    stored = p.withColumns({"uppercase_letter_ratio": F.when(r % 13 == 0, F.col(F4[0]) + 0.001).when(r % 17 == 0, float("inf")).otherwise(F.col(F4[0])), "exclamation_mark_count": F.col(F4[1]) + (r % 7 == 0).cast("int")})
-    again = stored.withColumns({"c0": T.uppercase_ratio(text), "c1": T.exclamations(text), "c2": F.length(text), "c3": F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))})
-    return A.recompute(again, {f: (f, f"c{i}") for i, f in enumerate(F4)})
+    r, ratio = F.col("original_row_number"), F.col(C.RATIO_FEATURE)
+    p = measured(spark, sf, "sanitized_subject", "sanitized_body").withColumnsRenamed({f: f"_{f}" for f in FEATURES})
+    again = with_features(p)
+    stored = {f"_{C.RATIO_FEATURE}": F.when(r % 13 == 0, ratio + 0.001).when(r % 17 == 0, float("inf")).otherwise(F.col(f"_{C.RATIO_FEATURE}"))}
+    stored |= {f"_{f}": F.col(f"_{f}") + (r % (7 + i) == 0).cast("int") for i, f in enumerate(COUNTS)}
+    return A.recompute(again.withColumns(stored), {f: (f"_{f}", f) for f in FEATURES})
 
 
 @query(f"""{BASE}, other AS (SELECT CASE WHEN row_no % 31 = 0 THEN 'x' || email_id ELSE email_id END AS email_id, CASE WHEN row_no % 37 = 0 THEN 'test' ELSE split END AS split FROM proc)
@@ -389,53 +425,53 @@ def reproducible_run(spark, sf):
     return O.difference(processed(spark, sf).select("email_id", "split"), processed(spark, sf).select("email_id", "split"))
 
 
-@query(f"{BASE}, {MELT} SELECT feature, round(min(value), 6) AS min, round(max(value), 6) AS max FROM melt GROUP BY feature")
+@query(f"{FEAT}, {MELT} SELECT feature, round(min(value), 6) AS min, round(max(value), 6) AS max FROM melt GROUP BY feature")
 def feature_ranges(spark, sf):
-    return rounded(A.melt(processed(spark, sf), F4).groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max")))
+    return rounded(A.melt(measured(spark, sf), FEATURES).groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max")))
 
 
 def _dist(keys: str) -> str:
     k = f"{keys}, " if keys else ""
-    return f"""{BASE}, {MELT}, fr AS (SELECT {k}feature, max(n) AS m FROM (SELECT {k}feature, value, count(*) AS n FROM melt GROUP BY ALL) GROUP BY {k}feature)
+    return f"""{FEAT}, {MELT}, fr AS (SELECT {k}feature, max(n) AS m FROM (SELECT {k}feature, value, count(*) AS n FROM melt GROUP BY ALL) GROUP BY {k}feature)
 SELECT {k}feature, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, count(*) FILTER (value <> 0) AS nonzero_count,
 round((count(*) FILTER (value <> 0))::DOUBLE / count(*), 6) AS nonzero_ratio, count(DISTINCT value) AS unique_count, round(max(m)::DOUBLE / count(*), 6) AS mode_ratio FROM melt JOIN fr USING ({k}feature) GROUP BY {k}feature"""
 
 
 @query(_dist(""))
 def feature_distribution(spark, sf):
-    return rounded(A.distribution(processed(spark, sf), F4))
+    return rounded(A.distribution(measured(spark, sf), FEATURES))
 
 
 @query(_dist("split"))
 def distribution_by_split(spark, sf):
-    return rounded(A.distribution(processed(spark, sf), F4, "split"))
+    return rounded(A.distribution(measured(spark, sf), FEATURES, "split"))
 
 
 @query(_dist("label"))
 def distribution_by_label(spark, sf):
-    return rounded(A.distribution(processed(spark, sf), F4, "label"))
+    return rounded(A.distribution(measured(spark, sf), FEATURES, "label"))
 
 
 @query("SELECT 'all' AS scope, CAST(NULL AS VARCHAR) AS key, a.* FROM (" + _dist("") + ") a UNION ALL SELECT 'split', b.* FROM (" + _dist("split") + ") b UNION ALL SELECT 'label', CAST(label AS VARCHAR) AS key, c.* EXCLUDE (label) FROM (" + _dist("label") + ") c")
 def distributions_by_scope(spark, sf):
     """Distributions of all rows, by split and by label, from one count of values."""
-    return rounded(A.distributions(processed(spark, sf), F4, "split", "label"))
+    return rounded(A.distributions(measured(spark, sf), FEATURES, "split", "label"))
 
 
-_PAIRS = [(a, b) for i, a in enumerate(F4) for b in F4[i + 1 :]]
+_PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 
 
-@query(f"{BASE} " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS r FROM feat" for a, b in _PAIRS))
+@query(f"{FEAT} " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS r FROM feat" for a, b in _PAIRS))
 def pearson_matrix(spark, sf):
-    return rounded(A.pearson(processed(spark, sf), F4))
+    return rounded(A.pearson(measured(spark, sf), FEATURES))
 
 
-_RANKS = ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0::DOUBLE AS {f}" for f in F4)
+_RANKS = ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0::DOUBLE AS {f}" for f in FEATURES)
 
 
-@query(f"{BASE}, rk AS (SELECT {_RANKS} FROM feat) " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS r FROM rk" for a, b in _PAIRS))
+@query(f"{FEAT}, rk AS (SELECT {_RANKS} FROM feat) " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS r FROM rk" for a, b in _PAIRS))
 def spearman_matrix(spark, sf):
-    return rounded(A.spearman(processed(spark, sf), F4, "email_id"))
+    return rounded(A.spearman(measured(spark, sf), FEATURES, "email_id"))
 
 
 _KS = f"""{MELT}, sup AS (SELECT DISTINCT feature, value FROM melt), cd AS (SELECT s.feature, s.value, sp.split, (SELECT count(*) FROM melt m WHERE m.feature = s.feature AND m.split = sp.split AND m.value <= s.value) AS n FROM sup s, (VALUES ('train'), ('validation'), ('test')) sp(split)),
@@ -443,15 +479,15 @@ sz AS (SELECT split, count(*)::DOUBLE AS t FROM feat GROUP BY split), cdf AS (SE
 ks AS (SELECT a.feature, a.split || ' vs ' || b.split AS split_pair, max(abs(a.c - b.c)) AS ks_distance FROM cdf a JOIN cdf b ON a.feature = b.feature AND a.value = b.value AND (a.split, b.split) IN (('train', 'validation'), ('train', 'test'), ('validation', 'test')) GROUP BY 1, 2)"""
 
 
-@query(f"{BASE}, {_KS} SELECT feature, split_pair, round(ks_distance, 6) AS ks_distance FROM ks")
+@query(f"{FEAT}, {_KS} SELECT feature, split_pair, round(ks_distance, 6) AS ks_distance FROM ks")
 def ks_distances(spark, sf):
-    return rounded(A.ks(processed(spark, sf), F4))
+    return rounded(A.ks(measured(spark, sf), FEATURES))
 
 
-@query(f"""{BASE}, {_KS}, fr AS (SELECT feature, count(*) AS u, max(n)::DOUBLE / sum(n) AS m FROM (SELECT feature, value, count(*) AS n FROM melt GROUP BY ALL) GROUP BY feature)
+@query(f"""{FEAT}, {_KS}, fr AS (SELECT feature, count(*) AS u, max(n)::DOUBLE / sum(n) AS m FROM (SELECT feature, value, count(*) AS n FROM melt GROUP BY ALL) GROUP BY feature)
 SELECT (SELECT count(*) FROM fr WHERE u <= 1) AS constant, (SELECT count(*) FROM fr WHERE m >= 0.995) AS near_constant, (SELECT count(*) FROM ks WHERE ks_distance >= 0.20) AS anomalies, (SELECT count(*) FROM fr WHERE u <= 1) = 0 AND (SELECT count(*) FROM ks WHERE ks_distance >= 0.20) = 0 AS passed""")
 def validity_verdict(spark, sf):
-    return A.verdict(processed(spark, sf), F4)
+    return A.verdict(measured(spark, sf), FEATURES)
 
 
 TFIDF = f"""{BASE}, wd AS (SELECT email_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM proc),
@@ -630,31 +666,31 @@ def first_medoid(spark, sf):
     return cost.groupBy("predicted_label").agg(F.min(F.struct("c", "email_id")).alias("x")).select("predicted_label", "x.email_id")
 
 
-_PHI = {f: f"{w!r}::DOUBLE * ({f} - avg({f}) OVER ())" for f, w in W4.items()}
-_TOP = f"{BASE}, ph AS (" + " UNION ALL ".join(f"SELECT email_id, {i} AS i, '{f}' AS feature, {_PHI[f]} AS phi FROM feat" for i, f in enumerate(F4)) + ")"
+_PHI = {f: f"{w!r}::DOUBLE * ({f} - avg({f}) OVER ())" for f, w in WEIGHTS.items()}
+_TOP = f"{FEAT}, ph AS (" + " UNION ALL ".join(f"SELECT email_id, {i} AS i, '{f}' AS feature, {_PHI[f]} AS phi FROM feat" for i, f in enumerate(FEATURES)) + ")"
 
 
 @query(f"{_TOP} SELECT email_id, CAST(r AS INT) AS rank, feature, round(phi, 5) AS attribution FROM (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY round(abs(phi), 9) DESC, i) AS r FROM ph) WHERE r <= 3")
 def top3_contributions(spark, sf):
     """Exact Shapley values of a fixed linear score: weight times distance from the mean."""
-    p = processed(spark, sf)
-    means = p.agg(*(F.avg(f).alias(f"_m_{f}") for f in F4))
-    phi = F.array(*(F.round(F.lit(w) * (F.col(f) - F.col(f"_m_{f}")), 9) for f, w in W4.items()))
-    rows = p.join(F.broadcast(means)).select("email_id", phi.alias("phi"), F.array(*(F.col(f).cast("double") for f in F4)).alias("raw"))  # one row
-    return rounded(E.top_attributions(rows, F4).select("email_id", "rank", "feature", "attribution"), 5)
+    p = measured(spark, sf)
+    means = p.agg(*(F.avg(f).alias(f"_m_{f}") for f in FEATURES))
+    phi = F.array(*(F.round(F.lit(w) * (F.col(f) - F.col(f"_m_{f}")), 9) for f, w in WEIGHTS.items()))
+    rows = p.join(F.broadcast(means)).select("email_id", phi.alias("phi"), F.array(*(F.col(f).cast("double") for f in FEATURES)).alias("raw"))  # one row
+    return rounded(E.top_attributions(rows, FEATURES).select("email_id", "rank", "feature", "attribution"), 5)
 
 
-@query(f"""{BASE} SELECT email_id, CASE WHEN uppercase_letter_ratio = 0 THEN '0%' ELSE regexp_replace(printf('%.1f', uppercase_letter_ratio * 100), '\\.0$', '') || '%' END AS ratio_text, CAST(exclamation_mark_count AS VARCHAR) AS marks_text FROM feat""")
+@query(f"""{BASE}, feat AS (SELECT *, {_CASES} FROM proc) SELECT email_id, CASE WHEN uppercase_letter_ratio = 0 THEN '0%' ELSE regexp_replace(printf('%.1f', uppercase_letter_ratio * 100), '\\.0$', '') || '%' END AS ratio_text, CAST(exclamation_mark_count AS VARCHAR) AS marks_text FROM feat""")
 def display_text(spark, sf):
     r, n = F.col("uppercase_letter_ratio"), F.col("exclamation_mark_count")
-    return processed(spark, sf).select("email_id", T.observed_text(F.lit(C.RATIO_FEATURE), r).alias("ratio_text"), T.observed_text(F.lit("n"), n.cast("double")).alias("marks_text"))
+    return processed(spark, sf, C.RATIO_FEATURE, "exclamation_mark_count").select("email_id", T.observed_text(F.lit(C.RATIO_FEATURE), r).alias("ratio_text"), T.observed_text(F.lit("n"), n.cast("double")).alias("marks_text"))
 
 
-@query(f"""{BASE}, {MELT} SELECT 'split_' || split AS item, count(*)::DOUBLE AS value FROM proc GROUP BY split UNION ALL SELECT 'min_' || feature, round(min(value), 6) FROM melt GROUP BY feature UNION ALL SELECT 'max_' || feature, round(max(value), 6) FROM melt GROUP BY feature""")
+@query(f"""{FEAT}, {MELT} SELECT 'split_' || split AS item, count(*)::DOUBLE AS value FROM proc GROUP BY split UNION ALL SELECT 'min_' || feature, round(min(value), 6) FROM melt GROUP BY feature UNION ALL SELECT 'max_' || feature, round(max(value), 6) FROM melt GROUP BY feature""")
 def summary_report(spark, sf):
-    p = processed(spark, sf)
+    p = measured(spark, sf)
     a = p.groupBy(F.concat(F.lit("split_"), "split").alias("item")).agg(F.count("*").cast("double").alias("value"))
-    m = A.melt(p, F4).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    m = A.melt(p, FEATURES).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     b = m.select(F.explode(F.array(F.struct(F.concat(F.lit("min_"), "feature").alias("item"), F.col("lo").alias("value")), F.struct(F.concat(F.lit("max_"), "feature").alias("item"), F.col("hi").alias("value")))).alias("x")).select("x.*")
     return rounded(a.unionByName(b))
 

@@ -134,12 +134,18 @@ def write_text(path: str, content: str, spark: SparkSession | None = None) -> No
         out.write(bytearray(content.encode()))
     finally:
         out.close()
-    _replace(fs, part, target)
+    _replace(fs, part, target, spark)
 
 
-def _replace(fs, part, target) -> None:
-    if fs.exists(target):
-        fs.delete(target, True)
+def _replace(fs, part, target, spark: SparkSession) -> None:
+    """Moves part to target. A file takes an older one's place in one step; a folder's is removed first."""
+    if fs.exists(target) and not fs.getFileStatus(target).isDirectory():
+        hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+        overwrite = gateway.new_array(hadoop.Options.Rename, 1)
+        overwrite[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(target), overwrite)
+        return
+    fs.delete(target, True)
     if not fs.rename(part, target):
         raise OSError(f"cannot move {part} to {target}")
 
@@ -151,7 +157,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     part, _ = _hadoop(f"{path}.{uuid.uuid4().hex}.part", spark)
     w = df.write
     w.option("header", True).option("escape", '"').option("emptyValue", "").csv(str(part)) if kind == "csv" else w.format(kind).save(str(part))
-    _replace(fs, part, target)
+    _replace(fs, part, target, spark)
 
 
 def write_csv(df: DataFrame, path: str, *order: str | Column) -> None:
@@ -163,7 +169,7 @@ def write_csv(df: DataFrame, path: str, *order: str | Column) -> None:
     rows.coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(str(folder))
     parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
     if parts:
-        _replace(fs, parts[0], target)
+        _replace(fs, parts[0], target, spark)
     else:
         write_text(path, ",".join(df.columns) + "\n", spark)
     fs.delete(folder, True)

@@ -252,6 +252,61 @@ def test_shared_features_and_eligibility(spark):
     assert E.eligibility_counters(judged).first().asDict() == {"eligible": 1, "ineligible": 4, "distance": 1, "blank_example": 1, "shared_features": 2, "rule_violations": 0}
 
 
+def test_eligible_by_outcome(spark):
+    predictions = spark.createDataFrame([("a", "TP"), ("b", "TP"), ("c", "TN"), ("d", "FN"), ("e", "FP")], "email_id string, outcome_type string")
+    reasons = spark.createDataFrame([("a", "eligible"), ("b", "distance"), ("c", "eligible"), ("d", "blank_example"), ("e", "eligible"), ("z", "eligible")], "email_id string, reason string")
+    assert {tuple(r) for r in E.eligible_by_outcome(predictions, reasons).collect()} == {("TP", 2, 1), ("TN", 1, 1), ("FN", 1, 0), ("FP", 1, 1)}
+
+
+def test_top_attributions_say_direction_and_value(spark):
+    names = ["url_count", "uppercase_letter_ratio", "exclamation_mark_count", "action_word_count"]
+    rows = spark.createDataFrame([("a", [0.5, -0.75, 0.5, 0.1], [2.0, 0.125, 3.0, 0.0]), ("b", [0.0, 0.0, 0.0, -1.0], [0.0, 0.0, 1.0, 7.0])], "email_id string, phi array<double>, raw array<double>")
+    got = [tuple(r) for r in E.top_attributions(rows, names).orderBy("email_id", "rank").collect()]
+    up, down = C.TOWARDS[1], C.TOWARDS[-1]
+    assert got == [
+        ("a", 1, "uppercase_letter_ratio", 0.125, -0.75, down, f"Uppercase-letter proportion: 12.5% — {down}"), ("a", 2, "url_count", 2.0, 0.5, up, f"Number of links: 2 — {up}"),
+        ("a", 3, "exclamation_mark_count", 3.0, 0.5, up, f"Exclamation marks: 3 — {up}"), ("b", 1, "action_word_count", 7.0, -1.0, down, f"Action-request words: 7 — {down}"),
+        ("b", 2, "url_count", 0.0, 0.0, "no effect", "Number of links: 0 — no effect"), ("b", 3, "uppercase_letter_ratio", 0.0, 0.0, "no effect", "Uppercase-letter proportion: 0% — no effect"),
+    ]
+
+
+def test_example_documents_in_full(spark):
+    judged = spark.createDataFrame([("a", 1, "eligible", "m", "Hi", "there"), ("b", 0, "distance", "m", "Hi", "there")], "email_id string, predicted_label int, reason string, medoid_id string, example_subject string, example_body string")
+    shared = spark.createDataFrame([("a", 2, "uppercase_letter_ratio", 0.25, 0.5), ("a", 1, "url_count", 1.0, 2.0), ("b", 1, "url_count", 1.0, 1.0)], "email_id string, rank int, feature string, value double, example_value double")
+    a, b = (json.loads(r[0]) for r in files.json_documents(R.example_documents(judged, shared, list(C.FEATURES))).collect())
+    assert a == {
+        "email_id": "a", "ai_prediction": "phishing", "eligible": True, "representative_example": {"email_id": "m", "ai_prediction": "phishing", "subject": "Hi", "body": "there"},
+        "shared_features": [
+            {"rank": 1, "feature_key": "url_count", "display_name": "Number of links", "current_value": 1.0, "example_value": 2.0, "display_text": "Number of links: this email 1, example 2"},
+            {"rank": 2, "feature_key": "uppercase_letter_ratio", "display_name": "Uppercase-letter proportion", "current_value": 0.25, "example_value": 0.5, "display_text": "Uppercase-letter proportion: this email 25%, example 50%"},
+        ],
+        "display_intro": "A typical email that was also classified as phishing",
+    }
+    assert b == {"email_id": "b", "ai_prediction": "legitimate", "eligible": False, "shared_features": []}
+
+
+def test_keywords_as_patterns_find_them(spark):
+    """Counts by plain search and runs of letters and digits, against patterns without regard to case over words' edges."""
+    rng, terms = random.Random(8), [t for c in C.CATEGORIES for t in C.KEYWORDS[c]]
+    odd = [*C.VARIANTS, "\u017fu\u017fpended", "clıck", "lin\u212a", "\u212aey", "İ", "prepinned", "pin9", "9pin", "pin-pin", "log  in", "log\nin", "é", "billé", "_fee_", "RE-VERIFY", "credit-cards", "user - id"]
+    texts = ["".join(rng.choice([t.upper(), t, t.title()]) + rng.choice([" ", "  ", "\n", "-", ".", "", "_"]) for t in rng.choices(terms + odd, k=14)) for _ in range(300)]
+    edge = lambda t: rf"(?<![a-z0-9])(?:{t})(?![a-z0-9])"
+
+    def plain(text, category):
+        text = text.lower()
+        for old, new in sorted(C.VARIANTS.items(), key=lambda v: (-len(v[0]), v[0])):
+            text = re.sub(edge(re.escape(old)), new, text, flags=re.I)
+        n = 0
+        for p in sorted((t for t in C.KEYWORDS[category] if " " in t), key=lambda t: (-len(t.split()), -len(t), t)):
+            text, k = re.subn(edge(r"\s+".join(p.split())), " ", text, flags=re.I)
+            n += k
+        return n + len(re.findall(edge("|".join(sorted((t for t in C.KEYWORDS[category] if " " not in t), key=len, reverse=True))), text, flags=re.I))
+
+    rows = with_features(spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "i int, sanitized_subject string, sanitized_body string")).orderBy("i").collect()
+    for c in C.CATEGORIES:
+        assert [r[f"{c}_word_count"] for r in rows] == [plain("\n" + t, c) for t in texts]
+
+
 def test_frozen_model_contract():
     good = {"features": list(C.FEATURES), "labels": {"0": "legitimate", "1": "phishing"}, "threshold": 0.35, "seed": 42}
     assert C.check_frozen_model(good, 0.35) is good
@@ -343,6 +398,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["preprocess", path]) == 0 and O.difference(spark.read.parquet(str(tmp_path / "again/processed")), done).isEmpty()
     files.write_text(path, yaml.safe_dump(config | {"expected_rows": 7}))
     assert cli.main(["preprocess", path]) == 1 and "expected 7 rows" in capsys.readouterr().err
+    with pytest.raises(C.ContractError, match="second run differs: email_000003_"):
+        cli._check_repeat(done, changed)
     files.write_text(path, yaml.safe_dump(config | {"labels": {"0": 0}}))
     assert cli.main(["preprocess", path]) == 1 and "row 2: 1" in capsys.readouterr().err
     files.write_text(path, yaml.safe_dump(config | {"threshold": 0.123}))
