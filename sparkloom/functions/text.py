@@ -64,7 +64,8 @@ def whole_term(term: str) -> str:
 
 def _folded(c: Column) -> Column:
     """Lower case, with the four other letters that a pattern without regard to case takes for ASCII ones put as these."""
-    return F.translate(F.lower(c), "\u017f\u0131\u212a\u0130", "siki")
+    low, odd = F.lower(c), "\u017f\u0131\u212a\u0130"
+    return F.when(low.rlike(f"[{odd}]"), F.translate(low, odd, "siki")).otherwise(low)
 
 
 def _holds(c: Column, terms: Iterable[str]) -> Column:
