@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import and_, or_
 
@@ -14,11 +14,15 @@ from sparkloom import config as C
 
 #: Python's white space: Java's Unicode class and the four separators it leaves out.
 SPACE = r"[\s\x1c-\x1f]"
-_IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
+
+
+#: The characters of SPACE.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends: read from the ends only, unlike a pattern, which stops at each blank of a text."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def null_to_empty(c: Column) -> Column:
@@ -32,11 +36,21 @@ def label_key(c: Column) -> Column:
     return F.when(F.lower(strip(c)).isin("true", "false"), (F.lower(strip(c)) == "true").cast("int").cast("string")).when(n == F.floor(n), n.cast("bigint").cast("string")).otherwise(strip(c))
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def whitespace(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r" [\t\x0B\f ]+|[\t\x0B\f][\t\x0B\f ]*", " ")  # a lone blank is no match
-    c = F.regexp_replace(c, rf"(?U){_IN_LINE}*\n{_IN_LINE}*", "\n")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    """One line end, one blank for a run of them, lines without white space at their ends, at most one empty line.
+
+    A plain search goes before each pattern, so a text that is in this form passes none."""
+    holds = lambda t, *parts: reduce(or_, map(t.contains, parts))
+    when = lambda parts, pattern, to: lambda t: F.when(holds(t, *parts), F.regexp_replace(t, pattern, to)).otherwise(t)
+    c = _bound(c, when("\r", r"\r\n?", "\n"))
+    c = _bound(c, when(("  ", "\t", "\x0b", "\f"), r" [\t\x0B\f ]+|[\t\x0B\f][\t\x0B\f ]*", " "))  # a lone blank is no match
+    c = F.array_join(F.transform(F.split(c, "\n", -1), strip), "\n")
+    return strip(_bound(c, when(("\n\n\n",), r"\n{3,}", "\n\n")))
 
 
 def is_blank(c: Column) -> Column:
@@ -49,8 +63,10 @@ def stable_id(prefix: str, row: Column, *parts: Column) -> Column:
 
 
 def dedup_key(*parts: Column) -> Column:
-    """Lower case, each run of white space one blank; a lone blank is no match, so most of a text is passed over."""
-    return strip(F.regexp_replace(F.lower(F.concat_ws("\n", *parts)), rf"(?U) {SPACE}+|[\s\x1c-\x1f&&[^ ]]{SPACE}*", " "))
+    """Lower case, each run of white space one blank; texts that need no pattern once lines are joined are passed over."""
+    pattern, odd = rf"(?U) {SPACE}+|[\s\x1c-\x1f&&[^ ]]{SPACE}*", r"(?U)[\s\x1c-\x1f&&[^ ]]"
+    joined = F.replace(F.lower(F.concat_ws("\n", *parts)), F.lit("\n"), F.lit(" "))
+    return strip(_bound(joined, lambda t: F.when(t.contains("  ") | t.rlike(odd), F.regexp_replace(t, pattern, " ")).otherwise(t)))
 
 
 def hash_order(seed: int, c: Column) -> Column:
@@ -64,8 +80,8 @@ def whole_term(term: str) -> str:
 
 def _folded(c: Column) -> Column:
     """Lower case, with the four other letters that a pattern without regard to case takes for ASCII ones put as these."""
-    low, odd = F.lower(c), "\u017f\u0131\u212a\u0130"
-    return F.when(low.rlike(f"[{odd}]"), F.translate(low, odd, "siki")).otherwise(low)
+    odd = "\u017f\u0131\u212a\u0130"
+    return _bound(F.lower(c), lambda low: F.when(reduce(or_, map(low.contains, odd)), F.translate(low, odd, "siki")).otherwise(low))
 
 
 def _holds(c: Column, terms: Iterable[str]) -> Column:
@@ -73,11 +89,38 @@ def _holds(c: Column, terms: Iterable[str]) -> Column:
     return reduce(or_, (reduce(and_, (c.contains(w) for w in t.split())) for t in terms), F.lit(False))
 
 
+def _one_of(words: set[str]) -> str:
+    """A pattern for one of the words that branches letter by letter, so a place is given up at the first wrong one."""
+    tails: dict[str, set[str]] = {}
+    for w in filter(None, words):
+        tails.setdefault(w[0], set()).add(w[1:])
+    if not tails:
+        return ""
+    body = "|".join(letter + _one_of(rest) for letter, rest in sorted(tails.items()))
+    return f"(?:{body})?" if "" in words else f"(?:{body})"
+
+
+def keyword_chains(folded: Column, keywords: C.Keywords) -> Column:
+    """What of a folded text can take part in a term: words of terms, each with its neighbours of that kind, in order.
+
+    A term is words with white space or its own other characters between them, so every place of one lies in one chain;
+    chains are parted by NUL. One search of the text replaces one for each term. A term that begins or ends with another
+    character than a letter or digit keeps the whole text.
+    """
+    terms = [*(t for c in C.CATEGORIES for t in keywords.lists[c]), *keywords.variants, *keywords.variants.values()]
+    if not all(re.fullmatch(r"[a-z0-9](?:.*[a-z0-9])?", t, re.DOTALL) for t in terms) or any("\0" in t for t in terms):
+        return folded
+    word = rf"{_one_of({w for t in terms for w in re.findall('[a-z0-9]+', t)})}(?![a-z0-9])"
+    between = "".join(sorted(map(re.escape, {x for t in terms for x in re.sub(r"[a-z0-9\s]", "", t)})))
+    # the possessive repeat is a loop in the JVM, so a chain of any length needs no stack
+    return F.array_join(F.regexp_extract_all(folded, F.lit(rf"(?<![a-z0-9]){word}(?:[\s{between}]++{word})*+"), F.lit(0)), "\0")
+
+
 def variants_normalised(c: Column, keywords: C.Keywords) -> Column:
-    """Folded text with variants replaced, longest first."""
+    """Keyword chains of the folded text with variants replaced, longest first."""
     pairs = sorted(keywords.variants.items(), key=lambda x: (-len(x[0]), x[0]))
-    text = _folded(c)
-    return F.when(_holds(text, keywords.variants), reduce(lambda t, x: F.regexp_replace(t, whole_term(x[0]), x[1]), pairs, text)).otherwise(text)
+    replaced = lambda t: F.when(_holds(t, keywords.variants), reduce(lambda u, x: F.regexp_replace(u, whole_term(x[0]), x[1]), pairs, t)).otherwise(t)
+    return _bound(keyword_chains(_folded(c), keywords), replaced)
 
 
 def keyword_count(normalised: Column, terms: list[str]) -> Column:
