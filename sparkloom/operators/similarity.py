@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom import config as C
+from sparkloom.sources.scratch import scratch
 
 
 def _unaccented(c: Column) -> Column:
@@ -42,23 +43,50 @@ def tfidf(df: DataFrame, text: str = "text") -> DataFrame:
     return raw.select("email_id", "term", "df", (F.col("r") / norm).alias("w"))
 
 
-def similar_pairs(vectors: DataFrame, rows: DataFrame, threshold: float = C.SIMILAR) -> DataFrame:
-    """Pairs of rows (email_id, split, label) in different splits with cosine >= threshold.
+#: Rows of a term on one side of a join cell; a term with more is joined in a grid of cells.
+CELL = 4096
+#: Allowance of bounds for rounding.
+SLACK = 1e-6
+
+
+def candidates(vectors: DataFrame, rows: DataFrame, threshold: float = C.SIMILAR) -> DataFrame:
+    """a, b in different splits, a's the earlier one, that may reach the threshold: all that do, and few others.
 
-    Terms by ascending document frequency; only the shortest prefix is indexed whose rest is shorter than the threshold.
-    By Cauchy-Schwarz similar rows share a prefix term, so nothing is lost; candidates are verified on whole vectors.
+    Terms by ascending document frequency; only the shortest prefix is indexed whose rest is shorter than the threshold,
+    so by Cauchy-Schwarz similar rows share an indexed term. A posting carries the norms of its vector before and after
+    its term. Where two postings meet, the products of the norms before, of the weights and of the norms after bound the
+    similarity, and a pair that cannot reach the threshold goes before any shuffle; so does, once its terms are summed, one
+    whose shared part and least product of norms after stay under it.
     """
     order = Window.partitionBy("email_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    # sum of squares of this and all more frequent terms: the term is needed unless that stays under the threshold
-    prefix = vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).where((F.col("rest") >= threshold - 1e-9) & (F.col("df") > 1)).select("email_id", "term")
-    tagged = prefix.join(rows.select("email_id", "split"), "email_id")
+    # sum of squares of this and all more frequent terms: the term is needed unless its root stays under the threshold
+    w2, upto = F.col("w") * F.col("w"), F.col("_upto")
+    norm = lambda square: F.sqrt(F.greatest(square, F.lit(0.0)))
+    held = vectors.withColumn("_upto", F.sum(w2).over(order)).where((norm(upto) >= threshold - SLACK) & (F.col("df") > 1))
+    held = held.select("email_id", "term", "w", norm(1 - upto).alias("before"), norm(upto - w2).alias("after"))
+    posted = scratch(held.join(rows.select("email_id", "split"), "email_id"), "postings")
     # the first split is never a right side and the last one never a left side, so most pairs inside a split are not made
-    left = tagged.where(F.col("split").isin(*C.SPLITS[:-1])).select("term", F.col("email_id").alias("a"), F.col("split").alias("sa"))
-    right = tagged.where(F.col("split").isin(*C.SPLITS[1:])).select("term", F.col("email_id").alias("b"), F.col("split").alias("sb"))
+    sides = [F.col("split").isin(*C.SPLITS[:-1]), F.col("split").isin(*C.SPLITS[1:])]
+    cells = lambda side: F.ceil(F.count_if(side) / CELL).cast("int")
+    grid = posted.groupBy("term").agg(cells(sides[0]).alias("_i"), cells(sides[1]).alias("_j")).where("_i > 0 and _j > 0")
+    dealt = posted.join(grid, "term")
+    own, every = lambda k: F.pmod(F.xxhash64("email_id"), F.col(k)).cast("int"), lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    told = lambda x: [F.col("email_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("split", "w", "before", "after"))]
+    left = dealt.where(sides[0]).select("term", *told("a"), own("_i").alias("i"), every("_j").alias("j"))
+    right = dealt.where(sides[1]).select("term", *told("b"), own("_j").alias("j"), every("_i").alias("i"))
     rank = lambda c: F.array_position(F.array(*map(F.lit, C.SPLITS)), F.col(c))
-    candidates = left.join(right, "term").where(rank("sa") < rank("sb")).select("a", "b").distinct()
+    both = lambda c: F.col(f"{c}_a") * F.col(f"{c}_b")
+    met = left.join(right, ["term", "i", "j"]).where((rank("split_a") < rank("split_b")) & (both("before") + both("w") + both("after") >= threshold - SLACK))
+    shared = met.groupBy("a", "b").agg(F.sum(both("w")).alias("shared"), F.min(both("after")).alias("tail"))
+    return shared.where(F.col("shared") + F.col("tail") >= threshold - SLACK).select("a", "b")
+
+
+def similar_pairs(vectors: DataFrame, rows: DataFrame, threshold: float = C.SIMILAR) -> DataFrame:
+    """Pairs of rows (email_id, split, label, text) in different splits with cosine >= threshold: candidates(), verified on
+    whole vectors."""
+    pairs = candidates(vectors, rows, threshold)
     va, vb = vectors.select(F.col("email_id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("email_id").alias("b"), "term", F.col("w").alias("wb"))
-    sims = candidates.join(va, "a").join(vb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    sims = pairs.join(va, "a").join(vb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
     side = lambda p, k: rows.select(F.col("email_id").alias(k), F.col("split").alias(f"{p}_split"), F.col("label").alias(f"{p}_label"), F.sha2("text", 256).alias(f"{p}_sha"))
     found = sims.join(side("left", "a"), "a").join(side("right", "b"), "b")
     return found.select(F.col("a").alias("left_email_id"), "left_split", "left_label", F.col("b").alias("right_email_id"), "right_split", "right_label", "similarity", (F.col("left_sha") == F.col("right_sha")).alias("exact"))
