@@ -23,17 +23,22 @@ def folded(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.where(~other).unionByName(rows.where(other).select("email_id", _unaccented(F.col("text")).alias("text")))
 
 
-def terms(df: DataFrame, text: str = "text") -> DataFrame:
-    """email_id, term, tf over words of two or more characters and pairs of them."""
+def occurrences(df: DataFrame, text: str = "text") -> DataFrame:
+    """email_id, term: a row for each word of two or more characters and each pair of neighbours among them."""
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     # an array of one keeps the words a bound variable, computed once
     both = F.get(F.transform(F.array(words), lambda w: F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))), F.lit(0))
-    return folded(df, text).select("email_id", F.explode(both).alias("term")).groupBy("email_id", "term").agg(F.count("*").alias("tf"))
+    return folded(df, text).select("email_id", F.explode(both).alias("term"))
+
+
+def terms(df: DataFrame, text: str = "text") -> DataFrame:
+    """email_id, term, tf over the occurrences of terms."""
+    return occurrences(df, text).groupBy("email_id", "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(df: DataFrame, text: str = "text") -> DataFrame:
     """email_id, term, df, w: sublinear tf, smoothed idf, rows of unit length."""
-    tf = terms(df, text)
+    tf = scratch(terms(df, text), "terms")  # read for the frequencies and again for the weights
     # a hot term's rows are aggregated before the shuffle; its join partition is split by adaptive execution
     freq = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = df.agg(F.count("*").alias("n_docs"))

@@ -507,7 +507,7 @@ def tfidf_postings(spark, sf):
 
 @query(f"{TFIDF} SELECT count(*) AS vocabulary FROM dfr")
 def vocabulary_size(spark, sf):
-    return J.terms(processed(spark, sf, "text")).select("term").distinct().agg(F.count("*").alias("vocabulary"))
+    return J.occurrences(processed(spark, sf, "text")).select("term").distinct().agg(F.count("*").alias("vocabulary"))
 
 
 def _pairs(spark, sf):
