@@ -112,8 +112,11 @@ def keyword_chains(folded: Column, keywords: C.Keywords) -> Column:
         return folded
     word = rf"{_one_of({w for t in terms for w in re.findall('[a-z0-9]+', t)})}(?![a-z0-9])"
     between = "".join(sorted(map(re.escape, {x for t in terms for x in re.sub(r"[a-z0-9\s]", "", t)})))
-    # the possessive repeat is a loop in the JVM, so a chain of any length needs no stack
-    return F.array_join(F.regexp_extract_all(folded, F.lit(rf"(?<![a-z0-9]){word}(?:[\s{between}]++{word})*+"), F.lit(0)), "\0")
+    chain = rf"{word}(?:[\s{between}]++{word})*+"
+    # words of no term are passed over as a whole, up to a chain or the end; possessive repeats are loops in the JVM, so
+    # texts and chains of any length need no stack
+    passed = rf"(?:[^a-z0-9]*+(?!{word})[a-z0-9]++)*+[^a-z0-9]*+"
+    return F.array_join(F.regexp_extract_all(folded, F.lit(rf"{passed}({chain}|\z)"), F.lit(1)), "\0")
 
 
 def variants_normalised(c: Column, keywords: C.Keywords) -> Column:

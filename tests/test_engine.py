@@ -217,6 +217,46 @@ def test_accents(spark):
     assert got == {"a": "apfel fin naive iv", "b": "plain old", "c": ""}
 
 
+def test_white_space_as_in_plain_python(spark):
+    """Ends, lines and keys of texts of every kind of white space."""
+    rng, kinds = random.Random(4), [*" \t\x0b\f\r\n\x1c\x1f\x85\xa0\u2003\u2028\u3000", "\r\n", "\n\n", "  ", "\u200b", "A", "\u00e9", "b c"]
+    texts = ["", " ", "\n", *("".join(rng.choices(kinds, k=rng.randrange(1, 14))) for _ in range(600))]
+
+    def plain(t):
+        t = re.sub(r"[\t\x0b\f ]+", " ", t.replace("\r\n", "\n").replace("\r", "\n"))
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(line.strip() for line in t.split("\n"))).strip()
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", T.strip(F.col("t")).alias("s"), T.whitespace(F.col("t")).alias("w"), T.dedup_key(F.col("t")).alias("k")).orderBy("i").collect()
+    assert [(r["s"], r["w"], r["k"]) for r in rows] == [(t.strip(), plain(t), " ".join(t.lower().split())) for t in texts]
+    assert df.select(F.lit(None).cast("string").alias("t")).select(T.whitespace(F.col("t")).alias("w")).first()["w"] is None
+
+
+@pytest.mark.parametrize("cell", [4096, 3])
+def test_similar_pairs_are_all_that_there_are(spark, monkeypatch, cell):
+    """Vectors with very common terms and equal weights, in one join cell and in many, against all pairs."""
+    monkeypatch.setattr(J, "CELL", cell)
+    rng, vectors = random.Random(6), {}
+    for k in range(60):
+        near = vectors.get(f"e{k - 3}") if k % 3 else None
+        raw = dict(near) if near else {t: rng.choice([0.0, 0.5, 1.0, 2.0]) for t in ["all", *(f"t{j}" for j in range(8))]} | {"all": 1.0}
+        if near and k % 2:
+            raw[f"t{rng.randrange(8)}"] = rng.choice([0.1, 0.4])
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        vectors[f"e{k}"] = {t: x / size for t, x in raw.items() if x}
+    split = {e: rng.choice(C.SPLITS) for e in vectors}
+    often = {t: sum(t in v for v in vectors.values()) for v in vectors.values() for t in v}
+    v = spark.createDataFrame([(e, t, often[t], w) for e, x in vectors.items() for t, w in x.items()], "email_id string, term string, df bigint, w double")
+    rows = spark.createDataFrame([(e, split[e], 1, e) for e in vectors], "email_id string, split string, label int, text string")
+    got = {(r["left_email_id"], r["right_email_id"]): r["similarity"] for r in J.similar_pairs(v, rows).collect()}
+    dot = lambda a, b: sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items())
+    want = {(a, b): dot(a, b) for a in vectors for b in vectors if C.SPLITS.index(split[a]) < C.SPLITS.index(split[b]) and dot(a, b) >= C.SIMILAR + 1e-9}
+    assert len(want) > 50 and set(got) >= set(want) and all(dot(*p) >= C.SIMILAR - 1e-9 for p in got)
+    found = {tuple(r) for r in J.candidates(v, rows).select("a", "b").collect()}
+    across = sum(C.SPLITS.index(split[a]) < C.SPLITS.index(split[b]) for a in vectors for b in vectors)
+    assert set(got) <= found and len(found) < 0.8 * across
+
+
 def test_statistics_of_large_values(spark):
     """Median and deviation of values near 1e9, where sums of squares cancel; ranks and distances as in pandas."""
     rng = np.random.default_rng(5)
@@ -307,6 +347,19 @@ def test_keywords_as_patterns_find_them(spark):
         assert [r[f"{c}_word_count"] for r in rows] == [plain("\n" + t, c) for t in texts]
 
 
+def test_keyword_chains_of_long_texts_and_other_terms(spark):
+    """No stack for long chains and long texts of other words; terms with characters of their own, at their ends as well."""
+    long = ["pin log  in\n" * 50_000, "word " * 100_000 + "fee", "x" * 300_000, "", "--- !", "tax"]
+    rows = with_features(spark.createDataFrame([(i, "", t) for i, t in enumerate(long)], "i int, sanitized_subject string, sanitized_body string")).orderBy("i").collect()
+    assert [(r["credential_word_count"], r["money_related_word_count"]) for r in rows] == [(100_000, 0), (0, 1), (0, 0), (0, 0), (0, 0), (0, 1)]
+    base = {c: ["unheard"] for c in C.CATEGORIES}
+    text = "a's b. it's  due, it s due; it's due'; 50% off 5% off 0% off"
+    for terms, expected in ((["it's due"], 2), (["it's due", "% off"], 2), (["50% off"], 1)):
+        k = C.Keywords(lists=base | {"urgency": terms}, variants={})
+        norm = spark.createDataFrame([(text,)], "t string").select(T.variants_normalised(F.col("t"), k).alias("n"))
+        assert norm.select(T.keyword_count(F.col("n"), terms)).first()[0] == expected
+
+
 def test_frozen_model_contract():
     good = {"features": list(C.FEATURES), "labels": {"0": "legitimate", "1": "phishing"}, "threshold": 0.35, "seed": 42}
     assert C.check_frozen_model(good, 0.35) is good
