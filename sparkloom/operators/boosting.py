@@ -4,8 +4,11 @@ Rows are binned once. Growing a level of a tree is one Spark job: tasks sum grad
 bin, Spark adds the sums, and the driver gets them (bounded by nodes, features and bins) and picks the splits. So no rows
 go to the driver. Candidates that differ in parameters alone are grown side by side in the same jobs. A row carries its
 margin for each candidate as of the last table; the trees grown since are short work for the tasks, and every
-TREES_KEPT trees the margins are written anew, which also cuts the lineage. So few rows that one task holds them are grown
-on by that task, by the same steps.
+TREES_KEPT trees the margins are written anew, which also cuts the lineage.
+
+Rows of equal bins and label always share a margin, so they count as one with a weight: for each tree, how many of them it
+is grown on. There are far fewer such groups than rows, as bins are few; if they are so few that one task holds them, each
+candidate is grown by a task of its own, by the same steps.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from sparkloom.sources.scratch import scratch
 
 #: Bins of a feature, trees between two writes of the margins, least gain of a split.
 BINS, TREES_KEPT, LEAST_GAIN = 256, 25, 1e-6
-#: Binned rows of a task. So many are some MB.
+#: Binned rows, or groups of equal ones, of a task. So many are some MB, groups with their weights some 50.
 TASK_ROWS = 1 << 16
+#: Groups that a task sums weights for before it sends them on.
+GROUPS_KEPT = 1 << 13
 #: What sums in another order may differ by: gains nearer than this are ties.
 ROUNDING = 1e-9
 SUMS = "candidate int, node int, feature int, bin int, g double, h double"
@@ -198,11 +203,14 @@ def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
 
 
 class _Rows:
-    """Binned rows in memory: all of a few, or a batch."""
+    """Binned rows in memory: a batch, or groups of equal rows, whose weights by (group, tree) say how many a tree is grown on."""
 
-    def __init__(self, batch: pa.RecordBatch, m: int, candidates: int) -> None:
-        self.bins, self.margins = _matrix(batch.column("bins"), np.uint16, m), _matrix(batch.column("margins"), np.float64, candidates).copy()
-        self.keys, self.y = batch.column("key").to_numpy(), batch.column("y").to_numpy()
+    def __init__(self, batch: pa.RecordBatch, m: int, candidates: int, weights: np.ndarray | None = None) -> None:
+        self.bins, self.y, self.weights = _matrix(batch.column("bins"), np.uint16, m), batch.column("y").to_numpy(), weights
+        if weights is None:
+            self.keys, self.margins = batch.column("key").to_numpy(), _matrix(batch.column("margins"), np.float64, candidates).copy()
+        else:
+            self.margins = np.zeros((len(self.y), candidates))
 
     def carry(self, grown: list[list[Tree]]) -> None:
         """The trees grown since into the margins."""
@@ -214,8 +222,12 @@ class _Rows:
         """Gradients and hessians of the drawn rows by (node, feature, bin) of each growing tree."""
         for c, tree in growing.items():
             p = 1 / (1 + np.exp(-self.margins[:, c]))
-            used = drawn(self.keys, parameters[c].seed, number, parameters[c].subsample)
-            node, g, h, b = tree.leaves(self.bins[used], tree.bin), (p - self.y)[used], (p * (1 - p))[used], self.bins[used].astype(np.int64)
+            if self.weights is None:
+                used, weight = drawn(self.keys, parameters[c].seed, number, parameters[c].subsample), 1.0
+            else:
+                used = self.weights[:, number] > 0
+                weight = self.weights[used, number]
+            node, g, h, b = tree.leaves(self.bins[used], tree.bin), (p - self.y)[used] * weight, (p * (1 - p))[used] * weight, self.bins[used].astype(np.int64)
             _, _, m, width = totals[c].shape
             for f in range(m):
                 place = (node * m + f) * width + b[:, f]
@@ -294,28 +306,84 @@ def _grow(features: list[str], candidates: list[Parameters], cuts: list[np.ndarr
     return forests
 
 
-def _grown_here(features: list[str], candidates: list[Parameters], cuts: list[np.ndarray], width: int):
-    """All forests from the rows of one task, as documents."""
+def _draws(candidates: list[Parameters]) -> dict[tuple[int, float], int]:
+    """(seed, share) -> number of trees: the different ways in which rows are drawn."""
+    out: dict[tuple[int, float], int] = {}
+    for p in candidates:
+        out[p.seed, p.subsample] = max(out.get((p.seed, p.subsample), 0), p.n_estimators)
+    return out
+
+
+GROUPS = "draw int, y double, bins binary, weights binary"
+
+
+def _weights(draws: dict[tuple[int, float], int]):
+    """A task's rows in groups of equal bins and label; weights (int32 a tree) by draw. A group comes as often as the task sends."""
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if batches:
-            rows = _Rows(pa.Table.from_batches(batches).combine_chunks().to_batches()[0], len(features), len(candidates))
+        for batch in batches:
+            for start in range(0, batch.num_rows, GROUPS_KEPT):
+                part = batch.slice(start, GROUPS_KEPT)
+                groups: dict[tuple[float, bytes], int] = {}
+                at = np.array([groups.setdefault(x, len(groups)) for x in zip(part.column("y").to_pylist(), part.column("bins").to_pylist(), strict=True)], np.int64)
+                y, bins = pa.array([k[0] for k in groups], pa.float64()), pa.array([k[1] for k in groups], pa.binary())
+                keys = part.column("key").to_numpy()
+                for i, ((seed, share), trees) in enumerate(draws.items()):
+                    weights = np.stack([np.bincount(at, drawn(keys, seed, t, share), len(groups)) for t in range(trees)], 1).astype(np.int32)
+                    yield pa.record_batch({"draw": pa.array([i] * len(groups), pa.int32()), "y": y, "bins": bins, "weights": pa.array([w.tobytes() for w in weights], pa.binary())})
+
+    return run
+
 
-            def sums_of(number: int, growing: dict[int, Tree]) -> dict[int, np.ndarray]:
-                totals = _no_sums(growing, len(features), width)
-                rows.add_sums(totals, growing, candidates, number)
-                return totals
+def _summed(batches):
+    """Groups in order, the weights of equal ones added."""
+    held, total = None, None
 
-            yield pa.record_batch({"forest": pa.array([f.to_json() for f in _grow(features, candidates, cuts, sums_of, rows.carry)])})
+    def row():
+        return pa.record_batch({"draw": pa.array([held[0]], pa.int32()), "y": pa.array([held[1]], pa.float64()), "bins": pa.array([held[2]], pa.binary()), "weights": pa.array([total.tobytes()], pa.binary())})
+
+    for batch in batches:
+        for draw, y, bins, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (draw, y, bins) == held:
+                total += np.frombuffer(weights, np.int32)
+            else:
+                if held is not None:
+                    yield row()
+                held, total = (draw, y, bins), np.frombuffer(weights, np.int32).copy()
+    if held is not None:
+        yield row()
+
+
+def grouped(rows: DataFrame, candidates: list[Parameters]) -> DataFrame:
+    """draw, y, bins, weights: a row for each group of equal binned rows and each way of drawing."""
+    parts = rows.mapInArrow(_weights(_draws(candidates)), GROUPS)
+    return parts.repartition("draw", "y", "bins").sortWithinPartitions("draw", "y", "bins").mapInArrow(_summed, GROUPS)
+
+
+def _grown_here(features: list[str], candidates: list[Parameters], cuts: list[np.ndarray], width: int):
+    """The forest of one candidate from all groups, as a document."""
+
+    def run(key, table):
+        c = key[0].as_py()
+        table = table.sort_by([("y", "ascending"), ("bins", "ascending")]).combine_chunks()
+        batch = table.to_batches()[0]
+        weights = np.frombuffer(b"".join(batch.column("weights").to_pylist()), np.int32).reshape(batch.num_rows, -1)
+        rows = _Rows(batch, len(features), 1, weights)
+
+        def sums_of(number: int, growing: dict[int, Tree]) -> dict[int, np.ndarray]:
+            totals = _no_sums(growing, len(features), width)
+            rows.add_sums(totals, growing, [candidates[c]], number)
+            return totals
+
+        return pa.table({"candidate": pa.array([c], pa.int32()), "forest": [f.to_json() for f in _grow(features, [candidates[c]], cuts, sums_of, rows.carry)]})
 
     return run
 
 
 def fit_all(train: DataFrame, features: list[str], candidates: list[Parameters], key: str = "email_id", label: str = "label", bins: int = BINS) -> list[Forest]:
-    """A forest for each candidate, grown side by side: one job for each level of a tree, whatever their number.
-
-    Up to TASK_ROWS rows are grown on by one task in the same way, in one job for all. Without rows the trees are single leaves of 0.
+    """A forest for each candidate. Up to TASK_ROWS groups of equal rows: a task for each candidate, all in one job. More: grown
+    side by side, one job for each level of a tree, whatever the number of candidates. Without rows the trees are single
+    leaves of 0.
     """
     features, m, k = list(features), len(features), len(candidates)
     n = train.count()
@@ -323,10 +391,14 @@ def fit_all(train: DataFrame, features: list[str], candidates: list[Parameters],
         return [Forest(features, p, [Tree() for _ in range(p.n_estimators)]) for p in candidates]
     cuts = cut_points(train, features, bins)
     width = max(map(len, cuts)) + 1
-    rows = binned(train, features, cuts, k, key, label)
-    if n <= TASK_ROWS:
-        return [Forest.from_json(r["forest"]) for r in rows.coalesce(1).mapInArrow(_grown_here(features, candidates, cuts, width), "forest string").collect()]
-    state = {"rows": scratch(rows.repartition(-(-n // TASK_ROWS)), "binned"), "recent": [[] for _ in candidates]}
+    rows = scratch(binned(train, features, cuts, k, key, label), "binned")
+    if rows.select("y", "bins").distinct().count() <= TASK_ROWS:
+        number = list(_draws(candidates))
+        of = F.filter(F.array(*(F.struct(F.lit(i).alias("c"), F.lit(number.index((p.seed, p.subsample))).alias("draw")) for i, p in enumerate(candidates))), lambda x: x["draw"] == F.col("draw"))
+        dealt = scratch(grouped(rows, candidates), "groups").withColumn("candidate", F.explode(F.transform(of, lambda x: x["c"]))).repartition(4 * k, "candidate")
+        grown = dealt.groupBy("candidate").applyInArrow(_grown_here(features, candidates, cuts, width), "candidate int, forest string").collect()
+        return [Forest.from_json(r["forest"]) for r in sorted(grown, key=lambda r: r["candidate"])]
+    state = {"rows": rows.repartition(-(-n // TASK_ROWS)), "recent": [[] for _ in candidates]}
 
     def sums_of(number: int, growing: dict[int, Tree]) -> dict[int, np.ndarray]:
         sums = state["rows"].mapInArrow(_level(m, state["recent"], growing, candidates, number, width), SUMS).groupBy("candidate", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()

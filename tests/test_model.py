@@ -219,3 +219,19 @@ def test_model_queries(spark, monkeypatch):
             shown = f"{value * 100:.1f}".removesuffix(".0") + "%" if names[at] == C.RATIO_FEATURE else str(int(value))
             assert f["display_text"].startswith(f"{C.DISPLAY_NAMES[names[at]]}: ") and f["display_text"].endswith(towards) and (shown in f["display_text"] or names[at] == C.RATIO_FEATURE)
     catalog._fitted.clear()
+
+
+def test_equal_rows_are_grown_on_as_weights(spark, monkeypatch):
+    """More rows than a task holds, but few kinds of them: no job for each level, and the trees of the single rows."""
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 4, 3000), rng.integers(0, 3, 3000)], 1).astype(float)
+    y = (x.sum(1) + rng.normal(size=3000) > 2.5).astype(int)
+    rows = spark.createDataFrame([(f"r{i}", int(y[i]), *map(float, v)) for i, v in enumerate(x)], "email_id string, label int, a double, b double").repartition(5)
+    several = [B.Parameters(3, 0.3, 6), B.Parameters(2, 0.1, 9, 2.0), B.Parameters(3, 0.3, 4, subsample=0.5, seed=7)]
+    monkeypatch.setattr(B, "TASK_ROWS", 10)
+    by_level = B.fit_all(rows, ["a", "b"], several)
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    monkeypatch.setattr(B, "_level", None)
+    forests = B.fit_all(rows, ["a", "b"], several)
+    for a, b in zip(forests, by_level, strict=True):
+        assert len(a.trees) == len(b.trees) and all(s.feature == t.feature and s.cut == t.cut and np.allclose(s.value, t.value, atol=1e-12) and np.allclose(s.cover, t.cover) for s, t in zip(a.trees, b.trees, strict=True))
