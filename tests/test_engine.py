@@ -112,6 +112,22 @@ def test_medoids_over_blocks_are_those_of_the_whole_matrix(spark, n, size):
         assert abs(mine[0]["silhouette_score"] - scores[k]) < 1e-9 and abs(mine[0]["distance_threshold"] - np.percentile(d[:, pam(d, k)].min(1), 95)) < 1e-9
 
 
+def test_equal_vectors_count_as_one_with_a_weight(spark):
+    """Copies do not multiply the work: totals of all rows from a row for each vector; few vectors keep their rows."""
+    rng = np.random.default_rng(3)
+    rows = [(y, f"v{i:03d}{y}", [float(v) for v in rng.integers(0, 3, 2)] + [float(i % 2)]) for i in range(200) for y in (0, 1)] + [(2, f"w{i}", [float(i % 2)] * 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "predicted_label int, email_id string, z array<double>").repartition(4)
+    assert P.blocks(df).agg(F.sum("n")).first()[0] == len({(y, tuple(z)) for y, _, z in rows if y < 2}) + 9
+    found = {(r["predicted_label"], tuple(r["z"])): r for r in P.total_distances(df).collect()}
+    for y in (0, 1, 2):
+        own = np.array([z for label, _, z in rows if label == y])
+        total = P.distances(own, own).sum(1)
+        for z, t in zip(own, total, strict=True):
+            r = found[y, tuple(z)]
+            assert abs(r["total"] - t) < 1e-9 and r["n"] == len(own)
+        assert y == 2 or {r["email_id"] for k, r in found.items() if k[0] == y} == {min(e for label, e, v in rows if label == y and v == list(z)) for z in {tuple(z) for z in own}}
+
+
 def test_pam_medoids_are_train_rows(spark):
     from sparkloom.plans import catalog
 
