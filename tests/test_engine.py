@@ -273,6 +273,17 @@ def test_similar_pairs_are_all_that_there_are(spark, monkeypatch, cell):
     assert set(got) <= found and len(found) < 0.8 * across
 
 
+def test_terms_are_counted_without_a_shuffle(spark, monkeypatch):
+    """By text, where it is read; a text's terms over several batches, accents, one word, nothing, null."""
+    monkeypatch.setattr(J, "TERMS_BATCH", 4)
+    texts = ["b\u00e9 be BE be a be_1 x9", "one", "", None, "to be or not to be, to be"]
+    df = spark.createDataFrame([(f"e{i}", t) for i, t in enumerate(texts)], "email_id string, text string").repartition(2)
+    got = sorted(map(tuple, J.terms(df).collect()))
+    assert got == sorted(map(tuple, J.occurrences(df).groupBy("email_id", "term").count().collect())) and ("e0", "be be", 3) in got and ("e4", "to be", 3) in got and ("e1", "one", 1) in got
+    plan = J.terms(spark.range(9).select(F.concat(F.lit("e"), "id").alias("email_id"), F.lit("some text").alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_statistics_of_large_values(spark):
     """Median and deviation of values near 1e9, where sums of squares cancel; ranks and distances as in pandas."""
     rng = np.random.default_rng(5)
