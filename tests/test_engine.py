@@ -523,6 +523,22 @@ def test_conflicting_labels_end_the_run(spark):
         catalog.preprocessed(df)
 
 
+def test_preprocess_refuses_no_documents(spark, tmp_path):
+    """One text with two labels, one with a label and none, texts without a label, a repeated row and a repeated number."""
+    from sparkloom.plans import catalog
+
+    rows = [(i, f"text {i}", ("en", "de")[i % 2]) for i in range(120)]
+    rows += [(200, "TEXT  7", "en"), (201, "text 8", None), (202, "none", None), (203, "de.", "fr"), (204, "De.", "en"), (3, "text 3", "de"), (4, "Text  4", "en"), (4, "of its own", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.preprocess(spark, str(tmp_path)).collect()
+    assert [r["email_id"] for r in got] == sorted({r["email_id"] for r in got})
+    by = {r["sanitized_body"].lower(): r for r in got}
+    assert len(got) == len(by) == 123 and set(by) == {*(f"text {i}" for i in range(120)), "none", "de.", "of its own"}
+    assert {t: (r["label"], r["n_labels"]) for t, r in by.items() if r["n_labels"] != 1} == {"text 7": (0, 2), "de.": (0, 2), "none": (None, 0)}
+    assert by["text 8"]["label"] == 1 and by["none"]["split"] == "train" and by["text 3"]["email_id"].startswith("doc_000004_")
+
+
 def test_run_counts_are_observed(spark):
     from sparkloom.plans import catalog
 
