@@ -539,6 +539,25 @@ def test_preprocess_refuses_no_documents(spark, tmp_path):
     assert by["text 8"]["label"] == 1 and by["none"]["split"] == "train" and by["text 3"]["email_id"].startswith("doc_000004_")
 
 
+def test_features_pass_a_text_once(spark):
+    """One pattern goes over the text for the ratio, and each phrase is taken out of what the ones before have left."""
+    df = spark.createDataFrame([(None,), ("",), ("12 é!",), ("aBcÉ D9",), ("ZZ",)], "t string")
+    assert [r[0] for r in df.select(T.uppercase_ratio(F.col("t"))).collect()] == [0.0, 0.0, 0.0, 0.5, 1.0]
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(T.uppercase_ratio(F.col("t"))).count("regexp_replace(t#") == 1
+    terms = C.KEYWORDS["credential"]
+    assert plan(T.keyword_count(F.col("t"), terms)).count("regexp_replace(") == sum(" " in t for t in terms)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["log", "in", "sign", "user", "id", "pin", "access code", "x"]) + rng.choice([" ", "  ", "\0", "-"]) for _ in range(rng.randrange(12))) for _ in range(200)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.keyword_count(F.col("t"), terms)).collect()
+    for t, n in got:
+        want, left = 0, t
+        for p in sorted((t for t in terms if " " in t), key=lambda t: (-len(t.split()), -len(t), t)):
+            left, k = re.subn(rf"(?<![a-z0-9]){p.replace(' ', r'[ ]+')}(?![a-z0-9])", " ", left)
+            want += k
+        assert n == want + sum(w in terms for w in re.split("[^a-z0-9]+", left)), t
+
+
 def test_run_counts_are_observed(spark):
     from sparkloom.plans import catalog
 
