@@ -4,8 +4,11 @@ import hashlib
 import html
 import json
 import math
+import os
 import random
 import re
+import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -284,6 +287,54 @@ def test_terms_are_counted_without_a_shuffle(spark, monkeypatch):
     assert "Exchange" not in plan
 
 
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.startswith("shuffle_") for d in dirs for _, _, files in os.walk(d.getPath()) for f in files)
+
+
+@pytest.mark.parametrize("postings", [1 << 21, 7])
+def test_packed_weights_are_those_of_plain_python(spark, monkeypatch, postings):
+    """In one block and in many, over several buckets: sums of all weights, and vectors of the terms that texts share."""
+    monkeypatch.setattr(J, "POSTINGS", postings)
+    monkeypatch.setattr(J, "BUCKET", 64)
+    rng = random.Random(4)
+    texts = {3 * i + (i % 2 << 33): " ".join(rng.choices(["to", "be", "or", "not", "caf\u00e9", "x", f"own{i}"], k=rng.randrange(30))) for i in range(40)} | {1: None, 2: "a"}
+    df = spark.createDataFrame(list(texts.items()), "nr long, text string").repartition(3)
+    words = {i: [w.replace("\u00e9", "e") for w in (t or "").split() if len(w) > 1] for i, t in texts.items()}
+    tf = {i: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]) for i, w in words.items()}
+    often = Counter(t for x in tf.values() for t in x)
+    raw = {i: {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + often[t])) + 1) for t, n in x.items()} for i, x in tf.items() if x}
+    want = {i: {t: r / math.sqrt(sum(y * y for y in x.values())) for t, r in x.items()} for i, x in raw.items()}
+    sums = {r["nr"]: r for r in J.weight_sums(df).collect()}
+    assert set(sums) == set(want) and all(sums[i]["n_terms"] == len(w) and abs(sums[i]["sum_w"] - sum(w.values())) < 1e-9 and abs(sums[i]["max_w"] - max(w.values())) < 1e-12 for i, w in want.items())
+    vectors = {r["nr"]: r for r in J.tfidf(df).collect()}
+    for i, w in want.items():
+        shared = sorted((often[t], x) for t, x in w.items() if often[t] > 1)
+        assert sorted(vectors[i]["dfs"], reverse=True) == vectors[i]["dfs"] and np.allclose(sorted(zip(vectors[i]["dfs"], vectors[i]["ws"], strict=True)), shared)
+    for a, b in ((a, b) for a in want for b in want):
+        of = dict(zip(vectors[b]["terms"], vectors[b]["ws"], strict=True))
+        got = sum(x * of.get(t, 0) for t, x in zip(vectors[a]["terms"], vectors[a]["ws"], strict=True))
+        assert a == b or abs(got - sum(x * want[b].get(t, 0) for t, x in want[a].items())) < 1e-9
+
+
+def test_a_write_leaves_no_shuffle_and_passing_tables_go(spark, tmp_path):
+    """What bounds the disk of the leakage queries: only tables that are read later stay."""
+    from sparkloom.sources.scratch import passing, scratch
+
+    before = _shuffle_files(spark)
+    with passing(spark) as keep:
+        gone = scratch(spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k"), "gone")
+        stays = keep(gone.groupBy("k").count(), "stays")
+        path = gone.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    for _ in range(50):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before and stays.count() == 7
+
+
 def test_statistics_of_large_values(spark):
     """Median and deviation of values near 1e9, where sums of squares cancel; ranks and distances as in pandas."""
     rng = np.random.default_rng(5)
