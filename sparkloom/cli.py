@@ -86,7 +86,7 @@ def diagnose(spark, config) -> bool:
 
 def leakage(spark, config) -> bool:
     rows = scratch(_processed(spark, config).select("email_id", "label", "split", F.concat_ws("\n", "sanitized_subject", "sanitized_body").alias("text"), F.monotonically_increasing_id().alias("nr")), "rows")
-    pairs = scratch(J.similar_pairs(scratch(J.tfidf(rows), "tfidf"), rows, key="nr"), "pairs")
+    pairs = scratch(J.similar_pairs(scratch(J.tfidf(J.term_blocks(rows)), "tfidf"), rows, key="nr"), "pairs")
     print(reports.text_table("Thresholds", J.thresholds(pairs, rows).orderBy("threshold")))
     print(reports.text_table("Most similar pairs", J.ordered_pairs(pairs).limit(20)))
     severe = bool(J.leakage(pairs, rows, float(config.get("severe_coverage", C.SEVERE_COVERAGE))).first()["severe"])
