@@ -115,6 +115,34 @@ def test_medoids_over_blocks_are_those_of_the_whole_matrix(spark, n, size):
         assert abs(mine[0]["silhouette_score"] - scores[k]) < 1e-9 and abs(mine[0]["distance_threshold"] - np.percentile(d[:, pam(d, k)].min(1), 95)) < 1e-9
 
 
+def test_bounds_leave_few_candidates_and_never_the_best(spark, monkeypatch):
+    """Steps with bounds find what those over all candidates find, and few candidates meet all rows."""
+    rng = np.random.default_rng(8)
+    rows = [(y, f"v{i:04d}{y}", [float(v) for v in np.r_[rng.integers(0, 3), np.round(rng.normal() + 4 * y * (i % 3), 3)]]) for i in range(900) for y in (0, 1)]
+    df = spark.createDataFrame(rows + [(0, "w", rows[0][2])], "predicted_label int, email_id string, z array<double>").repartition(3)
+    packed = P.blocks(df, 256)
+    plain = P.search_medoids(packed, 2, [0, 1], C.MEDOID_KS)
+    monkeypatch.setattr(P, "BOUNDED", 100)
+    ids = lambda found: {(y, k): [(at, i) for at, i, _ in m] for y, own in found.items() for k, m in own.items()}
+    assert ids(P.search_medoids(packed, 2, [0, 1], C.MEDOID_KS)) == ids(plain)
+    cells, blocks = P._cells(packed, 2, [0, 1]), packed.collect()
+    for asked, swap in (({y: {0: []} for y in (0, 1)}, False), ({y: {0: plain[y][2]} for y in (0, 1)}, False), ({y: {k: list(plain[y][k]) for k in (2, 4)} for y in (0, 1)}, True)):
+        chosen = P._chosen(packed, 2, asked, swap, cells)
+        kept = sum(len(chosen(b["predicted_label"], b["block"], np.frombuffer(b["x"]).reshape(-1, 2))) for b in blocks)
+        assert 0 < kept < 0.5 * sum(b["n"] for b in blocks)  # of some eight rows a cell; more rows leave less
+    for y in (0, 1):
+        x, w = (np.concatenate([np.frombuffer(b[c]) for b in sorted(blocks, key=lambda b: b["block"]) if b["predicted_label"] == y]) for c in ("x", "w"))
+        x = x.reshape(-1, 2)
+        tree, place, mean, _ = cells[y]
+        at = place[P._leaves(tree, x)]
+        radius = np.array([np.sqrt(np.square(x[at == g] - mean[g]).sum(1)).max() for g in range(len(mean))])
+        for m, swap in (([], False), (plain[y][3], False), (plain[y][3], True)):
+            each = P._limits(x, m, swap)
+            limits = np.array([[(v[at == g].min(), v[at == g].max(), (v * w)[at == g].sum()) for g in range(len(mean))] for v in each]).transpose(0, 2, 1)
+            exact = np.stack([np.minimum(P.distances(x, x), v) @ w for v in (each[1:] if swap else each)])
+            assert (P._bounds(x, cells[y], radius, limits) <= exact + 1e-9).all()
+
+
 def test_equal_vectors_count_as_one_with_a_weight(spark):
     """Copies do not multiply the work: totals of all rows from a row for each vector; few vectors keep their rows."""
     rng = np.random.default_rng(3)
