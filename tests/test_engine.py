@@ -126,6 +126,9 @@ def test_bounds_leave_few_candidates_and_never_the_best(spark, monkeypatch):
     ids = lambda found: {(y, k): [(at, i) for at, i, _ in m] for y, own in found.items() for k, m in own.items()}
     assert ids(P.search_medoids(packed, 2, [0, 1], C.MEDOID_KS)) == ids(plain)
     cells, blocks = P._cells(packed, 2, [0, 1]), packed.collect()
+    monkeypatch.setattr(P, "FEW", 0.0)
+    P._search(packed, 2, {y: {0: []} for y in (0, 1)}, False, spent := dict(cells))
+    assert not spent  # no bounds after a step in which they leave too many
     for asked, swap in (({y: {0: []} for y in (0, 1)}, False), ({y: {0: plain[y][2]} for y in (0, 1)}, False), ({y: {k: list(plain[y][k]) for k in (2, 4)} for y in (0, 1)}, True)):
         chosen = P._chosen(packed, 2, asked, swap, cells)
         kept = sum(len(chosen(b["predicted_label"], b["block"], np.frombuffer(b["x"]).reshape(-1, 2))) for b in blocks)
@@ -133,7 +136,7 @@ def test_bounds_leave_few_candidates_and_never_the_best(spark, monkeypatch):
     for y in (0, 1):
         x, w = (np.concatenate([np.frombuffer(b[c]) for b in sorted(blocks, key=lambda b: b["block"]) if b["predicted_label"] == y]) for c in ("x", "w"))
         x = x.reshape(-1, 2)
-        tree, place, mean, _ = cells[y]
+        tree, place, mean, _, _ = cells[y]
         at = place[P._leaves(tree, x)]
         radius = np.array([np.sqrt(np.square(x[at == g] - mean[g]).sum(1)).max() for g in range(len(mean))])
         for m, swap in (([], False), (plain[y][3], False), (plain[y][3], True)):
